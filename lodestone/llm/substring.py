@@ -108,6 +108,11 @@ def candidates(w: kn.Words, shared: np.ndarray, start: np.ndarray, end: np.ndarr
     return np.flatnonzero(ok & (repeats | able))
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    """Rows in an order of their own: the exchange delivers those of a block in any order."""
+    return table.combine_chunks().sort_by([("key", "ascending"), ("text", "ascending")])
+
+
 def _words(table: pa.Table) -> tuple[kn.Words, np.ndarray]:
     data, offsets = kn.utf8(table["text"])
     keys = table["key"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
@@ -150,7 +155,7 @@ class _Passes:
     def ask_windows(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
-        w, ids = _words(table)
+        w, ids = _words(_settled(table))
         key, start, end = phrases(w.hashes, w.first)
         _, inverse = np.unique(key, return_inverse=True)
         shared = bl.answers(replies, np.uint8)[inverse].astype(bool) if len(key) else np.zeros(0, bool)
@@ -175,6 +180,7 @@ class _Passes:
     def remove(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
+        table = _settled(table)
         w, ids = _words(table)
         n = len(w)
         own = replies["bucket"].to_numpy() < 0
