@@ -7,6 +7,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .langid import op6_language_id
 from .lmscore import op10_lm_scoring
 from .ngram_join import op8_ngram_join
+from .pii import op4_pii
 from .quality import op1_quality
 from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op3_sharding
@@ -14,7 +15,7 @@ from .substring import OP9_SQL, op9_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_sharding, op5_sentencepiece, op6_language_id, op7_decontamination, op8_ngram_join, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_sharding, op4_pii, op5_sentencepiece, op6_language_id, op7_decontamination, op8_ngram_join, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
