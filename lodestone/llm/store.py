@@ -6,13 +6,13 @@ files nor local disks hold the only copy of anything once a table is written.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
+    """Write df as Parquet to the shared folder and read it back.
+
+    The shuffle files of the write go when it ends, so that disk use is the peak of one job.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
@@ -44,9 +52,3 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished jobs, so that disk use is the peak of one job."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
