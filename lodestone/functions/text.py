@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ BLOCK_START = r"^([•\-–▪*]|\(?[a-z0-9]{1,3}[.)]|\d+(\.\d+)*\s)"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often a lambda inside use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -47,8 +54,8 @@ def token_count(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct word n-grams; a text of fewer words has its whole sequence, even if empty, as its one shingle."""
-    w = words(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1))
+    return let(words(text), lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " "))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

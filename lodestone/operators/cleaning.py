@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLOCK_START, LINE_BREAK, PAGE_NUMBER, line_key, strip
+from ..functions.text import BLOCK_START, LINE_BREAK, PAGE_NUMBER, let, line_key, strip
 
 
 def repeated_lines(pages: DataFrame, min_ratio: float = 0.5, edge: int = 3) -> DataFrame:
@@ -36,12 +36,16 @@ def unwrap(text: Column) -> Column:
 
     What a line joins ends like the raw line before it, so each joint needs only two neighbours.
     """
-    lines = F.transform(F.split(text, "\n"), strip)
-    before = lambda i: F.element_at(lines, i.cast("int"))  # noqa: E731  1-based: the line before line i of 0-based counting
-    joint = lambda x, i: (
-        F.when(i == 0, "").when((x != "") & (before(F.greatest(i, F.lit(1))) != "") & ~x.rlike(BLOCK_START) & ~before(F.greatest(i, F.lit(1))).rlike("[.:;]$"), " ").otherwise("\n")
-    )
-    return F.array_join(F.transform(lines, lambda x, i: F.concat(joint(x, i), x)), "")
+
+    def joined(lines: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            before = F.element_at(lines, F.greatest(i, F.lit(1)))  # element_at counts from 1: the line before line i
+            soft = (x != "") & (before != "") & ~x.rlike(BLOCK_START) & ~before.rlike("[.:;]$")
+            return F.concat(F.when(i == 0, "").when(soft, " ").otherwise("\n"), x)
+
+        return F.array_join(F.transform(lines, part), "")
+
+    return let(F.transform(F.split(text, "\n"), strip), joined)
 
 
 def clean(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sized import in_blocks
+from ..functions.text import let, words
 from .sparse import DIGITS, top_k
 
 BLOCK = 1024  # queries that are broadcast at once
@@ -73,11 +74,11 @@ def hashed_features(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> Da
 
     The index is the 128-bit MD5 modulo dim, so 384 keeps 2**64 mod 384 = 256 and the sign is bit 64.
     """
-    from ..functions.text import words
+    def with_pairs(w: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit("_"), F.element_at(w, i + 1)))
+        return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
-    w = words(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit("_"), F.element_at(w, i + 1)))
-    grams = F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    grams = let(words(text), with_pairs)
     h = F.md5(F.col("gram").cast("binary"))
     part = lambda at: F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)")
     wrap = pow(2, 64, dim)

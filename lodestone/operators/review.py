@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sparse_tokens, squash
+from ..functions.text import let, sparse_tokens, squash
 from .sparse import EPSILON
 
 
@@ -27,12 +27,14 @@ def local_bm25(candidates: DataFrame, keys: list[str], k: int, k1: float = 1.5,
 
 def best_window(text: Column, query: Column, size: int = 600, step: int = 100) -> Column:
     """The window of a squashed text that shares most query terms, the first of equals, with a mark if it isn't the beginning."""
-    t, q = squash(text), F.array_distinct(sparse_tokens(query))
-    starts = F.sequence(F.lit(0), F.greatest(F.length(t) - size + step - 1, F.lit(0)), F.lit(step))
-    shared = lambda s: F.size(F.array_intersect(q, sparse_tokens(F.substr(t, s + 1, F.lit(size)))))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(shared(s).alias("n"), (-s).alias("at"))))
-    at = -best["at"]
-    return F.when(F.length(t) <= size, t).otherwise(F.concat(F.when(at > 0, "…").otherwise(""), F.substr(t, at + 1, F.lit(size))))
+    def best(t: Column, q: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(t) - size + step - 1, F.lit(0)), F.lit(step))
+        shared = lambda s: F.size(F.array_intersect(q, sparse_tokens(F.substr(t, s + 1, F.lit(size)))))
+        top = F.array_max(F.transform(starts, lambda s: F.struct(shared(s).alias("n"), (-s).alias("at"))))
+        cut = let(-top["at"], lambda at: F.concat(F.when(at > 0, "…").otherwise(""), F.substr(t, at + 1, F.lit(size))))
+        return F.when(F.length(t) <= size, t).otherwise(cut)
+
+    return let(squash(text), lambda t: let(F.array_distinct(sparse_tokens(query)), lambda q: best(t, q)))
 
 
 def review(items: DataFrame, chunks: DataFrame, k: int = 2) -> DataFrame:

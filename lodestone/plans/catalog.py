@@ -37,15 +37,18 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, pages): documents as the chunkers take them."""
-    lines = F.split("text", "\n")
-    page = lambda i: F.array_join(F.slice("lines", i * PAGE_LINES + 1, PAGE_LINES), "\n")
-    head = lambda i: F.when(i % 2 == 0, F.array(F.substring(F.element_at("lines", i * PAGE_LINES + 1), 1, 40))).otherwise(F.array().cast("array<string>"))
-    pages = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PAGE_LINES).cast("int")),
-        lambda i: F.struct((i + 1).alias("page_number"), page(i).alias("text"), F.lit(None).cast("string").alias("section"), head(i).alias("headings")),
-    )
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), lines.alias("lines"))
-    return chunking.carry_sections(docs.select("document_id", pages.alias("pages")))
+
+    def pages(lines):
+        def page(i):
+            first = F.substring(F.element_at(lines, i * PAGE_LINES + 1), 1, 40)
+            heads = F.when(i % 2 == 0, F.array(first)).otherwise(F.array().cast("array<string>"))
+            body = F.array_join(F.slice(lines, i * PAGE_LINES + 1, PAGE_LINES), "\n")
+            return F.struct((i + 1).alias("page_number"), body.alias("text"), F.lit(None).cast("string").alias("section"), heads.alias("headings"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / PAGE_LINES).cast("int")), page)
+
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return chunking.carry_sections(table(spark, sf_dir, "documents").select(name.alias("document_id"), tx.let(F.split("text", "\n"), pages).alias("pages")))
 
 
 def flat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
