@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sized import in_blocks
 from ..functions.text import let, words
-from .sparse import DIGITS, top_k
+from .sparse import DIGITS, best_of_batch, top_k
 
 BLOCK = 1024  # queries that are broadcast at once
 BATCH = 4096  # rows of a product
@@ -57,14 +57,7 @@ def _scorer(shared, k: int):
                 if groups is not None:
                     own = np.array(batch.column("g").to_pylist(), object)
                     score = np.where(own[:, None] == np.array(groups, object)[None, :], score, -np.inf)
-                out: list[tuple] = []
-                for j, name in enumerate(names):
-                    s = score[:, j]
-                    cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    at = np.flatnonzero((s >= cut) & (s > -np.inf))
-                    at = at[np.lexsort((ids[at], -s[at]))][:k]
-                    out.extend(zip([name] * len(at), ids[at].tolist(), s[at].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+                yield best_of_batch(score, ids, names, k)
 
     return run
 

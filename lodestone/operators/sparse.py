@@ -1,16 +1,23 @@
-"""BM25 over an inverted index: equi-joins of query terms and postings, for any number of queries at once."""
+"""BM25 for any number of queries at once, over a table of tokenised documents."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sized import broadcast_if_small
+from ..functions.sized import broadcast_if_small, in_blocks
 from ..functions.text import sparse_tokens
+from ..sources.tables import written
 
 EPSILON = 0.25  # of the mean idf, in place of a negative one
+BLOCK = 256  # queries whose weights are broadcast at once: their terms times this many numbers
+BATCH = 2048  # documents that are scored at once
 DIGITS = 6  # scores are rounded, so that equal sums in another order stay ties
 
 
@@ -25,10 +32,12 @@ class Index:
 
 
 def build(docs: DataFrame, id_: str, text: Column, k1: float = 1.5, b: float = 0.75) -> Index:
-    """Statistics over all documents, empty ones included."""
+    """Statistics over all documents, empty ones included.  Texts are tokenised once, into a table that all else reads."""
     toks = docs.select(F.col(id_).alias("id"), sparse_tokens(text).alias("toks")).withColumn("dl", F.size("toks"))
+    toks = written(toks, "terms")
     n, mean = toks.agg(F.count(F.lit(1)), F.avg("dl")).first()
     df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = written(df, "frequencies")
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)
     return Index(raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), toks, n, mean or 0.0, k1, b)
@@ -40,21 +49,88 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_: str = "id") -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, id, score) of queries(query_id, text).
-
-    allowed: (query_id, id) pairs that pass a filter.  It never changes scores: idf is that of the corpus.
-    """
+def weights(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, w): idf times multiplicity of the terms of queries(query_id, text)."""
     asked = queries.select("query_id", F.explode(sparse_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    return index.terms.join(broadcast_if_small(asked), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+
+
+def scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score) of every pair with a score above 0, by joins of query terms and postings."""
+    asked = weights(index, queries)
     wanted = broadcast_if_small(asked.select("term").distinct())
     hits = index.tokens.select("id", "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.lit(index.mean_length or 1.0))
     part = F.col("w") * F.col("tf") * (index.k1 + 1) / norm
-    scored = hits.join(broadcast_if_small(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
-    if allowed is not None:
-        scored = scored.join(allowed, ["query_id", "id"], "left_semi")
-    return top_k(scored, k).select("query_id", "rank", "id", "score")
+    return hits.join(broadcast_if_small(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
+
+
+def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score) of queries(query_id, text): one scan of the token table for each block of queries.
+
+    A block's weights are a matrix of terms and queries; each batch of documents adds up the rows of its
+    terms and sends its own k best, so no postings are shuffled.
+    """
+    asked = weights(index, queries)
+    names = queries.select("query_id").distinct().orderBy("query_id")
+    found = None
+    for block in in_blocks(names, BLOCK):
+        lo, hi = block[0]["query_id"], block[-1]["query_id"]
+        rows = asked.where(F.col("query_id").between(lo, hi)).collect()
+        terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+        ids = [r["query_id"] for r in block]
+        at = {q: i for i, q in enumerate(ids)}
+        w = np.zeros((len(terms), len(ids)))
+        for r in rows:
+            w[terms[r["term"]], at[r["query_id"]]] = r["w"]
+        shared = index.tokens.sparkSession.sparkContext.broadcast((list(terms), w, ids))
+        part = index.tokens.where("id IS NOT NULL").mapInArrow(_scorer(shared, k, index.k1, index.b, index.mean_length or 1.0), "query_id long, id long, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = index.tokens.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long"), F.lit(0.0).alias("score")).limit(0)
+    return top_k(found, k).select("query_id", "rank", "id", "score")
+
+
+def best_of_batch(score: np.ndarray, ids: np.ndarray, names: list, k: int) -> pa.RecordBatch:
+    """The k best of each column of score, ties by id; entries of -inf are none."""
+    out: list[list] = [[], [], []]
+    for j, name in enumerate(names):
+        s = score[:, j]
+        cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+        at = np.flatnonzero((s >= cut) & (s > -np.inf))
+        at = at[np.lexsort((ids[at], -s[at]))][:k]
+        for column, values in zip(out, ([name] * len(at), ids[at].tolist(), s[at].tolist())):
+            column.extend(values)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+
+def _scorer(shared, k: int, k1: float, b: float, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, w, names = shared.value
+        known = pa.array(terms, pa.string())
+        for whole in batches:
+            for i in range(0, len(whole), BATCH):
+                batch = whole.slice(i, BATCH)
+                n = len(batch)
+                toks = batch.column("toks")
+                term = pa.compute.index_in(toks.flatten(), known)
+                doc = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(toks).fill_null(0)))
+                has = np.asarray(term.is_valid())
+                cell, tf = np.unique(doc[has] * max(1, len(terms)) + np.asarray(term.drop_null()).astype(np.int64), return_counts=True)
+                doc, term = cell // max(1, len(terms)), cell % max(1, len(terms))
+                norm = k1 * (1 - b + b * np.asarray(batch.column("dl"), np.float64) / mean)
+                part = tf * (k1 + 1) / (tf + norm[doc])
+                score = np.zeros((n, len(names)))
+                first = np.searchsorted(doc, np.arange(n + 1))
+                for d in range(n):
+                    s, e = first[d], first[d + 1]
+                    if s < e:
+                        score[d] = part[s:e] @ w[term[s:e]]
+                score = np.round(score, DIGITS)
+                score[score <= 0] = -np.inf
+                yield best_of_batch(score, np.asarray(batch.column("id")), names, k)
+
+    return run
 
 
 def passes(filters: str, meta: str) -> Column:

@@ -268,7 +268,7 @@ _PASS = """(query_id % 3 <> 0 OR source = 'src0') AND (query_id % 2 <> 0 OR lang
 def bm25_filtered(spark, sf_dir):
     """A filter removes hits after scoring: hits of a query are judged, not all pairs of queries and documents."""
     flt, meta = _filters(spark, sf_dir)
-    hits = sparse.search(_index(spark, sf_dir), _bench(spark, sf_dir), 2**31 - 1)
+    hits = sparse.scores(_index(spark, sf_dir), _bench(spark, sf_dir))
     ok = hits.join(meta, "id").join(flt, "query_id").where(sparse.passes("f", "m"))
     return sparse.top_k(ok, 10).select("query_id", "rank", "id", "score")
 
