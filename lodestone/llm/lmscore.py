@@ -98,13 +98,14 @@ class _Passes:
             for side, name in enumerate(PAIR.names):
                 x = counts[name].astype(float)
                 one, two = x[: len(c.w)], x[len(c.w) :]
-                base = UNIGRAM * (one / totals[side] if totals[side] else 1 / vocabulary) + (1 - BIGRAM - UNIGRAM) / vocabulary
+                base = UNIGRAM * (one / totals[side] if totals[side] else np.full(len(one), 1 / vocabulary)) + (1 - BIGRAM - UNIGRAM) / vocabulary
                 p = base / (1 - BIGRAM)
                 context = one[c.at]
                 # a context that this side never saw leaves all weight to the unigram
                 p[c.at + 1] = np.where(context > 0, base[c.at + 1] + BIGRAM * two / np.maximum(context, 1), p[c.at + 1])
-                total = np.concatenate(([0.0], np.cumsum(-np.log(p))))
-                losses.append((total[c.w.first[1:]] - total[c.w.first[:-1]]) / np.maximum(n, 1))
+                total = np.zeros(len(n))  # each text's own sum, so that equal texts have equal losses
+                total[n > 0] = np.add.reduceat(-np.log(p), c.w.first[:-1][n > 0])
+                losses.append(total / np.maximum(n, 1))
         else:
             losses = [np.zeros(len(n))] * 2
         none = pa.array(n == 0)
