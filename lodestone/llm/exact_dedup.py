@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sqltext import lower_ascii
+from .store import materialize
 
 PREFIX_CHARS = 64
 BITMAP_BITS = 1 << 26
@@ -72,6 +73,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         .agg(F.max(best).alias("_xd_best"), F.count(F.lit(1)).alias("_xd_size"))
         .where("_xd_size > 1")
     )
+    # Written, so that the join deals both sides anew and can split the rows of a huge group over tasks.
+    groups = materialize(groups, "copies")
     extra = [F.col(c) for c in carry if c not in ("keep_id", "group_size", "kept")]
     return (
         keyed.select(*dict.fromkeys([*carry, key]), "_xd_row", "_xd_full")
