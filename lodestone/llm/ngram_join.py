@@ -199,7 +199,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     # Copies in several blocks send the same postings.
     lists = sent.where("shingle IS NOT NULL").groupBy("shingle", "node", "size", "pos", "freq", "m0", "m1", "m2", "m3").agg(F.min("block").alias("block"))
     chunks = F.ceil(F.pow(F.lit(2.0), (F.col("freq") - 1) / STEPS) / CHUNK)
-    lists = lists.withColumn("chunk", F.pmod(F.xxhash64("node", "shingle"), chunks.cast("long")))
+    # Written, here and below, so that the joins by shingle deal both sides anew and can split a long list over tasks.
+    lists = materialize(lists.withColumn("chunk", F.pmod(F.xxhash64("node", "shingle"), chunks.cast("long"))), "lists")
+    rows = materialize(rows, "sets")
+    discard(sent)
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         parcels = by_block(texts).cogroup(by_block(pairs)).applyInArrow(lambda t, p: passes.send(t, p), PARCEL)
@@ -212,12 +215,13 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     # Lists that were joined in chunks: the pairs of different components.
     long = lists.where(chunks > 1).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = long.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    rest = materialize(_candidates(long.join(mixed, "shingle", "left_semi"), ["shingle"], num, den, apart=True), "pairs")
+    long = materialize(long.join(mixed, "shingle", "left_semi"), "lists")
+    rest = materialize(_candidates(long, ["shingle"], num, den, apart=True), "pairs")
     if rest.limit(1).count():
         more = linked(rest, "links")
         if more.limit(1).count():
             labels = components(links.union(more))
-    discard(pairs, rest)
+    discard(pairs, rest, lists, long)
 
     of_node = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least"))
     of_node = of_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
