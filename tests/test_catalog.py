@@ -25,6 +25,8 @@ def duck():
 def cell(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "-"
+    if hasattr(v, "tzinfo"):
+        v = v.replace(tzinfo=None)
     return f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
