@@ -595,7 +595,7 @@ def answerability(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", a.alias("answerable_success"), b.alias("abstention_accuracy"))
 
 
-@register("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS requests, round(avg(value), 4) AS mean, max(value) AS worst FROM events GROUP BY ALL")
+@register("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS requests, round(avg(value), 6) AS mean, max(value) AS worst FROM events GROUP BY ALL")
 def trace_windows(spark, sf_dir):
     return traces.windowed(table(spark, sf_dir, "events"))
 

@@ -13,7 +13,7 @@ def read_traces(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def windowed(traces: DataFrame, time: str = "ts", by: str = "event_type", value: str = "value", width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window_start, by, requests, mean, worst) for tumbling windows; batch and streaming alike."""
     rows = traces.withWatermark(time, late) if traces.isStreaming else traces
-    out = rows.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg(value), 4).alias("mean"), F.max(value).alias("worst"))
+    out = rows.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("worst"))
     return out.select(F.col("w.start").alias("window_start"), by, "requests", "mean", "worst")
 
 
