@@ -9,7 +9,7 @@ neighbours, at most 3 at either end can be named differently after two rounds.
 
 High-level phrases (symbols from a boundary on that cover MIN_COVER words or more, 7 at most) are then
 counted over the whole corpus.  A window of 13 words can only repeat where phrases inside it are shared;
-windows with equal neighbours are always taken.  The windows left over are verified: their own hashes
+windows with equal neighbours, or whose first word ends a run, are always taken.  The windows left over are verified: their own hashes
 are looked up over the corpus with the smallest id that has them, and a word goes if a window that
 covers it starts in a text with a smaller id.  See blocks.py for how keys travel.
 
@@ -92,6 +92,10 @@ def candidates(w: kn.Words, shared: np.ndarray, start: np.ndarray, end: np.ndarr
     h = w.hashes
     same = np.concatenate(([0], np.cumsum(h[1:] == h[:-1])))
     repeats = same[SPAN - 1 :][:m] != same[:m]
+    # the last word of a run: its symbol starts before the window and can reach one word further into it
+    inner = np.ones(m, bool)
+    inner[w.first[w.first < m]] = False
+    repeats[1:] |= (h[1:m] == h[: m - 1]) & inner[1:]
     # some shared phrase starts in the first MARGIN + 1 words and ends before the last MARGIN
     some, every = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     lo, hi = np.maximum(end - (SPAN - MARGIN), start - MARGIN)[shared], start[shared]

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -49,6 +50,20 @@ def test_equal_substrings_get_equal_interior_symbols():
         assert names[0] == names[1]
 
 
+def test_spans_after_their_own_first_word(spark):
+    """A window that starts on the last word of a run: 'x x w2 ... w13' against 'y x w2 ... w13'."""
+    rnd = random.Random(11)
+    texts = []
+    for i in range(400):
+        span = [f"w{rnd.randrange(10**6)}" for _ in range(13)]
+        pair = [[span[0]] * rnd.randint(1, 3) + span + [f"b{i}"], [f"c{i}"] + span + [span[-1]] * rnd.randint(0, 2) + [f"d{i}"]]
+        rnd.shuffle(pair)
+        texts += [(2 * i + k, " ".join(t)) for k, t in enumerate(pair)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame(spark, texts)).collect()}
+    want = brute(texts)
+    assert not [i for i in want if got[i] != want[i]]
+
+
 def test_odd_rows(odd):
     got = substring_dedup(odd).collect()
     assert len(got) == 11
