@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     def one_of_each(d: DataFrame) -> DataFrame:
         # rows and not ids are the nodes: ids may be null or repeat
         rows = d.withColumn("_row", F.monotonically_increasing_id())
-        found = ngram_join.ngram_join(rows, key="_row", n=5, num=80, den=100)
+        found = ngram_join.ngram_join(rows, key="_row", n=5, num=80, den=100, count_links=False)
         ids = rows.select("_row", "doc_id").join(found, "_row")
         first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x"))
         return rows.join(first.select(F.col("x._row").alias("_row")), "_row", "left_semi")

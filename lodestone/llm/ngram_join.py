@@ -14,8 +14,13 @@ postings are first joined in chunks, whose links give components; then all pairs
 lie in different components are joined.  So no link between components is lost, while a large group of
 near copies doesn't emit all its pairs.
 
+n_links is the number of pairs of rows in a component that reach the threshold, copies too.  Pairs of one
+component are compared once more for it, all of them: its sets are dealt into chunks, each two chunks meet
+in a tile, and a tile counts its links by matrix products and returns one number.  The work is quadratic in
+the size of a component, the rows are not.
+
 Defined results.  Texts without words (null, empty, blank) have an empty set, link with nothing and are
-components of their own.  Rows that repeat are one node; a null key is in a component but never names
+components of their own with 0 links.  Rows that repeat are one node; a null key is in a component but never names
 one, and a component of null keys alone has a null id.  An empty table gives an empty table.
 """
 
@@ -33,10 +38,14 @@ from .store import discard, materialize
 
 FREQ_BITS = 40
 CHUNK = 32
+TILE_SETS, TILE_SHINGLES = 512, 1 << 20  # sets and their members in a chunk of a tile, about
+COLUMNS = 4096  # shingles of a matrix product
 STEPS = 8  # frequency classes for each doubling
 POSTING = "shingle long, node long, size int, pos int, freq int, m0 long, m1 long, m2 long, m3 long, block int, key long"
 PARCEL = "block int, node long, body binary, others array<bigint>"
 LINK = "a long, b long"
+MEMBER = "label long, chunk long, chunks long, copies long, body binary"
+COUNT = "label long, links long"
 
 
 class Sets:
@@ -86,6 +95,32 @@ def _ceil_div(a, b):
     return -(-a // b)
 
 
+def count_pairs(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, num: int, den: int) -> int:
+    """Pairs of rows whose sets link: between the two sides, or among all sets if there is only one side."""
+    cross = bool(side.any() and not side.all())
+    x, y = (np.flatnonzero(~side), np.flatnonzero(side)) if cross else (np.arange(len(sets)),) * 2
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # shingles of one set only add to no pair
+    of_column = np.cumsum(times > 1) - 1
+    stay = times[column] > 1
+    column, owner = of_column[column[stay]], owner[stay]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(x), len(y)), np.int64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, width, COLUMNS):
+        i, j = np.searchsorted(column, (start, start + COLUMNS))
+        m = np.zeros((len(sets), min(COLUMNS, width - start)), np.float32)
+        m[owner[i:j], column[i:j] - start] = 1
+        both += (m[x] @ m[y].T).astype(np.int64)
+    link = den * both >= num * (sizes[x][:, None] + sizes[y] - both)
+    if not cross:
+        link = np.triu(link, 1)
+    return int(copies[x] @ (link @ copies[y]))
+
+
 class _Passes:
     def __init__(self, buckets: int, n: int, num: int, den: int):
         self.buckets, self.n, self.num, self.den = buckets, n, num, den
@@ -168,6 +203,27 @@ class _Passes:
                         links.append((a, b))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
+    def bodies(self, table: pa.Table, members: pa.Table) -> pa.Table:
+        """The sets of the members of components."""
+        sets = Sets(table, self.n) if members.num_rows else None
+        at = {int(x): i for i, x in enumerate(sets.nodes)} if sets else {}
+        body = [bl.squeeze(np.diff(sets.get(at[a]), prepend=np.uint64(0))) for a in members["node"].to_pylist()]
+        return pa.table({**{c: members[c] for c in ("label", "chunk", "chunks", "copies")}, "body": pa.array(body, pa.binary())})
+
+    def tile(self, table: pa.Table) -> pa.Table:
+        """The links of each label of a tile: between its two chunks, or inside the only one."""
+        label, chunk, copies = (table[c].to_numpy() for c in ("label", "chunk", "copies"))
+        body = table["body"].combine_chunks()
+        order = np.argsort(label, kind="stable")
+        names, first = np.unique(label[order], return_index=True)
+        links = []
+        for at in np.split(order, first[1:]):
+            sets = [np.cumsum(bl.unsqueeze(body[int(i)].as_py(), np.uint64), dtype=np.uint64) for i in at]
+            # a tile of two chunks of which one got no set has no pairs
+            alone = table["i"][0].as_py() != table["j"][0].as_py() and len(set(chunk[at].tolist())) == 1
+            links.append(0 if alone else count_pairs(sets, copies[at], chunk[at] != chunk[at[0]], self.num, self.den))
+        return pa.table({"label": pa.array(names, pa.int64()), "links": pa.array(links, pa.int64())})
+
 
 def _candidates(x: DataFrame, on: list[str], num: int, den: int, apart: bool = False) -> DataFrame:
     """Pairs of postings that pass the filters, once each; a sits in block and b in to."""
@@ -186,8 +242,8 @@ def _candidates(x: DataFrame, on: list[str], num: int, den: int, apart: bool = F
     return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_block").alias("block"), F.col("b_block").alias("to")).distinct()
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component_id) of every row; sets link when den * |x & y| >= num * |x | y|."""
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, count_links: bool = True) -> DataFrame:
+    """(key, n_shingles, component_id[, n_links]) of every row; sets link when den * |x & y| >= num * |x | y|."""
     spark = docs.sparkSession
     nb, buckets = bl.layout(bl.text_bytes(docs, text))
     passes = _Passes(buckets, n, num, den)
@@ -195,7 +251,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     by_block = lambda df: df.groupBy("block")
     freq = by_block(texts).applyInArrow(lambda t: passes.ask(t), bl.REQUEST).groupBy("bucket").applyInArrow(lambda t: passes.count(t), bl.ANSWER)
     sent = materialize(by_block(texts).cogroup(by_block(freq)).applyInArrow(lambda t, r: passes.postings(t, r), POSTING), "postings")
-    rows = sent.where("shingle IS NULL").select("key", "node", "size")
+    rows = sent.where("shingle IS NULL").select("key", "node", "size", "block")
     # Copies in several blocks send the same postings.
     lists = sent.where("shingle IS NOT NULL").groupBy("shingle", "node", "size", "pos", "freq", "m0", "m1", "m2", "m3").agg(F.min("block").alias("block"))
     chunks = F.ceil(F.pow(F.lit(2.0), (F.col("freq") - 1) / STEPS) / CHUNK)
@@ -223,13 +279,26 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
             labels = components(links.union(more))
     discard(pairs, rest, lists, long)
 
-    of_node = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least"))
+    of_node = rows.where("size > 0").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min("block").alias("block"), F.max("size").cast("long").alias("members"))
     of_node = of_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_label = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = materialize(of_node.join(of_label, "label").select("node", "component_id"), "nodes")
-    return rows.join(of_node, "node", "left").select(
-        F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
-    )
+    of_label = of_node.groupBy("label").agg(F.min("least").alias("component_id"), F.sum(F.expr("copies * (copies - 1) div 2")).alias("n_links"), F.count("*").alias("nodes"), F.sum("members").alias("members"))
+    if count_links:
+        of_node, of_label = materialize(of_node, "nodes"), materialize(of_label, "components")
+        chunks = F.greatest(F.ceil(F.col("nodes") / TILE_SETS), F.ceil(F.col("members") / TILE_SHINGLES)).cast("long").alias("chunks")
+        members = of_node.drop("members").join(of_label.where("nodes > 1").select("label", chunks), "label").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+        bodies = by_block(texts).cogroup(by_block(members)).applyInArrow(lambda t, m: passes.bodies(t, m), MEMBER)
+        # components of one chunk share tiles
+        met = bodies.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("whole", F.col("chunks") == 1)
+        met = met.select("label", "chunk", "copies", "body", F.when(F.col("whole"), F.pmod(F.xxhash64("label"), F.lit(nb))).otherwise(F.col("label")).alias("tile"), *[F.when(F.col("whole"), -1).otherwise(f("chunk", "other")).alias(c) for f, c in ((F.least, "i"), (F.greatest, "j"))])
+        counted = met.groupBy("tile", "i", "j").applyInArrow(lambda t: passes.tile(t), COUNT).groupBy("label").agg(F.sum("links").alias("links"))
+        counted = materialize(counted, "counts")
+        of_label = of_label.join(counted, "label", "left").withColumn("n_links", F.col("n_links") + F.coalesce("links", F.lit(0)))
+    found = materialize(of_node.join(of_label.select("label", "component_id", "n_links"), "label").select("node", "component_id", "n_links"), "nodes")
+    if count_links:
+        discard(of_node, counted)
+    size = F.col("size")
+    out = [F.col("key").alias(key), size.cast("long").alias("n_shingles"), F.when(size > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")]
+    return rows.join(found, "node", "left").select(*out, *([F.when(size > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")] if count_links else []))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import re
 
+import pytest
+
+from lodestone.llm import ngram_join as ngram_join_module
 from lodestone.llm.ngram_join import ngram_join
 
 from .conftest import frame, near_copies
@@ -45,6 +48,27 @@ def test_long_lists_lose_no_link(spark):
     assert got == brute(texts, 3, 90, 100)
 
 
+def links(texts, n, num, den):
+    """Pairs of rows that link, for each component."""
+    sets, of, out = {i: shingles(t, n) for i, t in texts}, brute(texts, n, num, den), {}
+    for a in sets:
+        out.setdefault(of[a][1], 0)
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                out[of[a][1]] += den * both >= num * (len(sets[a]) + len(sets[b]) - both)
+    return out
+
+
+@pytest.mark.parametrize("tile", [16, ngram_join_module.TILE_SETS])
+def test_links_inside_components_are_counted(spark, monkeypatch, tile):
+    """All of them: of copies, of lists joined in chunks, and of components that fill several tiles."""
+    monkeypatch.setattr(ngram_join_module, "TILE_SETS", tile)
+    texts = near_copies(300, 9, length=120, edits=2) + [(900, "one two"), (901, "ONE two"), (902, "one two"), (903, ""), (904, None)]
+    got = {r.component_id: r.n_links for r in ngram_join(frame(spark, texts)).collect()}
+    assert got == links(texts, 3, 90, 100)
+
+
 def test_odd_rows(odd):
     got = ngram_join(odd).collect()
     assert len(got) == 11
