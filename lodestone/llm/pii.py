@@ -9,8 +9,8 @@ share skip potentials however far apart they stand, each with the next of its ki
 passing runs over the loopy graph of each document; units that a base span covers are observed.  A free
 unit becomes a span where a label's belief reaches ADD_AT.
 
-Weights are learned by pseudo-likelihood gradient descent on units of at most TRAIN_DOCS documents, with
-the base labels as teacher.  Features are dropped at random in training, so that shape and context
+Weights are learned by pseudo-likelihood gradient descent on units of at most TRAIN_DOCS whole documents,
+with the base labels as teacher.  Features are dropped at random in training, so that shape and context
 carry weight on their own.
 
 Defined results.  Null and empty texts have no spans.  Positions are code points, end exclusive.  Rows
@@ -19,6 +19,7 @@ that repeat are judged alike.  Columns of the input pass through; results replac
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -275,12 +276,13 @@ _HAS[48:58] = _HAS[ord("@")] = True
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = TRAIN_DOCS) -> Field:
-    """Fit on at most max_docs documents that hold a digit or an at sign."""
+    """Fit on at most max_docs documents that hold a digit or an at sign; their units, not their texts, reach the driver."""
     rows = docs.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
     n = rows.count()
-    some = rows.where(F.pmod("h", F.lit(1 << 20)) < min(1.0, (1.2 * max_docs + 50) / max(1, n)) * (1 << 20)).select("h", F.substring("t", 1, 20000).alias("t"))
-    found = sorted(some.collect(), key=lambda r: (r["h"] % (1 << 20), r["h"], r["t"]))[:max_docs]
-    return fit([units(r["t"], base_spans(r["t"])) for r in found])
+    some = rows.where(F.pmod("h", F.lit(1 << 20)) < min(1.0, (1.2 * max_docs + 50) / max(1, n)) * (1 << 20))
+    teacher = F.udf(lambda t: pickle.dumps(units(t, base_spans(t))), T.BinaryType())
+    found = sorted(some.select("h", teacher("t").alias("units")).collect(), key=lambda r: (r["h"] % (1 << 20), r["h"], r["units"]))[:max_docs]
+    return fit([pickle.loads(r["units"]) for r in found])
 
 
 def find(docs: DataFrame, field: Field, text: str = "text", carry: list[str] | None = None) -> DataFrame:

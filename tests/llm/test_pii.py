@@ -45,6 +45,14 @@ def test_skip_chains_find_other_spellings():
     assert added == {"743-555-3824", "john.doe [at] example [dot] com"} and clean == []
 
 
+def test_training_reads_whole_texts(spark):
+    """Everything to learn from stands behind 20,000 characters."""
+    texts = [(i, "word " * 5000 + f"call +1 ({200 + i}) 555-{1000 + i} today") for i in range(40)]
+    near = pii.fit([pii.units(t, pii.base_spans(t)) for _, t in texts])
+    got = pii.train(frame(spark, texts))
+    assert abs(got.unary).sum() > 0 and abs(got.unary - near.unary).max() < 0.05
+
+
 def test_odd_rows(spark, odd, none):
     field = teacher()
     got = pii.find(odd, field)
