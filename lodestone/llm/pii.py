@@ -311,8 +311,8 @@ def find(docs: DataFrame, field: Field, text: str = "text", carry: list[str] | N
 
 
 def _spelt(column: pa.Array) -> np.ndarray:
-    """Texts that may hold a spelt-out address."""
-    hit = pa.compute.match_substring_regex(column, r"(?i)[\[({<] ?at ?[\])}>]| dot ")
+    """Texts that may hold a spelt-out address: all that units() finds one in."""
+    hit = pa.compute.match_substring_regex(column, r"(?i)[\[({<] ?at ?[\])}>]| at .*dot")
     return hit.fill_null(False).to_numpy(zero_copy_only=False)
 
 

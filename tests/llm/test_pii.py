@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from lodestone.llm import pii
 
 from .conftest import frame
@@ -53,6 +55,14 @@ def test_training_reads_whole_texts(spark):
     assert abs(got.unary).sum() > 0 and abs(got.unary - near.unary).max() < 0.05
 
 
+def test_every_text_with_a_spelt_unit_is_judged():
+    rnd = random.Random(8)
+    parts = [" at ", " AT ", "(at)", " [ at ] ", " (dot) ", "(Dot)", " dot ", ".", "john", "dotty", "com", " ", "\n", "{dot}"]
+    texts = ["write to john at example (dot) com", "john at dotty.com"] + ["a" + "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 9))) for _ in range(20_000)]
+    hit = pii._spelt(pa.array(texts))
+    assert hit[0] and hit[1] and not [t for t, h in zip(texts, hit) if pii.units(t, []) and not h]
+
+
 def test_odd_rows(spark, odd, none):
     field = teacher()
     got = pii.find(odd, field)
