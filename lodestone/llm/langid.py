@@ -15,8 +15,8 @@ letters or more is rejected from REJECT_AT of the way from one to the other on.
 always is.
 
 Training reads at most TRAIN_DOCS texts of each language (those with the smallest hash of the id, so the
-choice depends on ids alone) and TRAIN_BYTES: a classifier fit on a bounded sample.  Scoring reads every
-whole text.
+choice depends on ids alone) and goes on until TRAIN_BYTES are reached: a classifier fit on a bounded sample
+of whole texts, the last of which may pass the bound.  Scoring reads every whole text.
 
 Defined results.  Null text and text without a letter: ``und`` with score 0 and rejected.  Ties go to the
 language that sorts first.  Without any training text every language is ``und``.  Columns of the input
@@ -240,22 +240,32 @@ def _pieces(text: bytes, size: int = 1 << 19) -> Iterator[bytes]:
 
 
 def train(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Model:
-    """Fit on at most max_docs texts and max_bytes of each language among the rows that are usable."""
+    """Fit on whole texts of each language among the rows that are usable: max_docs at most, and none after max_bytes are reached."""
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("g"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"))
     counts = {r[0]: r[1] for r in rows.groupBy("g").count().collect()}
     # half as many again as are wanted, in expectation; then the smallest hashes
     share = F.create_map(*[F.lit(x) for g, c in counts.items() for x in (g, min(1.0, (1.5 * max_docs + 50) / c))]) if counts else F.lit(0.0)
-    some = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("g")] * (1 << 20)).withColumn("t", F.substring("t", 1, max_bytes // 20)) if counts else rows
+    some = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("g")] * (1 << 20)) if counts else rows
+    some = some.withColumn("x", F.xxhash64("t"))
     names = sorted(counts)
-    texts: dict[str, list[bytes]] = {g: [] for g in names}
-    held: dict[str, list[bytes]] = {g: [] for g in names}
+    chosen: list[tuple[str, int, int]] = []
     size, taken = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
-    for r in sorted(some.collect(), key=lambda r: (r["h"] % (1 << 20), r["h"], r["t"])):
-        g, body = r["g"], r["t"].encode()
-        if taken[g] < max_docs and size[g] + len(body) <= max_bytes:
-            (held if taken[g] % CALIBRATION_PART == CALIBRATION_PART - 1 else texts)[g].append(body)
+    # lengths first, so that the driver gets no text that isn't used
+    for r in sorted(some.select("g", "h", "x", F.octet_length("t").alias("n")).collect(), key=lambda r: (r["h"] % (1 << 20), r["h"], r["x"])):
+        g = r["g"]
+        if taken[g] < max_docs and size[g] < max_bytes:
+            chosen.append((g, r["h"], r["x"]))
             taken[g] += 1
-            size[g] += len(body)
+            size[g] += r["n"]
+    wanted = some.where(F.col("h").isin(sorted({h for _, h, _ in chosen})) & F.col("x").isin(sorted({x for _, _, x in chosen}))).dropDuplicates(["g", "h", "x"])
+    bodies = {(r["g"], r["h"], r["x"]): r["t"].encode() for r in wanted.collect()} if chosen else {}
+    texts: dict[str, list[bytes]] = {g: [] for g in names}
+    held: dict[str, list[bytes]] = {g: [] for g in names}
+    turn = dict.fromkeys(names, 0)
+    for c in chosen:
+        g = c[0]
+        (held if turn[g] % CALIBRATION_PART == CALIBRATION_PART - 1 else texts)[g].append(bodies[c])
+        turn[g] += 1
     return Model(names, texts, held)
 
 

@@ -32,6 +32,14 @@ def test_languages_held_out_and_noise(spark):
     assert all(r.rejected for r in langid.identify(noise, model).collect())
 
 
+def test_language_training_reads_whole_texts(spark):
+    """The letters of the second half stand behind 100,000 characters; a text of more than the budget is whole too."""
+    texts = [(i, "ka lo " * 20_000 + "mi ra " * 20_000) for i in range(3)]
+    for budget in (langid.TRAIN_BYTES, 1000):
+        model = langid.train(frame(spark, texts), F.lit(True), max_bytes=budget)
+        assert "".join(map(chr, model.chars)) == "aiklmor"
+
+
 def test_probabilities_sum_to_one(spark):
     texts = {g: [t.encode() for t in sentences(g, 30, 2)] for g in SYLLABLES}
     model = langid.Model(sorted(texts), texts, {g: v[:3] for g, v in texts.items()})
