@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Text is normalised to lower-case letters with one space between words; characters outside the
-model's alphabet share one class.  Each language has a character model of order ORDER with absolute
+Text is normalised to lower-case letters with one space between words; every letter of the training
+texts has its own class (MOST_LETTERS at most), and all other letters share one.  Each language has a character model of order ORDER with absolute
 discounting (one discount for each order, n1 / (n1 + 2 n2)) and continuation counts below the highest
 order.  All languages share one sorted hash array for each order: a row holds every language's
 log-probability of that n-gram, already interpolated, and a second array holds the back-off weights of
@@ -43,8 +43,10 @@ TRAIN_BYTES = 2_000_000  # of each language
 CALIBRATION_PART = 5  # one of so many training texts calibrates
 REJECT_LETTERS, REJECT_AT = 20, 0.6
 LAST_LETTER = 0x323AF  # no Unicode letter has a larger code point
-ALPHABET = 62  # letters of their own class; 0 is the space, ALPHABET + 1 any other letter
-BITS = 6
+ALPHABET = 62  # letters that the uniform distribution counts at least; class 0 is the space, the last one any other letter
+BITS = 16  # ORDER classes fill 64 bits
+MOST_LETTERS = (1 << BITS) - 2
+CONTEXT = (1 << BITS * (ORDER - 1)) - 1  # an n-gram without its last class; the shift keeps the sign
 
 
 @lru_cache(1)
@@ -87,34 +89,35 @@ class Model:
         seen = {g: [letters(t) for t in texts[g]] for g in languages}
         every = np.concatenate([x for g in languages for x in seen[g]] or [np.zeros(0, np.uint32)])
         chars, counts = np.unique(every[every > 0], return_counts=True)
-        self.chars = np.sort(chars[np.argsort(-counts, kind="stable")[:ALPHABET]])
+        self.chars = np.sort(chars[np.argsort(-counts, kind="stable")[:MOST_LETTERS]])
+        self.other = max(ALPHABET, len(self.chars)) + 1
         grams = {g: self._counts(seen[g]) for g in languages}
         n = len(languages)
         self.keys: list[np.ndarray] = []
         self.logp: list[np.ndarray] = []
         self.back_keys: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
-        symbols = ALPHABET + 2
+        symbols = self.other + 1
         lower = np.full((symbols, n), 1.0 / symbols)  # order 0: uniform
         lower_keys = np.zeros(0, np.int64)
         for order in range(1, ORDER + 1):
             tables = [grams[g][order] for g in languages]
             keys = np.unique(np.concatenate([k for k, _ in tables] or [np.zeros(0, np.int64)]))
-            contexts = np.unique(keys >> BITS)
+            contexts = np.unique(keys >> BITS & CONTEXT)
             p = np.zeros((len(keys), n))
             weight = np.ones((len(contexts), n))
             for i, (k, c) in enumerate(tables):
                 c = c.astype(float)
                 once, twice = np.count_nonzero(c == 1), np.count_nonzero(c == 2)
                 discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
-                at = np.searchsorted(contexts, k >> BITS)
+                at = np.searchsorted(contexts, k >> BITS & CONTEXT)
                 total = np.bincount(at, weights=c, minlength=len(contexts))
                 kinds = np.bincount(at, minlength=len(contexts))
                 weight[:, i] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
                 p[np.searchsorted(keys, k), i] = (c - discount) / total[at]
             shorter = keys & ((1 << (BITS * (order - 1))) - 1)
             base = lower[keys] if order == 1 else self._interpolated(lower_keys, lower, shorter, order - 1)
-            p += weight[np.searchsorted(contexts, keys >> BITS)] * base
+            p += weight[np.searchsorted(contexts, keys >> BITS & CONTEXT)] * base
             self.keys.append(keys)
             self.logp.append(np.log(p).astype(np.float32))
             self.back_keys.append(contexts)
@@ -144,9 +147,9 @@ class Model:
     def classes(self, x: np.ndarray) -> np.ndarray:
         """Classes of lower-case letters."""
         if not len(self.chars):
-            return np.where(x == 0, 0, ALPHABET + 1).astype(np.uint8)
+            return np.where(x == 0, 0, self.other).astype(np.uint16)
         at = np.minimum(np.searchsorted(self.chars, x), len(self.chars) - 1)
-        return np.where(x == 0, 0, np.where(self.chars[at] == x, at + 1, ALPHABET + 1)).astype(np.uint8)
+        return np.where(x == 0, 0, np.where(self.chars[at] == x, at + 1, self.other)).astype(np.uint16)
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes of characters, and the ORDER-gram that ends at each from the ORDER-th on."""
@@ -163,7 +166,7 @@ class Model:
         """Log-probabilities of n-grams that are in no language."""
         if order == 0:
             return np.full((len(grams), len(self.languages)), self.unseen)
-        context, shorter = grams >> BITS, grams & ((1 << (BITS * (order - 1))) - 1)
+        context, shorter = grams >> BITS & CONTEXT, grams & ((1 << (BITS * (order - 1))) - 1)
         out = self.look(shorter, order - 1) if order > 1 else np.full((len(grams), len(self.languages)), self.unseen)
         keys = self.back_keys[order - 1]
         at = np.minimum(np.searchsorted(keys, context), max(0, len(keys) - 1))

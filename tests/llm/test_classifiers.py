@@ -40,6 +40,19 @@ def test_language_training_reads_whole_texts(spark):
         assert "".join(map(chr, model.chars)) == "aiklmor"
 
 
+def test_every_letter_has_its_class():
+    """Languages of rare scripts beside others whose letters alone fill the 62 most frequent; words of one length."""
+    rnd = random.Random(6)
+    scripts = {"a": [chr(0x4E00 + i) for i in range(40_000 - 0x4E00)], "b": [chr(0x3B1 + i) for i in range(17)], "c": [chr(0x430 + i) for i in range(32)], "d": [chr(97 + i) for i in range(26)], "e": [chr(0x5D0 + i) for i in range(27)]}
+    write = lambda g, n: " ".join("".join(rnd.choice(scripts[g]) for _ in range(5)) for _ in range(n)).encode()
+    texts = {g: [write(g, 900 if g in "cde" else 60) for _ in range(10)] for g in scripts} | {"a": [write("a", 3000) for _ in range(10)]}
+    model = langid.Model(sorted(texts), texts, {g: v[:2] for g, v in texts.items()})
+    assert len(model.chars) > 20_000 and {model.predict(write(g, 12))[0] for g in "b"} == {"b"} and all(model.predict(write(g, 12))[0] == g for g in scripts)
+    # classes of 1 << 15 or more set the sign of a key
+    wide = np.array([[40_000, 3, 50_000, 65_000]], np.uint16)
+    assert int(langid._grams(wide[0])[0] >> langid.BITS & langid.CONTEXT) == 40_000 << 32 | 3 << 16 | 50_000
+
+
 def test_probabilities_sum_to_one(spark):
     texts = {g: [t.encode() for t in sentences(g, 30, 2)] for g in SYLLABLES}
     model = langid.Model(sorted(texts), texts, {g: v[:3] for g, v in texts.items()})
