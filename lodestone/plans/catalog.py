@@ -448,6 +448,14 @@ def hashing_embedding(spark, sf_dir):
     return dense.hashed_features(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")).withColumn("value", F.round("value", 6))
 
 
+@register(r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), g AS (SELECT id, md5(unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS h FROM t),
+  s AS (SELECT id, (((CAST('0x' || substr(h, 1, 16) AS UBIGINT) % 384) * 256 + CAST('0x' || substr(h, 17, 16) AS UBIGINT) % 384) % 384) AS idx, sum(CASE WHEN CAST('0x' || substr(h, 16, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM g GROUP BY ALL HAVING v <> 0)
+  SELECT id, CAST(idx AS INT) AS idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM s""")
+def document_embedding(spark, sf_dir):
+    """Whole documents, as hashing_embedding has the queries."""
+    return dense.hashed_features(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).withColumn("value", F.round("value", 6))
+
+
 # ---- query processing
 
 LITERAL_QUERIES = (
