@@ -1,9 +1,12 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm import exact_dedup as module
+from lodestone.llm.exact_dedup import distinct_texts, exact_dedup
 from lodestone.llm.sqltext import lower_ascii
+from lodestone.llm.store import materialize, scratch
 
 from .conftest import frame, near_copies
 
@@ -45,6 +48,52 @@ def test_empty_table(none):
     assert exact_dedup(none).count() == 0
 
 
+def shuffled(spark):
+    """20,000 rows of 5,000 texts that come out of a join, with columns that only the result reads."""
+    left = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), (F.col("id") % 5000).cast("string")).alias("text"))
+    right = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), (F.col("id") * 3).alias("more"))
+    return left.join(right.hint("merge"), "doc_id")
+
+
+def test_rows_of_a_join_keep_their_numbers(spark, tmp_path):
+    for columns in (["doc_id", "text", "wide", "more"], ["doc_id"]):
+        exact_dedup(shuffled(spark), carry=columns).write.mode("overwrite").parquet(str(tmp_path / "out"))
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert got.count() == 20_000 and got.where("kept").count() == 5_000
+        assert got.where("kept AND doc_id < 15000").count() == 0
+    distinct_texts(shuffled(spark)).write.parquet(str(tmp_path / "distinct"))
+    got = spark.read.parquet(str(tmp_path / "distinct"))
+    assert got.columns == ["doc_id", "text", "wide", "more"]
+    assert got.count() == 5_000 and got.select("text").distinct().count() == 5_000
+
+
+def test_distinct_texts_by_shuffle_and_by_broadcast(spark, odd, none, monkeypatch):
+    want = sorted(map(str, exact_dedup(odd).where("kept").select("doc_id", "text").collect()))
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(module, "MOST_DROPPED", most)
+        got = distinct_texts(odd)
+        assert got.columns == odd.columns
+        assert sorted(map(str, got.select("doc_id", "text").collect())) == want
+    assert distinct_texts(none).count() == 0
+
+
+def test_names_with_dots_and_text_ids(spark):
+    docs = spark.createDataFrame([("a", "X y", 1, 2), ("b", "x Y", 3, 4), ("c", "z", 5, 6)], "doc_id string, text string, `n.chars` long, `_a b` long")
+    got = {r["doc_id"]: r for r in exact_dedup(docs).collect()}
+    assert got["a"].keep_id == "b" and got["b"].kept and got["c"].group_size == 1 and got["b"]["n.chars"] == 3
+    assert sorted(r["doc_id"] for r in distinct_texts(docs).collect()) == ["b", "c"]
+
+
+def test_written_tables_go(spark, odd):
+    with scratch() as keep:
+        out = materialize(exact_dedup(odd), "result")
+        keep.append(out)
+        inner = materialize(out, "other")
+    assert out.count() == 11
+    with pytest.raises(Exception):
+        inner.count()
+
+
 def test_contract_query_hash(spark):
     texts = [(1, "ÀÉ abc DEF"), (2, "ABC xyz"), (3, "ß İ K")]
     got = {r[0]: r[1] for r in frame(spark, texts).select("doc_id", F.sha2(lower_ascii(F.col("text")), 256)).collect()}
