@@ -1,18 +1,23 @@
 """Benchmark decontamination by winnowing.
 
 Every text has the hash of each run of K words; of each WINDOW neighbouring hashes the smallest is kept
-as a fingerprint.  Two texts that share K + WINDOW - 1 = 13 words share a fingerprint of that span, so a
-join of training and benchmark fingerprints misses no span.  Hits are extended word by word in both
-directions to the whole shared span, which counts where it has 13 words or more (for an item of m < 13
-words: all of its m words; such items are winnowed with K = m and a window of one).
-
-The benchmark is cut into blocks of at most BLOCK_WORDS words, each broadcast on its own: the bound on
-what is broadcast doesn't depend on the benchmark.  The corpus is never shuffled: each block adds its
-hits to the rows that pass by.
-
-Defined results.  Null and empty texts have no words, no hits and are clean.  An item without words is
-never found.  Rows that repeat are judged alike; items that repeat an id count once.  Items of null id
-mark words but have no id to list.  Extra columns pass through; results replace columns of their names.
+as a fingerprint.  Of equal minima enough are kept that each window has one, so a text of one repeated
+word has one in WINDOW words.  Two texts that share K + WINDOW - 1 = 13 words share the fingerprint of that
+span, so a join of training and benchmark fingerprints misses no span.  A hit is extended to the windows of
+13 words around it, and each of them is verified by its own hash: the words of verified windows are the
+whole shared spans of 13 words or more.  An item of m < 13 words counts where all its m words occur; such
+items are winnowed with K = m and a window of one.  All this is linear in the texts, repeated words included.
+
+A benchmark of up to BLOCK_BYTES of text is broadcast, as sorted fingerprints, windows and the items of each
+window, and joined by binary search: the corpus isn't shuffled.  A larger one is joined by shuffles: (fingerprint,
+row, place) with the benchmark's fingerprints, the windows around the hits with its windows.  Neither way has the
+benchmark or the corpus in one place, and results are the same.
+
+Defined results.  Null and empty texts have no words, no hits and are clean.  Very long texts are handled
+whole.  An item without words is never found.  Rows that repeat are judged alike; items that repeat an id count
+once.  Items of null id mark words but have no id to list.  An empty table gives an empty table, an empty
+benchmark no hits.  Ids may be of any type: they are listed as strings.  Extra columns of any name pass through;
+results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -21,16 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as kn
+from .rows import with_results
+from .sqltext import column
+from .store import materialize
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
-BLOCK_WORDS = 4_000_000  # 32 MB of hashes and about 24 MB of fingerprints a block
+BLOCK_BYTES = 16 << 20  # of benchmark text: some 2.5 million words, 60 MB of arrays
+PAIRS = 1 << 20  # (text, item) pairs that are worked out at once
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,160 +49,246 @@ def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[
     if not len(whole):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = np.where(whole, kn.sliding_min(g, window)[: len(whole)], np.uint64(0))
-    # a place is kept where it is the minimum of one of its windows, so where the largest of their minima is its own hash
+    # a place can be kept where it is the minimum of one of its windows, so where the largest of their minima is its own hash
     room = np.zeros(len(g) + window - 1, np.uint64)
     room[window - 1 : window - 1 + len(least)] = least
     at = np.flatnonzero((kn.sliding_max(room, window) == g) & (g > 0))
+    at = at[_enough(at, g[at], window)]
     return at, g[at]
 
 
+def _enough(at: np.ndarray, value: np.ndarray, window: int) -> np.ndarray:
+    """Of equal minima that lie in one window: the first, and from each kept one the farthest that the next window has."""
+    tied = np.flatnonzero((value[1:] == value[:-1]) & (np.diff(at) < window)) if len(at) else at
+    keep = np.ones(len(at), bool)
+    if not len(tied):
+        return keep
+    starts = tied[np.concatenate(([True], np.diff(tied) > 1))]
+    ends = tied[np.concatenate((np.diff(tied) > 1, [True]))] + 1
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        keep[s : e + 1] = False
+        keep[s] = True
+        i = s
+        while i < e:
+            i = int(np.searchsorted(at[i + 1 : min(e, i + window) + 1], at[i] + window, side="right")) + i
+            keep[i] = True
+    return keep
+
+
+def runs(hashes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the m words from each place on: those of kn.grams at these places."""
+    h = hashes[at].copy()
+    for j in range(1, m):
+        h *= kn._GRAM
+        h += hashes[at + j]
+    return kn.mix(h)
+
+
+def shape(m: int) -> tuple[int, int]:
+    """K and window for items of m words, m = SPAN for all longer ones."""
+    return (K, WINDOW) if m == SPAN else (m, 1)
+
+
+def around(at: np.ndarray, m: int, first: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the windows of m words that hold a hit at one of these places and stay in their text."""
+    window = shape(m)[1]
+    ok = kn.inside(first, m, n)
+    delta = np.zeros(n + 1, np.int64)
+    np.add.at(delta, np.maximum(at - (window - 1), 0), 1)
+    np.add.at(delta, at + 1, -1)
+    return np.flatnonzero((np.cumsum(delta)[: len(ok)] > 0) & ok)
+
+
+def find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted values are there, and where."""
+    if not len(sorted_):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    where = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return sorted_[where] == wanted, where
+
+
+def item_windows(w: kn.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(m, fingerprints, window hashes, item of each window) for each m that items have."""
+    sizes = np.diff(w.first)
+    need = np.minimum(sizes, SPAN)
+    for m in sorted(set(need[need > 0].tolist())):
+        at, fp = winnow(w.hashes, w.first, *shape(m))
+        own = need[np.searchsorted(w.first, at, side="right") - 1] == m
+        start = np.flatnonzero(kn.inside(w.first, m, len(w)))
+        item = np.searchsorted(w.first, start, side="right") - 1
+        start, item = start[need[item] == m], item[need[item] == m]
+        yield m, np.unique(fp[own]), runs(w.hashes, start, m), item
+
+
 class Block:
-    """Fingerprints and words of some benchmark items."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        data, offsets = kn.utf8(pa.array(texts, pa.string()))
-        w = kn.Words(data, offsets, kn.ALNUM, kn.FOLD)
-        self.ids, self.hashes, self.first = ids, w.hashes, w.first
-        sizes = np.diff(w.first)
-        self.need = np.minimum(sizes, SPAN)  # words that a shared span must have
+    """Fingerprints and windows of benchmark items."""
+
+    def __init__(self, ids: list[str | None], texts: list[str | None]):
+        self.ids = ids
         self.kinds = []
-        for m in sorted(set(self.need[self.need > 0].tolist())):
-            k, window = (K, WINDOW) if m == SPAN else (m, 1)
-            at, fp = winnow(w.hashes, w.first, k, window)
-            item = np.searchsorted(w.first, at, side="right") - 1
-            own = self.need[item] == m
-            order = np.argsort(fp[own], kind="stable")
-            self.kinds.append((m, k, window, fp[own][order], at[own][order], item[own][order]))
+        for m, fps, windows, items in item_windows(_words(pa.array(texts, pa.string()))):
+            order = np.lexsort((items, windows))
+            windows, items = windows[order], items[order]
+            fresh = np.ones(len(windows), bool)
+            fresh[1:] = (windows[1:] != windows[:-1]) | (items[1:] != items[:-1])
+            windows, items = windows[fresh], items[fresh]
+            distinct, first = np.unique(windows, return_index=True)
+            self.kinds.append((m, fps, distinct, np.append(first, len(windows)), items.astype(np.int32)))
 
     def hits(self, w: kn.Words) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Which words are hit, and (text, item) pairs."""
         n = len(w)
-        cover = np.zeros(n + 1, np.int64)
-        pairs: set[tuple[int, int]] = set()
-        for m, k, window, fps, where, items in self.kinds:
-            at, fp = winnow(w.hashes, w.first, k, window)
-            lo = np.searchsorted(fps, fp, side="left")
-            found = np.flatnonzero(fps[np.minimum(lo, len(fps) - 1)] == fp)
-            hi = np.searchsorted(fps, fp[found], side="right")
-            seen: dict[tuple[int, int, int], int] = {}
-            for p, a, b in zip(at[found].tolist(), lo[found].tolist(), hi.tolist()):
-                text = int(np.searchsorted(w.first, p, side="right")) - 1
-                left, right = int(w.first[text]), int(w.first[text + 1])
-                for x in range(a, b):
-                    item, q = int(items[x]), int(where[x])
-                    diagonal = (text, item, p - q)
-                    if seen.get(diagonal, -1) > p:  # inside a span that is known
-                        continue
-                    i0, i1 = int(self.first[item]), int(self.first[item + 1])
-                    s, e = self._extend(w.hashes, p, k, left, right, q, i0, i1)
-                    seen[diagonal] = e
-                    if e - s >= m:
-                        cover[s] += 1
-                        cover[e] -= 1
-                        pairs.add((text, item))
-        return np.cumsum(cover)[:n] > 0, sorted(pairs)
-
-    def _extend(self, h: np.ndarray, p: int, k: int, left: int, right: int, q: int, i0: int, i1: int) -> tuple[int, int]:
-        """The longest equal span around h[p] and item word q."""
-        most = min(right - p, i1 - q)
-        differ = np.flatnonzero(h[p : p + most] != self.hashes[q : q + most])
-        end = p + (int(differ[0]) if len(differ) else most)
-        most = min(p - left, q - i0)
-        differ = np.flatnonzero(h[p - most : p][::-1] != self.hashes[q - most : q][::-1])
-        return p - (int(differ[0]) if len(differ) else most), end
-
-
-def _blocks(bench: DataFrame, item: str, text: str, words: int) -> Iterator[tuple[list, list]]:
-    """Items in blocks; at most one block is on the driver at a time."""
-    ids, texts, size = [], [], 0
-    for row in bench.select(item, text).orderBy(item).toLocalIterator():
-        n = len((row[1] or "")) // 2 + 1  # a word and what parts it from the next have two characters at least
-        if ids and size + n > words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row[0])
-        texts.append(row[1])
-        size += n
-    if ids:
-        yield ids, texts
-
-
-_COLUMNS = ("n_words", "hit_spans", "items")
-
-
-def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
+        hit = np.zeros(n, bool)
+        pairs = np.zeros(0, np.int64)
+        for m, fps, windows, first, items in self.kinds:
+            at, fp = winnow(w.hashes, w.first, *shape(m))
+            start = around(at[find(fps, fp)[0]], m, w.first, n)
+            if not len(start):
+                continue
+            there, where = find(windows, runs(w.hashes, start, m))
+            start, where = start[there], where[there]
+            mask = np.zeros(n, bool)
+            mask[start] = True
+            hit |= kn.spread(mask, m, n)
+            text = np.searchsorted(w.first, start, side="right") - 1
+            both = np.unique(text * len(windows) + where)
+            text, where = both // len(windows), both % len(windows)
+            size = first[where + 1] - first[where]
+            past = np.cumsum(size)
+            i = 0
+            while i < len(text):
+                j = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + PAIRS)))
+                one = np.repeat(text[i:j], size[i:j]) * len(self.ids)
+                offset = np.arange(len(one)) - np.repeat(np.concatenate(([0], np.cumsum(size[i:j])[:-1])), size[i:j])
+                pairs = np.union1d(pairs, one + items[np.repeat(first[where[i:j]], size[i:j]) + offset])
+                i = j
+        return hit, [(p // len(self.ids), p % len(self.ids)) for p in pairs.tolist()]
+
+
+_SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))
+RESULTS = {"n_words": T.LongType(), "hit_spans": _SPAN, "items": T.ArrayType(T.StringType())}
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+
+
+def _words(texts: pa.Array) -> kn.Words:
+    return kn.Words(*kn.utf8(texts), kn.ALNUM, kn.FOLD)
+
+
+def _spans(hit: np.ndarray) -> list[dict]:
+    edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
+    return [{"first": s, "past": e} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+
+
+def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """docs with n_words, hit_spans (word ranges, end exclusive) and items (ids as strings, sorted).
 
     carry: the input columns that the result has (all, where None).
     """
-    spark = docs.sparkSession
-    docs = docs.drop(*_COLUMNS)
-    schema = T.StructType([*docs.schema.fields])
-    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())])
-    results = {"n_words": T.LongType(), "hit_spans": T.ArrayType(span), "items": T.ArrayType(T.StringType())}
-    for name, kind in results.items():
-        schema.add(name, kind)
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(results["hit_spans"]), "items": F.array().cast(results["items"])})
-    carry = [c for c in docs.columns if c not in _COLUMNS] if carry is None else carry
-    last = T.StructType([f for f in schema.fields if f.name in (*carry, *_COLUMNS)])
-    blocks = _blocks(bench, item, item_text, block_words)
-    block = next(blocks, ([], []))
-    while block:
-        after = next(blocks, None)
-        out = _pass(out, spark.sparkContext.broadcast(Block(*block)), schema if after else last, text)
-        block = after
-    return out
-
-
-def _pass(docs: DataFrame, block, schema: T.StructType, text: str) -> DataFrame:
-    """One block's hits joined to those that the rows already have."""
-    keep = [f.name for f in schema.fields if f.name not in _COLUMNS]
-    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = kn.utf8(batch.column(text))
-        w = kn.Words(data, offsets, kn.ALNUM, kn.FOLD)
-        hit, pairs = block.value.hits(w)
-        first = w.first
-        old_spans, old_items = batch.column("hit_spans"), batch.column("items")
-        spans: list = [[] for _ in range(len(batch))]
-        found: list = [set() for _ in range(len(batch))]
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS]
+    bench = bench.select(column(item).cast("string").alias("item"), column(item_text).alias("text"))
+    rows, size = bench.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    if (size or 0) + 16 * rows > block_bytes:
+        return _by_join(docs, bench, text, keep)
+    found = bench.collect()
+    return _by_block(docs, Block([r["item"] for r in found], [r["text"] for r in found]), text, keep)
+
+
+def _by_block(docs: DataFrame, block: Block, text: str, keep: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        w = _words(texts)
+        hit, pairs = shared.value.hits(w)
+        spans: list = [[] for _ in range(len(texts))]
+        found: list = [set() for _ in range(len(texts))]
         for t, i in pairs:
-            name = block.value.ids[i]
+            name = shared.value.ids[i]
             if name is not None:
-                found[t].add(str(name))
-        for t in np.flatnonzero(kn.per_text(hit, first)).tolist():
-            edge = np.diff(hit[first[t] : first[t + 1]].astype(np.int8), prepend=0, append=0)
-            spans[t] = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
-        lens = pa.compute.list_value_length(old_spans).to_numpy(zero_copy_only=False)
-        for t in np.flatnonzero(lens > 0).tolist():
-            both = sorted([*spans[t], *((x["first"], x["past"]) for x in old_spans[t].as_py())])
-            spans[t] = both[:1]
-            for s, e in both[1:]:
-                if s <= spans[t][-1][1]:
-                    spans[t][-1] = (spans[t][-1][0], max(e, spans[t][-1][1]))
-                else:
-                    spans[t].append((s, e))
-        lens = pa.compute.list_value_length(old_items).to_numpy(zero_copy_only=False)
-        for t in np.flatnonzero(lens > 0).tolist():
-            found[t] |= set(old_items[t].as_py())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in keep]
-            + [
-                pa.array(np.diff(first).astype(np.int64)),
-                pa.array([[{"first": s, "past": e} for s, e in x] for x in spans], spans_type),
-                pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-            ],
-            names=[*keep, *_COLUMNS],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = kn.utf8(batch.column(text))
+                found[t].add(name)
+        for t in np.flatnonzero(kn.per_text(hit, w.first)).tolist():
+            spans[t] = _spans(hit[w.first[t] : w.first[t + 1]])
+        return [pa.array(np.diff(w.first).astype(np.int64)), pa.array(spans, _SPANS), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+
+    return with_results(docs, text, keep, RESULTS, work)
+
+
+def _by_join(docs: DataFrame, bench: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The same for a benchmark of any size.  Rows are numbered in a table that is written once."""
+    items = materialize(bench.mapInArrow(_item_rows, "m int, fingerprint boolean, hash long, item string"), "items")
+    kinds = sorted(r["m"] for r in items.select("m").distinct().collect())  # 13 at most
+    fps = items.where("fingerprint").select("m", "hash").distinct()
+    windows = items.where("NOT fingerprint").select("m", "hash", "item").distinct()
+    rows = materialize(docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)], column(text).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+
+    prints = rows.select("row", "text").mapInArrow(lambda b: _row_prints(b, kinds), "row long, m int, pos long, hash long")
+    hits = prints.join(fps, ["m", "hash"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("m", "pos")).alias("hits"))
+    near = rows.select("row", "text").join(hits, "row").mapInArrow(_row_windows, "row long, m int, pos long, hash long")
+    near = materialize(near, "windows")
+    # windows of one text that repeat find the same items
+    named = near.select("row", "m", "hash").distinct().join(windows, ["m", "hash"]).where("item IS NOT NULL").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    spans = near.join(windows.select("m", "hash").distinct(), ["m", "hash"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("pos", "m")).alias("starts"))
+    found = rows.join(spans, "row", "left").join(named, "row", "left")
+    carried = [f"c{i}" for i in range(len(keep))]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            _, offsets = kn.utf8(whole.column("text"))
             for i, j in kn.slices(offsets):
-                yield one(batch.slice(i, j - i))
-
-    return docs.mapInArrow(run, schema)
+                batch = whole.slice(i, j - i)
+                sizes = np.diff(_words(batch.column("text")).first)
+                spans = []
+                for n, starts in zip(sizes.tolist(), batch.column("starts").to_pylist()):
+                    hit = np.zeros(n, bool)
+                    for s in starts or ():
+                        hit[s["pos"] : s["pos"] + s["m"]] = True
+                    spans.append(_spans(hit) if starts else [])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*carried, "items")] + [pa.array(sizes.astype(np.int64)), pa.array(spans, _SPANS)], names=[*carried, "items", "n_words", "hit_spans"])
+
+    none = F.array().cast("array<string>")
+    schema = T.StructType([found.schema[c] for c in (*carried, "items")] + [T.StructField(c, RESULTS[c]) for c in ("n_words", "hit_spans")])
+    out = found.mapInArrow(finish, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", "hit_spans", F.coalesce("items", none).alias("items"))
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        _, offsets = kn.utf8(whole.column("text"))
+        for i, j in kn.slices(offsets):
+            batch = whole.slice(i, j - i)
+            for m, fps, windows, items in item_windows(_words(batch.column("text"))):
+                names = batch.column("item").take(pa.array(items))
+                for mark, hashes, ids in ((True, fps, pa.nulls(len(fps), pa.string())), (False, windows, names)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), m, np.int32)), pa.array([mark] * len(hashes)), pa.array(hashes.view(np.int64)), ids], names=["m", "fingerprint", "hash", "item"])
+
+
+def _places(row: pa.Array, w: kn.Words, at: np.ndarray, m: int, hashes: np.ndarray) -> pa.RecordBatch:
+    text = np.searchsorted(w.first, at, side="right") - 1
+    return pa.RecordBatch.from_arrays([row.take(pa.array(text)), pa.array(np.full(len(at), m, np.int32)), pa.array(at - w.first[text]), pa.array(hashes.view(np.int64))], names=["row", "m", "pos", "hash"])
+
+
+def _row_prints(batches: Iterator[pa.RecordBatch], kinds: list[int]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        _, offsets = kn.utf8(whole.column("text"))
+        for i, j in kn.slices(offsets):
+            batch = whole.slice(i, j - i)
+            w = _words(batch.column("text"))
+            for m in kinds:
+                at, fp = winnow(w.hashes, w.first, *shape(m))
+                yield _places(batch.column("row"), w, at, m, fp)
+
+
+def _row_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        _, offsets = kn.utf8(whole.column("text"))
+        for i, j in kn.slices(offsets):
+            batch = whole.slice(i, j - i)
+            w = _words(batch.column("text"))
+            of_row = batch.column("hits")
+            text = np.repeat(np.arange(len(batch)), np.asarray(of_row.value_lengths()))
+            kind, pos = (np.asarray(x) for x in of_row.flatten().flatten())
+            for m in np.unique(kind).tolist():
+                start = around(np.sort(pos[kind == m] + w.first[text[kind == m]]), m, w.first, len(w))
+                yield _places(batch.column("row"), w, start, m, runs(w.hashes, start, m))
 
 
 def judge(found: DataFrame) -> DataFrame:

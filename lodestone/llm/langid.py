@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as kn
+from .rows import with_results
+from .sqltext import column
 
 ORDER = 4
 TRAIN_DOCS = 600
@@ -244,7 +246,7 @@ def _pieces(text: bytes, size: int = 1 << 19) -> Iterator[bytes]:
 
 def train(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Model:
     """Fit on whole texts of each language among the rows that are usable: max_docs at most, and none after max_bytes are reached."""
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("g"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"))
+    rows = docs.where(usable & column(lang).isNotNull() & column(text).isNotNull()).select(column(lang).alias("g"), F.xxhash64(column(key)).alias("h"), column(text).alias("t"))
     counts = {r[0]: r[1] for r in rows.groupBy("g").count().collect()}
     # half as many again as are wanted, in expectation; then the smallest hashes
     share = F.create_map(*[F.lit(x) for g, c in counts.items() for x in (g, min(1.0, (1.5 * max_docs + 50) / c))]) if counts else F.lit(0.0)
@@ -278,19 +280,8 @@ RESULTS = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.B
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with lang_pred, score (0 to 1), rejected and cross_entropy."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS]
-    work = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, text])])
-    schema = T.StructType([f for c in keep for f in work.schema.fields if f.name == c] + [T.StructField(n, t) for n, t in RESULTS.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            _, offsets = kn.utf8(whole.column(text))
-            for i, j in kn.slices(offsets):
-                batch = whole.slice(i, j - i)
-                found = predict_many(shared.value, *kn.utf8(batch.column(text)))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names=[*keep, *RESULTS])
-
-    return work.mapInArrow(run, schema)
+    return with_results(docs, text, keep, RESULTS, lambda texts: predict_many(shared.value, *kn.utf8(texts)))
 
 
 def predict_many(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as kn
+from .rows import with_results
+from .sqltext import column
 
 KINDS = ("email", "ip", "card", "phone")
 NONE, EMAIL, IP, CARD, PHONE = range(5)
@@ -277,7 +279,7 @@ _HAS[48:58] = _HAS[ord("@")] = True
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = TRAIN_DOCS) -> Field:
     """Fit on at most max_docs documents that hold a digit or an at sign; their units, not their texts, reach the driver."""
-    rows = docs.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    rows = docs.select(F.xxhash64(column(key)).alias("h"), column(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
     n = rows.count()
     some = rows.where(F.pmod("h", F.lit(1 << 20)) < min(1.0, (1.2 * max_docs + 50) / max(1, n)) * (1 << 20))
     teacher = F.udf(lambda t: pickle.dumps(units(t, base_spans(t))), T.BinaryType())
@@ -288,26 +290,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 def find(docs: DataFrame, field: Field, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with base and spans, arrays of (kind, start, end)."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("base", "spans")]
-    work = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, text])])
-    schema = T.StructType([f for c in keep for f in work.schema.fields if f.name == c] + [T.StructField("base", _SPAN), T.StructField("spans", _SPAN)])
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            _, offsets = kn.utf8(whole.column(text))
-            for i, j in kn.slices(offsets):
-                batch = whole.slice(i, j - i)
-                data, at = kn.utf8(batch.column(text))
-                column = batch.column(text)
-                has = np.flatnonzero((kn.per_text(_HAS[data], at) > 0) | _spelt(column))
-                found = find_all([column[int(t)].as_py() for t in has], shared.value)
-                both = [[[] for _ in range(len(batch))] for _ in range(2)]
-                for t, pair in zip(has.tolist(), found):
-                    for side, spans in zip(both, pair):
-                        side[t] = [{"kind": KINDS[k - 1], "start": s, "end": e} for s, k, e in spans]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x, _SPAN_ARROW) for x in both], names=[*keep, "base", "spans"])
-
-    return work.mapInArrow(run, schema)
+    def work(texts: pa.Array) -> list[pa.Array]:
+        data, at = kn.utf8(texts)
+        has = np.flatnonzero((kn.per_text(_HAS[data], at) > 0) | _spelt(texts))
+        found = find_all([texts[int(t)].as_py() for t in has], shared.value)
+        both: list[list] = [[[] for _ in range(len(texts))] for _ in range(2)]
+        for t, pair in zip(has.tolist(), found):
+            for side, spans in zip(both, pair):
+                side[t] = [{"kind": KINDS[k - 1], "start": s, "end": e} for s, k, e in spans]
+        return [pa.array(x, _SPAN_ARROW) for x in both]
+
+    return with_results(docs, text, keep, {"base": _SPAN, "spans": _SPAN}, work)
 
 
 def _spelt(column: pa.Array) -> np.ndarray:

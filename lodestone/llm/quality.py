@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as kn
+from .rows import with_results
+from .sqltext import column
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4)
@@ -128,22 +130,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
     return fit([r["t"] for r in rows], [r["y"] for r in rows])
 
 
+RESULTS = {"score": T.DoubleType(), "predicted": T.IntegerType()}
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted."""
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
-    work = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, text])])
-    schema = T.StructType([f for c in keep for f in work.schema.fields if f.name == c] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            _, offsets = kn.utf8(whole.column(text))
-            for i, j in kn.slices(offsets):
-                batch = whole.slice(i, j - i)
-                s = shared.value.scores(*kn.utf8(batch.column(text)))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
+    def work(texts: pa.Array) -> list[pa.Array]:
+        s = shared.value.scores(*kn.utf8(texts))
+        return [pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
 
-    return work.mapInArrow(run, schema)
+    return with_results(docs, text, keep, RESULTS, work)
 
 
 def held_out(key: Column) -> Column:
