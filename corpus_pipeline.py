@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, exact_dedup, langid, ngram_join, sentencepiece_codec
-from lodestone.llm.store import materialize
+from lodestone.llm.store import discard, materialize, scratch
 
 
 def _columns_apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -30,15 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    return _columns_apart(docs, lambda d: exact_dedup.exact_dedup(d).where("kept"))
+    return _columns_apart(docs, exact_dedup.distinct_texts)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of Jaccard similarity 0.8 on five-word shingles join, the one with the smallest id."""
 
     def one_of_each(d: DataFrame) -> DataFrame:
-        # rows and not ids are the nodes: ids may be null or repeat
-        rows = d.withColumn("_row", F.monotonically_increasing_id())
+        # rows and not ids are the nodes: ids may be null or repeat.  Written, so that a row has one number.
+        rows = materialize(d.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         found = ngram_join.ngram_join(rows, key="_row", n=5, num=80, den=100, count_links=False)
         ids = rows.select("_row", "doc_id").join(found, "_row")
         first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x"))
@@ -69,5 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as keep:
+            after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(after)
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
