@@ -7,13 +7,18 @@ uniform share over the shared vocabulary with the fixed weights BIGRAM and UNIGR
 the mean over its words of the target loss less the background loss (nats): the lower, the more it is
 like the target.
 
-Counts travel as in blocks.py: each block sends its distinct words and bigrams with its counts on either
-side, a bucket adds them up, and answers with the corpus counts.  Nothing is pruned, so what is gathered
-grows with the corpus.  Totals and the vocabulary size are sums over the buckets' answers.
+A text that one side counted is scored with its own counts left out of that side, so that no text vouches for
+itself, while copies of it elsewhere do.
 
-Defined results.  Null text and text without words: no words, score null.  The first word of a text
-has no context and is scored by its unigram.  Rows that repeat count each time.  A null id is never
-target.  Without target texts (or without others) the empty side is uniform over the vocabulary.
+Counts travel as in blocks.py: each block sends its distinct words and bigrams with its counts on either
+side, and is answered the corpus counts.  Nothing is pruned, so what is gathered grows with the corpus.  Totals
+and the vocabulary size are sums over the key ranges.
+
+Defined results.  Null text and text without words: no words, score null.  Very long texts are handled
+whole, by one task.  The first word of a text has no context and is scored by its unigram.  Rows that repeat
+count each time, and equal texts of one side get equal scores.  A null id is never target.  Without target texts (or
+without others, or where only the text itself is left out) the empty side is uniform over the vocabulary.  Ids may
+be of any type that can be ordered.  Only the id and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 
 from . import blocks as bl
 from . import kernel as kn
+from ..functions.sized import broadcast_if_small
+from .sqltext import column
 from .store import materialize
 
 BIGRAM, UNIGRAM = 0.6, 0.35  # the rest is uniform
@@ -33,7 +40,21 @@ KEY_BITS = 56
 PAIR = np.dtype([("target", "<u8"), ("background", "<u8")])
 _WORD_TAG = np.uint64(1 << (KEY_BITS - 1))
 RESULT = "key long, n_words long, target_loss double, background_loss double, score double"
-_ANSWER = bl.ANSWER + ", words long, target long, background long"
+
+
+class _Both(bl.Statistic):
+    """Counts on either side."""
+
+    kind = out = PAIR
+
+    def combine(self, inverse, n, known):
+        total = np.empty(n, PAIR)
+        for side in PAIR.names:
+            total[side] = np.bincount(inverse, weights=known[side], minlength=n)
+        return total
+
+    def answer(self, known):
+        return known
 
 
 class _Counts:
@@ -53,39 +74,26 @@ class _Counts:
         self.owner = np.searchsorted(self.w.first, np.arange(n), side="right") - 1
 
 
+def _own(counts: _Counts) -> np.ndarray:
+    """How often the text of each word, and of each bigram, has it."""
+    owner = np.concatenate((counts.owner, counts.owner[counts.at]))
+    _, inverse, times = np.unique(owner * len(counts.keys) + counts.inverse, return_inverse=True, return_counts=True)
+    return times[inverse]
+
+
 class _Passes:
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, exchange: bl.Exchange):
+        self.exchange = exchange
 
-    def ask(self, table: pa.Table, marks: pa.Table) -> pa.Table:
+    def ask(self, table: pa.Table) -> pa.Table:
         c = _Counts(table)
-        wanted = set(marks["key"].to_pylist())
-        target = np.array([k is not None and k in wanted for k in table["key"].to_pylist()], bool)
+        target = np.asarray(table["target"])
         mine = target[c.owner] if len(c.w) else np.zeros(0, bool)
         both = np.concatenate((mine, mine[c.at]))
-        counts = [np.bincount(c.inverse[m], minlength=len(c.keys)).astype(np.uint64) for m in (both, ~both)]
-        block = (table if table.num_rows else marks)["block"][0].as_py()
-        return bl.request(block, c.keys, self.buckets, KEY_BITS, counts[0] << np.uint64(32) | counts[1])
-
-    def add(self, table: pa.Table) -> pa.Table:
-        seen: list[int] = []
-
-        def total(inverse, n, counts):
-            t = np.bincount(inverse, weights=counts >> np.uint64(32), minlength=n)
-            b = np.bincount(inverse, weights=counts & np.uint64(0xFFFFFFFF), minlength=n)
-            seen.append(n)
-            seen.extend((int(t.sum()), int(b.sum())))
-            both = np.empty(len(inverse), PAIR)
-            both["target"], both["background"] = t[inverse], b[inverse]
-            return both
-
-        out = bl.reducer(total, np.uint64)(table)
-        # buckets are key ranges, and an even number of them parts words from bigrams
-        words = table["bucket"][0].as_py() >= self.buckets // 2
-        rows = out.num_rows
-        for name, x in zip(("words", "target", "background"), seen):
-            out = out.append_column(name, pa.array([x if words else 0] + [0] * (rows - 1), pa.int64()))
-        return out
+        known = np.empty(len(c.keys), PAIR)
+        for side, mask in zip(PAIR.names, (both, ~both)):
+            known[side] = np.bincount(c.inverse[mask], minlength=len(c.keys))
+        return self.exchange.request(table["block"][0].as_py(), c.keys, known)
 
     def score(self, table: pa.Table, replies: pa.Table, vocabulary: int, totals: tuple[int, int]) -> pa.Table:
         if not table.num_rows:
@@ -94,18 +102,21 @@ class _Passes:
         n = np.diff(c.w.first)
         losses = []
         if len(c.w):
-            counts = bl.answers(replies, PAIR)[c.inverse]
-            for side, name in enumerate(PAIR.names):
-                x = counts[name].astype(float)
+            counts, own = bl.answers(replies, PAIR)[c.inverse], _own(c)
+            target = np.asarray(table["target"])
+            for name, total, on_side in zip(PAIR.names, totals, (target, ~target)):
+                mine = on_side[c.owner]
+                x = counts[name].astype(float) - own * np.concatenate((mine, mine[c.at]))
                 one, two = x[: len(c.w)], x[len(c.w) :]
-                base = UNIGRAM * (one / totals[side] if totals[side] else np.full(len(one), 1 / vocabulary)) + (1 - BIGRAM - UNIGRAM) / vocabulary
+                rest = (total - n * on_side)[c.owner].astype(float)  # words of the side without the text's own
+                base = UNIGRAM * np.where(rest > 0, one / np.maximum(rest, 1), 1 / vocabulary) + (1 - BIGRAM - UNIGRAM) / vocabulary
                 p = base / (1 - BIGRAM)
                 context = one[c.at]
                 # a context that this side never saw leaves all weight to the unigram
                 p[c.at + 1] = np.where(context > 0, base[c.at + 1] + BIGRAM * two / np.maximum(context, 1), p[c.at + 1])
-                total = np.zeros(len(n))  # each text's own sum, so that equal texts have equal losses
-                total[n > 0] = np.add.reduceat(-np.log(p), c.w.first[:-1][n > 0])
-                losses.append(total / np.maximum(n, 1))
+                loss = np.zeros(len(n))  # each text's own sum, so that equal texts have equal losses
+                loss[n > 0] = np.add.reduceat(-np.log(p), c.w.first[:-1][n > 0])
+                losses.append(loss / np.maximum(n, 1))
         else:
             losses = [np.zeros(len(n))] * 2
         none = pa.array(n == 0)
@@ -113,21 +124,22 @@ class _Passes:
         return pa.table({"key": table["key"], "n_words": pa.array(n.astype(np.int64)), "target_loss": value(losses[0]), "background_loss": value(losses[1]), "score": value(losses[0] - losses[1])})
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", fan: int = bl.FAN, range_bytes: int = bl.RANGE_BYTES) -> DataFrame:
     """(key, n_words, target_loss, background_loss, score) of every row; target: rows with the ids of target texts."""
-    nb, buckets = bl.layout(bl.text_bytes(docs, text))
-    buckets += buckets % 2
-    passes = _Passes(buckets)
-    texts = bl.dealt(docs, key, text, nb)
-    wanted = target.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL").distinct()
-    marks = wanted.select(bl.block_of(F.col("key"), F.lit(""), nb).alias("block"), "key")
-    by_block = lambda df: df.groupBy("block")
-    asked = by_block(texts).cogroup(by_block(marks)).applyInArrow(lambda t, m: passes.ask(t, m), bl.REQUEST)
-    counts = materialize(asked.groupBy("bucket").applyInArrow(lambda t: passes.add(t), _ANSWER), "counts")
-    sums = counts.agg(F.sum("words"), F.sum("target"), F.sum("background")).first()
-    vocabulary, totals = max(1, sums[0] or 0), (sums[1] or 0, sums[2] or 0)
-    replies = counts.select("block", "bucket", "body")
-    return by_block(texts).cogroup(by_block(replies)).applyInArrow(lambda t, r: passes.score(t, r, vocabulary, totals), RESULT).withColumnRenamed("key", key)
+    exchange = bl.Exchange(bl.text_bytes(docs, text), KEY_BITS, fan, fan, range_bytes)
+    passes = _Passes(exchange)
+    wanted = target.select(column(key).alias("t")).where("t IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    marked = docs.select(column(key).alias("key"), column(text).alias("text")).join(broadcast_if_small(wanted), F.col("key") == F.col("t"), "left").select("key", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+    def work(rows: DataFrame) -> DataFrame:
+        texts = bl.dealt(rows, exchange.blocks, "target").groupBy("block")
+        counts = materialize(exchange.run(texts.applyInArrow(lambda t: passes.ask(t), bl.REQUEST), _Both()), "counts")
+        # words are the upper half of the key ranges, bigrams the lower one
+        sums = counts.where(F.col("sums").isNotNull() & (F.col("bucket") >= exchange.ranges(len(exchange.fans)) // 2)).agg(*[F.sum(F.col("sums")[i]) for i in range(3)]).first()
+        vocabulary, totals = max(1, sums[0] or 0), (sums[1] or 0, sums[2] or 0)
+        return texts.cogroup(counts.where("sender >= 0").groupBy("sender")).applyInArrow(lambda t, r: passes.score(t, r, vocabulary, totals), RESULT)
+
+    return bl.with_integer_ids(marked, "key", "text", work, ["key"], ("target",)).withColumnRenamed("key", key)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ CHUNK = 32
 TILE_SETS, TILE_SHINGLES = 512, 1 << 20  # sets and their members in a chunk of a tile, about
 COLUMNS = 4096  # shingles of a matrix product
 STEPS = 8  # frequency classes for each doubling
-POSTING = "shingle long, node long, size int, pos int, freq int, m0 long, m1 long, m2 long, m3 long, block int, key long"
-PARCEL = "block int, node long, body binary, others array<bigint>"
+POSTING = "shingle long, node long, size int, pos int, freq int, m0 long, m1 long, m2 long, m3 long, block long, key long"
+PARCEL = "block long, node long, body binary, others array<bigint>"
 LINK = "a long, b long"
 MEMBER = "label long, chunk long, chunks long, copies long, body binary"
 COUNT = "label long, links long"
@@ -121,9 +121,21 @@ def count_pairs(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, nu
     return int(copies[x] @ (link @ copies[y]))
 
 
+class _Frequency(bl.Statistic):
+    """Frequency classes, STEPS for each doubling; 0 where one text alone has the shingle.  known: the number of texts."""
+
+    kind, out = np.dtype(np.uint32), np.dtype(np.uint8)
+
+    def combine(self, inverse, n, known):
+        return np.minimum(np.bincount(inverse, weights=known, minlength=n), 2**32 - 1).astype(np.uint32)
+
+    def answer(self, known):
+        return np.where(known > 1, np.minimum(255, 1 + STEPS * np.log2(np.maximum(known, 1))), 0).astype(np.uint8)
+
+
 class _Passes:
-    def __init__(self, buckets: int, n: int, num: int, den: int):
-        self.buckets, self.n, self.num, self.den = buckets, n, num, den
+    def __init__(self, exchange: bl.Exchange, n: int, num: int, den: int):
+        self.exchange, self.n, self.num, self.den = exchange, n, num, den
 
     def _own(self, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
         """Members of one text of each node, and their frequency keys."""
@@ -135,14 +147,7 @@ class _Passes:
     def ask(self, table: pa.Table) -> pa.Table:
         _, keys = self._own(Sets(table, self.n))
         distinct, counts = np.unique(keys, return_counts=True)
-        return bl.request(table["block"][0].as_py(), distinct, self.buckets, FREQ_BITS, counts.astype(np.uint32))
-
-    def count(self, table: pa.Table) -> pa.Table:
-        def classes(inverse, n, counts):
-            total = np.bincount(inverse, weights=counts, minlength=n)
-            return np.where(total > 1, np.minimum(255, 1 + STEPS * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[inverse]
-
-        return bl.reducer(classes, np.uint32)(table)
+        return self.exchange.request(table["block"][0].as_py(), distinct, counts.astype(np.uint32))
 
     def postings(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         sets = Sets(table, self.n)
@@ -170,7 +175,7 @@ class _Passes:
             "pos": np.concatenate((pos[send], np.zeros(texts))).astype(np.int32),
             "freq": np.concatenate((freq[send], np.zeros(texts))).astype(np.int32),
             **{f"m{i}": np.concatenate((maps[owner, i], np.zeros(texts, np.int64))) for i in range(4)},
-            "block": np.full(k + texts, block, np.int32),
+            "block": np.full(k + texts, block, np.int64),
             "key": pa.concat_arrays([pa.nulls(k, pa.int64()), table["key"].combine_chunks() if texts else pa.array([], pa.int64())]),
         }
         return pa.table({c: pa.array(v) for c, v in rows.items()})
@@ -184,7 +189,7 @@ class _Passes:
         at = {int(x): i for i, x in enumerate(sets.nodes)}
         body = {a: bl.squeeze(np.diff(sets.get(at[a]), prepend=np.uint64(0))) for a in {a for _, a in out}}
         return pa.table(
-            {"block": pa.array([to for to, _ in out], pa.int32()), "node": pa.array([a for _, a in out], pa.int64()), "body": pa.array([body[a] for _, a in out], pa.binary()), "others": pa.array(list(out.values()), pa.list_(pa.int64()))}
+            {"block": pa.array([to for to, _ in out], pa.int64()), "node": pa.array([a for _, a in out], pa.int64()), "body": pa.array([body[a] for _, a in out], pa.binary()), "others": pa.array(list(out.values()), pa.list_(pa.int64()))}
         )
 
     def verify(self, table: pa.Table, parcels: pa.Table) -> pa.Table:
@@ -242,15 +247,21 @@ def _candidates(x: DataFrame, on: list[str], num: int, den: int, apart: bool = F
     return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_block").alias("block"), F.col("b_block").alias("to")).distinct()
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, count_links: bool = True) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, count_links: bool = True, fan: int = bl.FAN, range_bytes: int = bl.RANGE_BYTES
+) -> DataFrame:
     """(key, n_shingles, component_id[, n_links]) of every row; sets link when den * |x & y| >= num * |x | y|."""
-    spark = docs.sparkSession
-    nb, buckets = bl.layout(bl.text_bytes(docs, text))
-    passes = _Passes(buckets, n, num, den)
-    texts = bl.dealt(docs, key, text, nb)
+    passes = _Passes(bl.Exchange(bl.text_bytes(docs, text), FREQ_BITS, fan, fan, range_bytes), n, num, den)
+    out = bl.with_integer_ids(docs, key, text, lambda rows: _joined(rows, passes, count_links), ["key", "component_id"])
+    return out.withColumnRenamed("key", key)
+
+
+def _joined(docs: DataFrame, passes: _Passes, count_links: bool) -> DataFrame:
+    num, den, nb = passes.num, passes.den, passes.exchange.blocks
+    texts = bl.dealt(docs, nb)
     by_block = lambda df: df.groupBy("block")
-    freq = by_block(texts).applyInArrow(lambda t: passes.ask(t), bl.REQUEST).groupBy("bucket").applyInArrow(lambda t: passes.count(t), bl.ANSWER)
-    sent = materialize(by_block(texts).cogroup(by_block(freq)).applyInArrow(lambda t, r: passes.postings(t, r), POSTING), "postings")
+    freq = passes.exchange.run(by_block(texts).applyInArrow(lambda t: passes.ask(t), bl.REQUEST), _Frequency())
+    sent = materialize(by_block(texts).cogroup(freq.groupBy("sender")).applyInArrow(lambda t, r: passes.postings(t, r), POSTING), "postings")
     rows = sent.where("shingle IS NULL").select("key", "node", "size", "block")
     # Copies in several blocks send the same postings.
     lists = sent.where("shingle IS NOT NULL").groupBy("shingle", "node", "size", "pos", "freq", "m0", "m1", "m2", "m3").agg(F.min("block").alias("block"))
@@ -261,9 +272,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     discard(sent)
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
-        parcels = by_block(texts).cogroup(by_block(pairs)).applyInArrow(lambda t, p: passes.send(t, p), PARCEL)
-        links = materialize(by_block(texts).cogroup(by_block(parcels)).applyInArrow(lambda t, p: passes.verify(t, p), LINK), label)
-        return links
+        # only blocks with pairs have to be read again
+        both = bl.only(texts, pairs.select("block").union(pairs.select(F.col("to").alias("block"))))
+        parcels = by_block(both).cogroup(by_block(pairs)).applyInArrow(lambda t, p: passes.send(t, p), PARCEL)
+        return materialize(by_block(both).cogroup(by_block(parcels)).applyInArrow(lambda t, p: passes.verify(t, p), LINK), label)
 
     pairs = materialize(_candidates(lists, ["shingle", "chunk"], num, den), "pairs")
     links = linked(pairs, "links")
@@ -297,7 +309,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     if count_links:
         discard(of_node, counted)
     size = F.col("size")
-    out = [F.col("key").alias(key), size.cast("long").alias("n_shingles"), F.when(size > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")]
+    out = ["key", size.cast("long").alias("n_shingles"), F.when(size > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")]
     return rows.join(found, "node", "left").select(*out, *([F.when(size > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")] if count_links else []))
 
 

@@ -14,8 +14,10 @@ are looked up over the corpus with the smallest id that has them, and a word goe
 covers it starts in a text with a smaller id.  See blocks.py for how keys travel.
 
 Defined results.  Null text has no words and no kept text is left of it (an empty text).  Texts of fewer
-than 13 words lose nothing.  A null id is larger than any other and rows of one id never remove each
-other's words, so repeated rows are treated alike.  An empty table gives an empty table.
+than 13 words lose nothing.  Very long texts are handled whole, by one task.  A null id is larger than any
+other and rows of one id never remove each other's words, so repeated rows are treated alike and ties can't
+occur.  Ids may be of any type that can be ordered.  An empty table gives an empty table.  Only the id and
+the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -135,9 +137,38 @@ def _local(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return distinct, inverse, least
 
 
+class _Shared(bl.Statistic):
+    """Whether a phrase is in several texts; known: 1 in one text, 2 in more."""
+
+    kind = out = np.dtype(np.uint8)
+
+    def combine(self, inverse, n, known):
+        return np.minimum(np.bincount(inverse, weights=known, minlength=n), 2).astype(np.uint8)
+
+    def answer(self, known):
+        return (known > 1).astype(np.uint8)
+
+
+class _Beaten(bl.Statistic):
+    """Whether a smaller id than the sender's smallest one has a window; known: the smallest id."""
+
+    kind, out = np.dtype(np.int64), np.dtype(np.uint8)
+
+    def combine(self, inverse, n, known):
+        least = np.full(n, NO_ID, np.int64)
+        np.minimum.at(least, inverse, known)
+        return least
+
+    def answer(self, known):
+        return np.zeros(len(known), np.uint8)
+
+    def settle(self, answers, known, own):
+        return answers | (known < own)
+
+
 class _Passes:
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, phrases: bl.Exchange, windows: bl.Exchange):
+        self.phrases, self.windows = phrases, windows
 
     def ask_phrases(self, table: pa.Table) -> pa.Table:
         w, _ = _words(table)
@@ -147,18 +178,11 @@ class _Passes:
         low, high = np.full(len(distinct), len(w.first)), np.full(len(distinct), -1)
         np.minimum.at(low, inverse, owner)
         np.maximum.at(high, inverse, owner)
-        return bl.request(table["block"][0].as_py(), distinct, self.buckets, PHRASE_BITS, (low < high).astype(np.uint8))
-
-    def count_phrases(self, table: pa.Table) -> pa.Table:
-        def shared(inverse, n, many):
-            total = np.bincount(inverse, minlength=n) + np.bincount(inverse, weights=many, minlength=n)
-            return np.asarray(total > 1)[inverse].astype(np.uint8)
-
-        return bl.reducer(shared, np.uint8)(table)
+        return self.phrases.request(table["block"][0].as_py(), distinct, 1 + (low < high).astype(np.uint8))
 
     def ask_windows(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
+            return self.windows.request(0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
         w, ids = _words(_settled(table))
         key, start, end = phrases(w.hashes, w.first)
         _, inverse = np.unique(key, return_inverse=True)
@@ -166,20 +190,9 @@ class _Passes:
         at = candidates(w, shared, start, end)
         distinct, _, least = _local(kn.grams(w.hashes, SPAN)[at], ids[_owner(w, at)])
         block = table["block"][0].as_py()
-        # the block's own note of its candidates, under a bucket of its own
-        note = pa.table({"bucket": pa.array([-1 - block], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([len(at)], pa.int32()), "keys": pa.array([bl.squeeze(np.diff(at, prepend=0).astype(np.uint32))], pa.binary()), "extra": pa.array([b""], pa.binary())})
-        return pa.concat_tables([bl.request(block, distinct, self.buckets, WINDOW_BITS, least), note])
-
-    def count_windows(self, table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() < 0:
-            return pa.table({"block": table["block"], "bucket": table["bucket"], "body": table["keys"]})
-
-        def beaten(inverse, n, ids):
-            least = np.full(n, NO_ID, np.int64)
-            np.minimum.at(least, inverse, ids)
-            return (least[inverse] < ids).astype(np.uint8)
-
-        return bl.reducer(beaten, np.int64)(table)
+        # the block's own note of its candidates
+        note = self.windows.note(block, bl.squeeze(np.diff(at, prepend=0).astype(np.uint32)))
+        return pa.concat_tables([self.windows.request(block, distinct, least), note])
 
     def remove(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -220,17 +233,19 @@ def kept_text(w: kn.Words, table: pa.Table, keep: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(out) - 1, pa.py_buffer(out.tobytes()), pa.py_buffer(body[stay].tobytes()))
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, kept_text) of every row.  key: an integer."""
-    nb, buckets = bl.layout(bl.text_bytes(docs, text))
-    passes = _Passes(buckets)
-    texts = bl.dealt(docs, key, text, nb)
-    by_block = lambda df: df.groupBy("block")
-    asked = by_block(texts).applyInArrow(lambda t: passes.ask_phrases(t), bl.REQUEST)
-    shared = asked.groupBy("bucket").applyInArrow(lambda t: passes.count_phrases(t), bl.ANSWER)
-    asked = by_block(texts).cogroup(by_block(shared)).applyInArrow(lambda t, r: passes.ask_windows(t, r), bl.REQUEST)
-    beaten = asked.groupBy("bucket").applyInArrow(lambda t: passes.count_windows(t), bl.ANSWER)
-    return by_block(texts).cogroup(by_block(beaten)).applyInArrow(lambda t, r: passes.remove(t, r), RESULT).withColumnRenamed("key", key)
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", fan: int = bl.FAN, range_bytes: int = bl.RANGE_BYTES) -> DataFrame:
+    """(key, n_words, n_removed, kept_text) of every row."""
+    size = bl.text_bytes(docs, text)
+    passes = _Passes(*(bl.Exchange(size, bits, fan, fan, range_bytes) for bits in (PHRASE_BITS, WINDOW_BITS)))
+
+    def work(rows: DataFrame) -> DataFrame:
+        texts = bl.dealt(rows, passes.phrases.blocks).groupBy("block")
+        shared = passes.phrases.run(texts.applyInArrow(lambda t: passes.ask_phrases(t), bl.REQUEST), _Shared())
+        asked = texts.cogroup(shared.groupBy("sender")).applyInArrow(lambda t, r: passes.ask_windows(t, r), bl.REQUEST)
+        beaten = passes.windows.run(asked, _Beaten())
+        return texts.cogroup(beaten.groupBy("sender")).applyInArrow(lambda t, r: passes.remove(t, r), RESULT)
+
+    return bl.with_integer_ids(docs, key, text, work, ["key"]).withColumnRenamed("key", key)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_links_inside_components_are_counted(spark, monkeypatch, tile):
     assert got == links(texts, 3, 90, 100)
 
 
+def test_several_levels_and_text_ids(spark):
+    texts = near_copies(150, 5, edits=4) + [(500, "one two"), (501, "ONE two"), (505, None)]
+    want = brute(texts, 3, 90, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, texts), fan=4, range_bytes=1000).collect()}
+    assert got == want
+    name = lambda i: f"n{i:04d}"
+    docs = spark.createDataFrame([(name(i), t) for i, t in texts], "id string, text string")
+    got = {r["id"]: (r.n_shingles, r.component_id) for r in ngram_join(docs, key="id").collect()}
+    assert got == {name(i): (n, name(c)) for i, (n, c) in want.items()}
+
+
 def test_odd_rows(odd):
     got = ngram_join(odd).collect()
     assert len(got) == 11

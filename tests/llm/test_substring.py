@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from lodestone.llm import blocks as bl
 from lodestone.llm.substring import recompress, substring_dedup
 
 from .conftest import WORDS, frame, near_copies
@@ -31,9 +32,21 @@ def test_against_brute_force(spark):
 
     rnd = random.Random(2)
     texts += [(1000 + i, "  \n".join(rnd.choice(WORDS[:2]) for _ in range(60))) for i in range(60)]  # few words: runs and chance repeats
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame(spark, texts)).collect()}
     want = brute(texts)
-    assert not [i for i in want if got[i] != want[i]]
+    for layout in ({}, {"fan": 4, "range_bytes": 2000}):  # one level of the exchange, and several
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame(spark, texts), **layout).collect()}
+        assert not [i for i in want if got[i] != want[i]]
+
+
+def test_text_ids_and_one_hot_id(spark):
+    """Ids in the order of their names; rows of one id don't remove each other's words."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([("b", passage + " one"), ("a", passage + " two"), ("b", "three " + passage), (None, passage)], "id string, text string")
+    got = sorted((str(r["id"]), r.n_removed) for r in substring_dedup(docs, key="id").collect())
+    assert got == [("None", 20), ("a", 0), ("b", 20), ("b", 20)]
+    hot = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "concat('text ', id) AS text")
+    block = bl.dealt(hot.selectExpr("doc_id AS key", "text"), 40).groupBy("block").count()
+    assert block.agg({"count": "max"}).first()[0] < 200
 
 
 def test_equal_substrings_get_equal_interior_symbols():
