@@ -3,10 +3,11 @@
 Text is normalised to lower-case letters with one space between words; every letter of the training
 texts has its own class (MOST_LETTERS at most), and all other letters share one.  Each language has a character model of order ORDER with absolute
 discounting (one discount for each order, n1 / (n1 + 2 n2)) and continuation counts below the highest
-order.  All languages share one sorted hash array for each order: a row holds every language's
+order.  TOGETHER languages share one sorted hash array for each order: a row holds each of these languages'
 log-probability of that n-gram, already interpolated, and a second array holds the back-off weights of
 contexts, so scoring is a binary search for each character, with shorter n-grams only where the longer
-one is in no language.
+one is in none of these languages.  So the arrays grow in proportion to the languages, and a model
+of more than MODEL_BYTES isn't broadcast but refused.
 
 A text gets the language of the lowest cross-entropy per character.  Rejection is calibrated on
 training texts that the counts leave out: their 99.9th percentile of cross-entropy stands for text, the
@@ -18,9 +19,10 @@ Training reads at most TRAIN_DOCS texts of each language (those with the smalles
 choice depends on ids alone) and goes on until TRAIN_BYTES are reached: a classifier fit on a bounded sample
 of whole texts, the last of which may pass the bound.  Scoring reads every whole text.
 
-Defined results.  Null text and text without a letter: ``und`` with score 0 and rejected.  Ties go to the
-language that sorts first.  Without any training text every language is ``und``.  Columns of the input
-pass through; results replace columns of their names.
+Defined results.  Null text and text without a letter: ``und`` with score 0 and rejected.  Very long texts
+are read whole, piece by piece.  Ties go to the language that sorts first.  Rows that repeat are judged alike, and
+as training rows count once.  Without any training text every language is ``und``.  An empty table gives an empty
+table.  Columns of the input, of any name, pass through; results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from .sqltext import column
 ORDER = 4
 TRAIN_DOCS = 600
 TRAIN_BYTES = 2_000_000  # of each language
+TOGETHER = 8  # languages of a hash array
+MODEL_BYTES = 1 << 30
 CALIBRATION_PART = 5  # one of so many training texts calibrates
 REJECT_LETTERS, REJECT_AT = 20, 0.6
 LAST_LETTER = 0x323AF  # no Unicode letter has a larger code point
@@ -83,27 +87,21 @@ def _grams(classes: np.ndarray) -> np.ndarray:
     return g
 
 
-class Model:
-    """Sorted hash arrays of all languages."""
+class Part:
+    """Sorted hash arrays of a few languages, over an alphabet of so many symbols."""
 
-    def __init__(self, languages: list[str], texts: dict[str, list[bytes]], calibration: dict[str, list[bytes]]):
+    def __init__(self, languages: list[str], counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], symbols: int):
         self.languages = languages
-        seen = {g: [letters(t) for t in texts[g]] for g in languages}
-        every = np.concatenate([x for g in languages for x in seen[g]] or [np.zeros(0, np.uint32)])
-        chars, counts = np.unique(every[every > 0], return_counts=True)
-        self.chars = np.sort(chars[np.argsort(-counts, kind="stable")[:MOST_LETTERS]])
-        self.other = max(ALPHABET, len(self.chars)) + 1
-        grams = {g: self._counts(seen[g]) for g in languages}
         n = len(languages)
         self.keys: list[np.ndarray] = []
         self.logp: list[np.ndarray] = []
         self.back_keys: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
-        symbols = self.other + 1
+        self.unseen = np.float32(np.log(1.0 / symbols))
         lower = np.full((symbols, n), 1.0 / symbols)  # order 0: uniform
         lower_keys = np.zeros(0, np.int64)
         for order in range(1, ORDER + 1):
-            tables = [grams[g][order] for g in languages]
+            tables = [counts[g][order] for g in languages]
             keys = np.unique(np.concatenate([k for k, _ in tables] or [np.zeros(0, np.int64)]))
             contexts = np.unique(keys >> BITS & CONTEXT)
             p = np.zeros((len(keys), n))
@@ -125,8 +123,9 @@ class Model:
             self.back_keys.append(contexts)
             self.back.append(np.log(weight).astype(np.float32))
             lower, lower_keys = p, keys
-        self.unseen = np.float32(np.log(1.0 / symbols))
-        self._calibrate(calibration)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for field in (self.keys, self.logp, self.back_keys, self.back) for x in field)
 
     def _interpolated(self, keys: np.ndarray, p: np.ndarray, wanted: np.ndarray, order: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -136,6 +135,54 @@ class Model:
             out[miss] = np.exp(self._score_missing(wanted[miss], order))
         return out
 
+    def _score_missing(self, grams: np.ndarray, order: int) -> np.ndarray:
+        """Log-probabilities of n-grams that are in no language."""
+        if order == 0:
+            return np.full((len(grams), len(self.languages)), self.unseen)
+        context, shorter = grams >> BITS & CONTEXT, grams & ((1 << (BITS * (order - 1))) - 1)
+        out = self.look(shorter, order - 1) if order > 1 else np.full((len(grams), len(self.languages)), self.unseen)
+        keys = self.back_keys[order - 1]
+        at = np.minimum(np.searchsorted(keys, context), max(0, len(keys) - 1))
+        found = keys[at] == context if len(keys) else np.zeros(len(grams), bool)
+        out[found] += self.back[order - 1][at[found]]
+        return out
+
+    def look(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Log-probabilities of n-grams, a column for each language."""
+        keys = self.keys[order - 1]
+        if not len(keys):
+            return self._score_missing(grams, order)
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        out = self.logp[order - 1][at]
+        miss = np.flatnonzero(keys[at] != grams)
+        if len(miss):
+            out[miss] = self._score_missing(grams[miss], order)
+        return out
+
+
+class Model:
+    """The models of all languages, in parts of TOGETHER languages."""
+
+    def __init__(self, languages: list[str], texts: dict[str, list[bytes]], calibration: dict[str, list[bytes]], together: int | None = None):
+        self.languages = languages
+        seen = {g: [letters(t) for t in texts[g]] for g in languages}
+        every = np.concatenate([x for g in languages for x in seen[g]] or [np.zeros(0, np.uint32)])
+        chars, counts = np.unique(every[every > 0], return_counts=True)
+        self.chars = np.sort(chars[np.argsort(-counts, kind="stable")[:MOST_LETTERS]])
+        self.other = max(ALPHABET, len(self.chars)) + 1
+        grams = {g: self._counts(seen[g]) for g in languages}
+        together = together or TOGETHER
+        # languages with many n-grams in common share a part where they sort side by side by their script
+        script = {g: int(np.median(x)) if len(x := np.concatenate(seen[g] or [np.zeros(0, np.uint32)])) else 0 for g in languages}
+        order = sorted(languages, key=lambda g: (script[g] >> 7, g))
+        groups = [order[i : i + together] for i in range(0, len(order), together)] or [[]]
+        self.parts = [Part(x, grams, self.other + 1) for x in groups]
+        self.columns = np.array([languages.index(g) for x in groups for g in x], np.int64)
+        self._calibrate(calibration)
+
+    def nbytes(self) -> int:
+        return sum(p.nbytes() for p in self.parts)
+
     def _counts(self, texts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Counts of the highest order; below it, in how many longer n-grams each one ends."""
         top = [self.codes(np.concatenate((np.zeros(ORDER - 1, np.uint32), x)))[1] for x in texts]
@@ -164,28 +211,21 @@ class Model:
             self._table = self.classes(_letters())
         return self._table
 
-    def _score_missing(self, grams: np.ndarray, order: int) -> np.ndarray:
-        """Log-probabilities of n-grams that are in no language."""
-        if order == 0:
-            return np.full((len(grams), len(self.languages)), self.unseen)
-        context, shorter = grams >> BITS & CONTEXT, grams & ((1 << (BITS * (order - 1))) - 1)
-        out = self.look(shorter, order - 1) if order > 1 else np.full((len(grams), len(self.languages)), self.unseen)
-        keys = self.back_keys[order - 1]
-        at = np.minimum(np.searchsorted(keys, context), max(0, len(keys) - 1))
-        found = keys[at] == context if len(keys) else np.zeros(len(grams), bool)
-        out[found] += self.back[order - 1][at[found]]
+    def look(self, grams: np.ndarray) -> np.ndarray:
+        """Log-probabilities of n-grams, a column for each language."""
+        out = np.empty((len(grams), len(self.languages)), np.float32)
+        out[:, self.columns] = np.concatenate([p.look(grams) for p in self.parts], axis=1)
         return out
 
-    def look(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log-probabilities of n-grams, a column for each language."""
-        keys = self.keys[order - 1]
-        if not len(keys):
-            return self._score_missing(grams, order)
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        out = self.logp[order - 1][at]
-        miss = np.flatnonzero(keys[at] != grams)
-        if len(miss):
-            out[miss] = self._score_missing(grams[miss], order)
+    def sums(self, grams: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """Sums of log-probabilities over ranges of n-grams, one part of the languages at a time."""
+        out = np.empty((len(first), len(self.languages)))
+        column = 0
+        for part in self.parts:
+            n = len(part.languages)
+            total = np.concatenate((np.zeros((1, n)), np.cumsum(part.look(grams), axis=0, dtype=np.float64)))
+            out[:, self.columns[column : column + n]] = total[past] - total[first]
+            column += n
         return out
 
     def entropy(self, text: bytes) -> tuple[int, np.ndarray]:
@@ -197,7 +237,7 @@ class Model:
             n += int(np.count_nonzero(x))
             x = np.concatenate((before, x))
             _, g = self.codes(x)
-            total -= self.look(g).sum(axis=0, dtype=np.float64)
+            total -= self.sums(g, np.array([0]), np.array([len(g)]))[0]
             chars += len(g)
             before = x[len(x) - ORDER + 1 :]
         return n, total / max(1, chars)
@@ -219,7 +259,7 @@ class Model:
 
     def _mean(self, x: np.ndarray) -> np.ndarray:
         _, g = self.codes(np.concatenate((np.zeros(ORDER - 1, np.uint32), x)))
-        return -self.look(g).mean(axis=0, dtype=np.float64)
+        return -self.sums(g, np.array([0]), np.array([len(g)]))[0] / len(g)
 
     def predict(self, text: bytes) -> tuple[str, float, bool, float]:
         """Language, score (posterior for a text of up to 50 characters' evidence), rejected, cross-entropy."""
@@ -280,6 +320,8 @@ RESULTS = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.B
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with lang_pred, score (0 to 1), rejected and cross_entropy."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS]
+    if model.nbytes() > MODEL_BYTES:
+        raise ValueError(f"the models take {model.nbytes() >> 20} MB: train them on less (max_docs, max_bytes)")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return with_results(docs, text, keep, RESULTS, lambda texts: predict_many(shared.value, *kn.utf8(texts)))
 
@@ -304,10 +346,8 @@ def predict_many(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[pa
         c = np.insert(c[stay], np.repeat(at[:-1], ORDER - 1), 0)
         sizes = np.diff(at)
         g = _grams(c)
-        logp = model.look(g)
-        total = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(logp, axis=0, dtype=np.float64)))
         first = at[:-1] + (ORDER - 1) * np.arange(len(sizes))
-        h = -(total[first + sizes] - total[first]) / np.maximum(sizes, 1)[:, None]
+        h = -model.sums(g, first, first + sizes) / np.maximum(sizes, 1)[:, None]
         n = kn.per_text(c > 0, np.append(first, len(c)))
         best = np.argmin(h, axis=1)
         low = h[np.arange(len(best)), best]

@@ -13,8 +13,10 @@ Weights are learned by pseudo-likelihood gradient descent on units of at most TR
 with the base labels as teacher.  Features are dropped at random in training, so that shape and context
 carry weight on their own.
 
-Defined results.  Null and empty texts have no spans.  Positions are code points, end exclusive.  Rows
-that repeat are judged alike.  Columns of the input pass through; results replace columns of their names.
+Defined results.  Null and empty texts have no spans.  Very long texts are handled whole, with skip edges
+over any distance.  Positions are code points, end exclusive.  Of labels that tie, the first of KINDS counts.
+Rows that repeat are judged alike.  An empty table gives an empty table; without training units nothing is
+added.  Columns of the input, of any name, pass through; results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -107,17 +109,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}+)( ?[\[({<] ?at ?[\])}>] ?| at )([A-Za-z0-9-]{1,64}+(?:(?: ?[\[({<] ?dot ?[\])}>] ?| dot |\.)[A-Za-z0-9-]{1,64}+){1,6})", re.IGNORECASE)
-_AT = re.compile(r"[^\s@]{0,64}@[^\s@]{0,190}")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)( ?[\[({<] ?at ?[\])}>] ?| at )([A-Za-z0-9-]++(?:(?: ?[\[({<] ?dot ?[\])}>] ?| dot |\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
+_AFTER_AT = re.compile(r"[^\s@]*+")
 _DOT = re.compile(r" ?[\[({<] ?dot ?[\])}>] ?| dot ", re.IGNORECASE)
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,3}[0-9])*+")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _WORD_BEFORE = re.compile(r"(\w+)\W*$")
 
 _NAMES = ["bias", "at", "spelt", "address", "digits<10", "digits<14", "digits<16", "digits=16", "digits<20", "digits20+", "luhn", "plus", "paren", "dash", "dots=3", "octets", "space", "card-head", "4-4-4-4", "3-4-end"]
 WIDTH = len(_NAMES) + CONTEXT
 
 
+def _signs(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around each at sign without white space or another one; no character is looked at twice."""
+    past, i = 0, text.find("@")
+    while i >= 0:
+        start = i
+        while start > past and text[start - 1] != "@" and not text[start - 1].isspace():
+            start -= 1
+        past = _AFTER_AT.match(text, i + 1).end()
+        yield start, past
+        i = text.find("@", past)
+
+
 class Unit:
     __slots__ = ("start", "end", "key", "features", "label")
 
@@ -133,9 +146,10 @@ def units(text: str, base: list[tuple[int, int, int]]) -> list[Unit]:
         if "dot" in m[3].lower() or m[2].strip().lower() != "at":
             found.append((m.start(), m.end(), address, {"at", "spelt", "address"}))
     if "@" in text:
-        for m in _AT.finditer(text):
-            a = _ADDRESS.search(m.group())
-            s, e = (m.start() + a.start(), m.start() + a.end()) if a else m.span()
+        for s, e in _signs(text):
+            a = next(_email(text[s:e]), None)
+            if a:
+                s, e = s + a[0], s + a[1]
             found.append((s, e, text[s:e].lower(), {"at", *(("address",) if a else ())}))
     for m in _NUMBER.finditer(text):
         raw = m.group()
@@ -164,7 +178,10 @@ def units(text: str, base: list[tuple[int, int, int]]) -> list[Unit]:
             features.append(len(_NAMES) + zlib.crc32(before[1].lower().encode()) % CONTEXT)
         while b < len(base) and base[b][2] <= s:
             b += 1
-        label = next((x[1] for x in base[b : b + 4] if x[0] < e and x[2] > s), -1)
+        label, j = -1, b
+        while label < 0 and j < len(base) and base[j][0] < e:
+            label = base[j][1] if base[j][2] > s else -1
+            j += 1
         out.append(Unit(s, e, key, features, label))
     return out
 

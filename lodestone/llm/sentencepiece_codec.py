@@ -16,8 +16,9 @@ each chunk then traces its own pieces.  Pieces belong to the chunk in which they
 
 Defined results.  Null and empty texts have no pieces and decode to an empty text.  Characters that are
 not in the vocabulary become byte pieces.  A literal U+2581 is a space to this vocabulary and decodes as
-one, and a text's own NUL characters are kept.  Rows that repeat are encoded each.  Columns of the input
-pass through; results replace columns of their names.
+one, and a text's own NUL characters are kept.  Very long texts are the giant documents above.  Paths can't tie, as
+the encoding is the only open one.  Rows that repeat are encoded each.  An empty table gives an empty table.
+Columns of the input, of any name, pass through; results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import kernel as kn
+from .rows import with_results
+from .sqltext import column
 from .store import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32768
 GROUP = 64
+OPEN_PAIRS = 1 << 18  # pairs of pieces that a worker remembers
 SPACE = "▁"
 NEVER = -np.inf
 START, END = ("", 0), ("", -1)  # states outside a document
@@ -54,7 +57,7 @@ class Vocabulary:
         self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self._open: dict[tuple[str, str], bool] = {}
+        self._open: dict[tuple[str, str], bool] = {}  # at most OPEN_PAIRS
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short string: the best pair first, the leftmost of equals."""
@@ -77,6 +80,8 @@ class Vocabulary:
             return True
         known = self._open.get((a, b))
         if known is None:
+            if len(self._open) >= OPEN_PAIRS:
+                self._open.clear()
             known = self._open[a, b] = self.merge(a + b) == [a, b]
         return known
 
@@ -316,25 +321,20 @@ def _choose_chunks(table: pa.Table, ends: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, carry: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """docs with ids, the piece ids of each text."""
     keep = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
-    columns = [F.col(c) for c in dict.fromkeys([*keep, text])]
-    large = F.length(text) >= chunk
-    rows = docs.select(*columns)
-    schema = T.StructType([f for c in keep for f in rows.schema.fields if f.name == c] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    large = F.length(column(text)) >= chunk
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = vocabulary(model).lib
-        for batch in batches:
-            _, offsets = kn.utf8(batch.column(text))
-            for i, j in kn.slices(offsets):
-                part = batch.slice(i, j - i)
-                ids = lib.encode([t or "" for t in part.column(text).to_pylist()], num_threads=1)
-                sizes = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], schema=None, names=[*keep, "ids"])
-
-    small = rows.where(~F.coalesce(large, F.lit(False))).mapInArrow(whole, schema)
-    giants = materialize(rows.where(large).withColumn("_sp_row", F.monotonically_increasing_id()), "giants")
-    context = 24
+    def whole(texts: pa.Array) -> list[pa.Array]:
+        ids = vocabulary(model).lib.encode([t or "" for t in texts.to_pylist()], num_threads=1)
+        sizes = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes[-1]))
+        return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+
+    small = with_results(docs.where(~F.coalesce(large, F.lit(False))), text, keep, {"ids": T.ArrayType(T.IntegerType())}, whole)
+    # columns travel under numbers, so that their names can be any
+    own = [f"c{i}" for i in range(len(keep))]
+    giants = docs.where(large).select(F.monotonically_increasing_id().alias("row"), column(text).alias("text"), *[column(c).alias(n) for c, n in zip(keep, own)])
+    giants = materialize(giants, "giants")
+    context = 2 * vocabulary(model).longest  # a piece that lies across a cut is seen whole from either side
 
     def matrices(batches):
         v = vocabulary(model)
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, carry: list[
         out = [{"row": r["row"], "seq": r["seq"], "ids": _chunk(v, r).trace(*at[r["row"], r["seq"]])} for r in table.to_pylist()]
         return _table(out, {"row": pa.int64(), "seq": pa.int32(), "ids": pa.list_(pa.int32())})
 
-    chunks = giants.select(F.col("_sp_row").alias("row"), F.col(text).alias("text")).mapInArrow(lambda b: _split(b, chunk, context), _CHUNKS)
+    chunks = giants.select("row", "text").mapInArrow(lambda b: _split(b, chunk, context), _CHUNKS)
     chunks = chunks.withColumn("part", F.expr(f"seq div {GROUP}").cast("int"))
     of_chunk = materialize(chunks.drop("part").mapInArrow(matrices, _MATRIX), "matrices")
     of_group = of_chunk.groupBy("row", "part").applyInArrow(_multiply, _MATRIX)
@@ -356,24 +356,27 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, carry: list[
     states = of_chunk.groupBy("row", "part").cogroup(ends.groupBy("row", "part")).applyInArrow(_choose_chunks, _STATES)
     traced = chunks.groupBy("row", "part").cogroup(states.groupBy("row", "part")).applyInArrow(trace, _IDS)
     whole_ids = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"])).alias("ids"))
-    big = giants.select("_sp_row", *keep).join(whole_ids, F.col("_sp_row") == F.col("row")).select(*keep, "ids")
+    big = giants.select("row", *own).join(whole_ids, "row").select(*[F.col(n).alias(c) for c, n in zip(keep, own)], "ids")
     return small.unionByName(big)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the text of its ids."""
     keep = [c for c in encoded.columns if c != out]
-    schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
+    own = [f"c{i}" for i in range(len(keep))]
+    rows = encoded.select(*[column(c).alias(n) for c, n in zip(keep, own)], column(ids).alias("ids"))
+    schema = T.StructType([rows.schema[c] for c in own] + [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = vocabulary(model).lib
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                texts = lib.decode([x or [] for x in part.column(ids).to_pylist()]) if len(part) else []
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, out])
+                texts = lib.decode([x or [] for x in part.column("ids").to_pylist()]) if len(part) else []
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in own] + [pa.array(texts, pa.string())], names=[*own, "decoded"])
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[found[n].alias(c) for n, c in zip([*own, "decoded"], [*keep, out])])
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ tolerance or its bin is a single key.  Then rows are exchanged once, by sub-rang
 What reaches the driver are histogram bins: at most 2**FIRST_BITS in the first round and
 splitters * 2**NEXT_BITS in each later one, whatever the number of rows.
 
-Defined results.  Null text has no bytes and the crc32 of an empty text.  Rows that repeat are separate
-rows with their own slots.  An empty table gives an empty table.  Columns of the input never clash:
-only the key and the text are read.
+Defined results.  Null text has no bytes and the crc32 of an empty text.  Very long texts are rows like any
+other: a shard can't be cut inside one.  Rows that repeat are separate rows with their own slots.  Rows of one sort key are
+ordered by id; the number in a row's key is given once, in a written table.  An empty table gives an empty table.
+Columns of the input never clash: only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.sized import broadcast_if_small
+from .sqltext import column
 from .store import materialize
 
 ROW_OVERHEAD = 8
 KEY_BITS, FIRST_BITS, NEXT_BITS = 62, 12, 8
 TOLERANCE = 0.0005  # of a shard's bytes
-PARTS_PER_SHARD = 8  # sub-ranges that are sorted and numbered on their own
+PARTS_PER_SHARD = 8  # sub-ranges of near equal bytes, whose splitters are found
+ROWS_PER_TASK = 1_000_000  # that are sorted and numbered at once: a sub-range of more is cut evenly by key
 
 
 def find_splitters(rows: DataFrame, targets: list[float], tolerance: float) -> list[int]:
@@ -61,22 +65,23 @@ def find_splitters(rows: DataFrame, targets: list[float], tolerance: float) -> l
     return splitters
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS_PER_SHARD, tolerance: float = TOLERANCE) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS_PER_SHARD, tolerance: float = TOLERANCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(key, size, text_crc32, shard, slot): shards are contiguous in sort order and near equal in bytes."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(column(text), F.lit(""))
     crc = F.crc32(body.cast("binary"))
-    row = F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(1 << 31))
+    row = F.pmod(F.xxhash64(column(key), F.monotonically_increasing_id()), F.lit(1 << 31))
     # The only pass over the texts; all later rounds read this narrow table.
     rows = materialize(
         docs.select(
-            F.col(key).alias("id"),
+            column(key).alias("id"),
             (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"),
             crc.alias("crc"),
             (F.shiftright(crc, 1) * F.lit(1 << 31) + row).alias("k"),
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
+    total = total or 0
     targets = [total * i / (shards * parts) for i in range(1, shards * parts)]
     splitters = find_splitters(rows, targets, tolerance * total / shards)
     for i in range(1, len(splitters)):
@@ -88,14 +93,21 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     outer = F.array(*[F.lit(s).cast("long") for s in splitters[parts - 1 :: parts]]) if shards > 1 else F.array().cast("array<long>")
     inner = F.array(*[F.array(*[F.lit(s).cast("long") for s in splitters[i * parts : i * parts + parts - 1]]) for i in range(shards)])
     placed = rows.withColumn("shard", count_below(outer)).withColumn("part", count_below(F.element_at(inner, F.col("shard") + 1)) if parts > 1 else F.lit(0))
-    # Where each sub-range starts in its shard: shards * parts counts, a bound that doesn't grow with rows.
+    # Keys are spread evenly but for groups of copies, which the splitters have cut already: even cuts of a sub-range hold about as many rows each.
+    cuts = max(1, -(-count // (shards * parts * rows_per_task)))
+    edges = F.array(*[F.lit(x).cast("long") for x in (0, *splitters, 1 << KEY_BITS)])
+    at = F.col("shard") * parts + F.col("part") + 1
+    low, high = F.element_at(edges, at), F.element_at(edges, at + 1)
+    cut = F.least(F.floor((F.col("k") - low) / F.greatest((high - low) / F.lit(cuts), F.lit(1.0))), F.lit(cuts - 1)).cast("int")
+    placed = placed.withColumn("part", F.col("part") * cuts + cut)
+    # Where each cut starts in its shard: a count for each ROWS_PER_TASK rows or so.
     starts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("shard", "part").orderBy("k", "id")
     return (
         placed.withColumn("slot", F.row_number().over(order) - 1)
-        .join(F.broadcast(starts), ["shard", "part"])
+        .join(broadcast_if_small(starts) if cuts > 1 else F.broadcast(starts), ["shard", "part"])
         .select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("slot")).cast("long").alias("slot"))
     )
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernel as kn
@@ -62,6 +63,67 @@ def test_probabilities_sum_to_one(spark):
         assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
 
 
+def kneser_ney(texts, classes, symbols):
+    """Brute force: log-probability of a class after its context, from dictionaries."""
+    counts = [None, *({} for _ in range(langid.ORDER))]
+    for t in texts:
+        c = [0] * (langid.ORDER - 1) + classes(t)
+        for i in range(langid.ORDER - 1, len(c)):
+            g = tuple(c[i - langid.ORDER + 1 : i + 1])
+            counts[langid.ORDER][g] = counts[langid.ORDER].get(g, 0) + 1
+    for order in range(langid.ORDER - 1, 0, -1):
+        for g in counts[order + 1]:
+            counts[order][g[1:]] = counts[order].get(g[1:], 0) + 1
+    discount = [None]
+    for order in range(1, langid.ORDER + 1):
+        once, twice = (sum(v == k for v in counts[order].values()) for k in (1, 2))
+        discount.append(min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5)))
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        n = len(g)
+        after = {k: v for k, v in counts[n].items() if k[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total = sum(after.values())
+        return max(counts[n].get(g, 0) - discount[n], 0) / total + discount[n] * len(after) / total * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("together", [1, 2, 8])
+def test_against_brute_force_kneser_ney(together):
+    rnd = random.Random(4)
+    texts = {g: [" ".join("".join(rnd.choice(a) for _ in range(rnd.randint(1, 5))) for _ in range(12)).encode() for _ in range(4)] for g, a in (("x", "abcab"), ("y", "bcdé"), ("z", "дежaд"))}
+    model = langid.Model(sorted(texts), texts, {g: v[:1] for g, v in texts.items()}, together)
+    classes = lambda t: model.classes(langid.letters(t)).tolist()
+    brute = {g: kneser_ney(v, classes, model.other + 1) for g, v in texts.items()}
+    for t in [*texts["x"][:2], *texts["y"][:1], "abé dж q".encode()]:
+        c = [0] * (langid.ORDER - 1) + classes(t)
+        grams = [tuple(c[i - langid.ORDER + 1 : i + 1]) for i in range(langid.ORDER - 1, len(c))]
+        want = [-sum(np.log(brute[g](x)) for x in grams) / len(grams) for g in model.languages]
+        assert np.allclose(model.entropy(t)[1], want, atol=1e-5)
+
+
+def test_languages_of_one_script_beside_others(spark):
+    """Two languages on different sets of 1,500 Han letters, beside English-like and Russian-like ones."""
+    rnd = random.Random(9)
+    letters = {"h1": [chr(0x4E00 + 2 * i) for i in range(1500)], "h2": [chr(0x4E01 + 2 * i) for i in range(1500)], "en": list("etaoinshrdlu"), "ru": list("оеаинтсрвл")}
+    rows = [(" ".join("".join(rnd.choice(a) for _ in range(rnd.randint(1, 6))) for _ in range(40)), g) for g, a in letters.items() for _ in range(90)]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    got = langid.identify(docs.where(langid.held_out(F.col("doc_id"))), model).collect()
+    assert len(got) > 80 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_a_large_model_is_refused(spark, odd, monkeypatch):
+    model = langid.train(corpus(spark, 1), F.lit(True))
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1000)
+    with pytest.raises(ValueError, match="max_bytes"):
+        langid.identify(odd, model)
+
+
 def test_batch_equals_single():
     texts = {g: [t.encode() for t in sentences(g, 30, 3)] for g in SYLLABLES}
     model = langid.Model(sorted(texts), texts, {g: v[:3] for g, v in texts.items()})

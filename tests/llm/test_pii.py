@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 
@@ -63,6 +64,46 @@ def test_every_text_with_a_spelt_unit_is_judged():
     assert hit[0] and hit[1] and not [t for t, h in zip(texts, hit) if pii.units(t, []) and not h]
 
 
+def test_beliefs_against_all_labelings():
+    """Exact marginals where the graph has no loop; close ones where it has."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for trial in range(12):
+        field = pii.Field(rng.normal(0, 0.8, (pii.WIDTH, 5)), rng.normal(0, 0.5, (5, 5)), rng.normal(0, 0.5, (5, 5)))
+        loop = trial >= 8
+        keys = ["a", "b", "a", "c", "a"] if loop else ["a", "b", "c", "d"]
+        us = [pii.Unit(100 * i, 100 * i + 9, k, [0, 2 + i % 5], int(rng.integers(1, 5)) if i == 1 and trial % 2 else -1) for i, k in enumerate(keys)]
+        chain, skip = pii.graph([us])
+        total = np.zeros((len(us), 5))
+        for labels in itertools.product(range(5), repeat=len(us)):
+            if any(u.label >= 0 and u.label != x for u, x in zip(us, labels)):
+                continue
+            score = sum(field.unary[u.features, x].sum() for u, x in zip(us, labels) if u.label < 0)
+            score += sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+            for i, x in enumerate(labels):
+                total[i, x] += np.exp(score)
+        want = total / total.sum(axis=1, keepdims=True)
+        assert len(skip) == (2 if loop else 0)
+        assert abs(field.beliefs([us]) - want).max() < (0.1 if loop else 0.02)
+
+
+def test_long_names_and_many_spans_stay_whole():
+    address = "n" * 300 + "@" + ".".join(["d" * 90] * 9)
+    text = f"{address} and {'m' * 200} [at] {'e' * 100} [dot] {'f' * 100}" + " [dot] g" * 9
+    got = [text[u.start : u.end] for u in pii.units(text, pii.base_spans(text))]
+    assert got == [address, text[len(address) + 5 :]]
+    dense = "1.2.3.4 5.6.7.8 +1 555 123 4567 (a@b.cc) 4111111111111111"
+    us = pii.units(dense, [(0, pii.IP, 7), (0, pii.IP, 3), (1, pii.IP, 2), (2, pii.IP, 3), (3, pii.IP, 4), (8, pii.CARD, 15)])
+    assert us[0].label >= 0
+    assert [x for x in pii._signs("a@b@c @ d@")] == [(0, 3), (3, 5), (6, 7), (8, 10)]
+    began = time.perf_counter()
+    pii.units("x" * 200_000 + "@" * 3 + "y" * 200_000, [])
+    assert time.perf_counter() - began < 2
+
+
 def test_odd_rows(spark, odd, none):
     field = teacher()
     got = pii.find(odd, field)

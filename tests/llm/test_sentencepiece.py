@@ -56,3 +56,18 @@ def test_round_trip_and_odd_rows(spark, odd, none):
     rows = back.collect()
     assert len(rows) == 11 and all(r.decoded == (r.text or "") for r in rows)
     assert sp.decode(sp.encode(none)).count() == 0
+
+
+def test_clashing_names(spark, library):
+    docs = spark.createDataFrame([("word " * 30, 1, 2, 3), ("short", 4, 5, 6)], "text string, row long, `a.b` int, seq int")
+    back = sp.decode(sp.encode(docs, chunk=20))
+    assert back.columns == ["text", "row", "a.b", "seq", "ids", "decoded"]
+    assert {(r["row"], r["a.b"], r["seq"]) for r in back.collect()} == {(1, 2, 3), (4, 5, 6)} and all(r["decoded"] == r["text"] for r in back.collect())
+
+
+def test_memory_of_a_worker_is_bounded(monkeypatch):
+    monkeypatch.setattr(sp, "OPEN_PAIRS", 4)
+    v = sp.Vocabulary(sp.MODEL)
+    for a in "abcdefgh":
+        assert v.compatible(a, "▁x") and v.compatible(a, "q") == (v.merge(a + "q") == [a, "q"])
+    assert len(v._open) <= 4

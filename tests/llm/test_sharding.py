@@ -1,6 +1,7 @@
+import random
 import zlib
 
-from lodestone.llm.sharding import shard_by_bytes
+from lodestone.llm.sharding import find_splitters, shard_by_bytes
 
 from .conftest import frame
 
@@ -39,6 +40,42 @@ def test_one_shard_and_repeats(spark):
     assert max(map(len, by.values())) <= 110
 
 
+def brute(rows, shards):
+    """Rows by sort key, cut where the bytes below come nearest to each target."""
+    rows = sorted(rows)
+    below = [0]
+    for _, size in rows:
+        below.append(below[-1] + size)
+    cuts = [min(range(len(below)), key=lambda i: (abs(below[i] - below[-1] * s / shards), i)) for s in range(1, shards)]
+    return [rows[c][0] if c < len(rows) else 1 << 62 for c in cuts]
+
+
+def test_splitters_against_brute_force(spark):
+    rnd = random.Random(2)
+    for shards in (2, 5, 9):
+        rows = [(rnd.choice([rnd.getrandbits(62), (77 << 40) + rnd.randrange(300)]), rnd.randint(8, 400)) for _ in range(700)]
+        df = spark.createDataFrame(rows, "k long, size long")
+        total = sum(n for _, n in rows)
+        got = find_splitters(df, [total * i / shards for i in range(1, shards)], 0.0)
+        below = lambda s: sum(n for k, n in rows if k < s)
+        for i, (mine, theirs) in enumerate(zip(got, brute(rows, shards)), 1):
+            assert abs(below(mine) - total * i / shards) <= abs(below(theirs) - total * i / shards) + 1e-6
+
+
+def test_many_rows_are_numbered_in_cuts(spark):
+    texts = [(i, f"t{i}") for i in range(2000)] + [(5000 + i, "one text") for i in range(800)]
+    want = {(r.doc_id, r.shard) for r in shard_by_bytes(frame(spark, texts), 3).collect()}
+    rows = shard_by_bytes(frame(spark, texts), 3, rows_per_task=20).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+    assert len(rows) == 2800 and len(want) == 2800
+    for part in by.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+    copies = sorted((r.shard, r.slot) for r in rows if r.doc_id >= 5000)
+    assert sum(b != a + 1 for (s, a), (t, b) in zip(copies, copies[1:]) if s == t) == 0  # equal texts lie side by side
+
+
 def test_empty_table(none):
     assert shard_by_bytes(none, 24).count() == 0
 
