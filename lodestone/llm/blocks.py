@@ -162,8 +162,8 @@ class Exchange:
         sent = []
         for level in range(1, len(self.fans)):
             sent.append(materialize(asked, "keys"))
-            asked = sent[-1].where("bucket >= 0").withColumn("group", self._group()).groupBy("bucket", "group").applyInArrow(self._merger(level, stat), REQUEST)
-        found = asked.groupBy("bucket").applyInArrow(lambda t: self._answer(stat, t), ANSWER)
+            asked = sent[-1].where("bucket >= 0").withColumn("group", self._group()).groupBy("bucket", "group").applyInArrow(one(self._merger(level, stat)), REQUEST)
+        found = asked.groupBy("bucket").applyInArrow(one(lambda t: self._answer(stat, t)), ANSWER)
         if not sent:
             return found
         found = materialize(found, "answers")
@@ -172,7 +172,7 @@ class Exchange:
             fan = self.fans[level]
             asked = asked.where("bucket >= 0").withColumn("group", self._group())
             found = found.withColumn("parent", F.expr(f"bucket div {fan}L"))
-            found = asked.groupBy("bucket", "group").cogroup(found.groupBy("parent", "sender")).applyInArrow(lambda t, r: self._back(stat, t, r), ANSWER)
+            found = asked.groupBy("bucket", "group").cogroup(found.groupBy("parent", "sender")).applyInArrow(two(lambda t, r: self._back(stat, t, r)), ANSWER)
             found = materialize(found, "answers")
         notes = sent[0].where("bucket < 0").select("sender", "bucket", F.col("keys").alias("body"), F.lit(None).cast("array<bigint>").alias("sums"))
         discard(*sent[1:])
@@ -199,6 +199,28 @@ def answers(table: pa.Table, kind) -> np.ndarray:
     return np.concatenate([unsqueeze(body[int(i)].as_py(), kind) for i in order])
 
 
+def one(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """work for applyInArrow by group, that leaves no memory behind."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        kn.release()
+        return out
+
+    return run
+
+
+def two(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        kn.release()
+        return out
+
+    return run
+
+
 def dealt(docs: DataFrame, blocks: int, *more: str) -> DataFrame:
     """(block, key, text, more) of docs(key, text, more): what every pass groups by block."""
     return docs.select(block_of(F.col("key"), F.col("text"), blocks).alias("block"), "key", "text", *more)
@@ -228,4 +250,4 @@ def with_integer_ids(docs: DataFrame, key: str, text: str, work: Callable[[DataF
     return out.select(*columns)
 
 
-__all__ = ["ANSWER", "REQUEST", "Exchange", "Statistic", "answers", "block_of", "dealt", "kn", "only", "squeeze", "text_bytes", "unsqueeze", "with_integer_ids"]
+__all__ = ["ANSWER", "REQUEST", "Exchange", "Statistic", "answers", "block_of", "dealt", "kn", "one", "only", "squeeze", "text_bytes", "two", "unsqueeze", "with_integer_ids"]

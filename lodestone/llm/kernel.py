@@ -7,6 +7,7 @@ computed with one cumulative sum per segment and finished with a bijective mixer
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ _alnum[48:58] = _alnum[97:123] = _alnum[128:] = True
 ALNUM = _alnum
 
 _powers: list[np.ndarray] = []
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker between two groups holds little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

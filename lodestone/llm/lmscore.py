@@ -133,11 +133,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc
 
     def work(rows: DataFrame) -> DataFrame:
         texts = bl.dealt(rows, exchange.blocks, "target").groupBy("block")
-        counts = materialize(exchange.run(texts.applyInArrow(lambda t: passes.ask(t), bl.REQUEST), _Both()), "counts")
+        counts = materialize(exchange.run(texts.applyInArrow(bl.one(passes.ask), bl.REQUEST), _Both()), "counts")
         # words are the upper half of the key ranges, bigrams the lower one
         sums = counts.where(F.col("sums").isNotNull() & (F.col("bucket") >= exchange.ranges(len(exchange.fans)) // 2)).agg(*[F.sum(F.col("sums")[i]) for i in range(3)]).first()
         vocabulary, totals = max(1, sums[0] or 0), (sums[1] or 0, sums[2] or 0)
-        return texts.cogroup(counts.where("sender >= 0").groupBy("sender")).applyInArrow(lambda t, r: passes.score(t, r, vocabulary, totals), RESULT)
+        return texts.cogroup(counts.where("sender >= 0").groupBy("sender")).applyInArrow(bl.two(lambda t, r: passes.score(t, r, vocabulary, totals)), RESULT)
 
     return bl.with_integer_ids(marked, "key", "text", work, ["key"], ("target",)).withColumnRenamed("key", key)
 

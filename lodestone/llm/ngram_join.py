@@ -260,8 +260,8 @@ def _joined(docs: DataFrame, passes: _Passes, count_links: bool) -> DataFrame:
     num, den, nb = passes.num, passes.den, passes.exchange.blocks
     texts = bl.dealt(docs, nb)
     by_block = lambda df: df.groupBy("block")
-    freq = passes.exchange.run(by_block(texts).applyInArrow(lambda t: passes.ask(t), bl.REQUEST), _Frequency())
-    sent = materialize(by_block(texts).cogroup(freq.groupBy("sender")).applyInArrow(lambda t, r: passes.postings(t, r), POSTING), "postings")
+    freq = passes.exchange.run(by_block(texts).applyInArrow(bl.one(passes.ask), bl.REQUEST), _Frequency())
+    sent = materialize(by_block(texts).cogroup(freq.groupBy("sender")).applyInArrow(bl.two(passes.postings), POSTING), "postings")
     rows = sent.where("shingle IS NULL").select("key", "node", "size", "block")
     # Copies in several blocks send the same postings.
     lists = sent.where("shingle IS NOT NULL").groupBy("shingle", "node", "size", "pos", "freq", "m0", "m1", "m2", "m3").agg(F.min("block").alias("block"))
@@ -274,8 +274,8 @@ def _joined(docs: DataFrame, passes: _Passes, count_links: bool) -> DataFrame:
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         # only blocks with pairs have to be read again
         both = bl.only(texts, pairs.select("block").union(pairs.select(F.col("to").alias("block"))))
-        parcels = by_block(both).cogroup(by_block(pairs)).applyInArrow(lambda t, p: passes.send(t, p), PARCEL)
-        return materialize(by_block(both).cogroup(by_block(parcels)).applyInArrow(lambda t, p: passes.verify(t, p), LINK), label)
+        parcels = by_block(both).cogroup(by_block(pairs)).applyInArrow(bl.two(passes.send), PARCEL)
+        return materialize(by_block(both).cogroup(by_block(parcels)).applyInArrow(bl.two(passes.verify), LINK), label)
 
     pairs = materialize(_candidates(lists, ["shingle", "chunk"], num, den), "pairs")
     links = linked(pairs, "links")
@@ -298,11 +298,11 @@ def _joined(docs: DataFrame, passes: _Passes, count_links: bool) -> DataFrame:
         of_node, of_label = materialize(of_node, "nodes"), materialize(of_label, "components")
         chunks = F.greatest(F.ceil(F.col("nodes") / TILE_SETS), F.ceil(F.col("members") / TILE_SHINGLES)).cast("long").alias("chunks")
         members = of_node.drop("members").join(of_label.where("nodes > 1").select("label", chunks), "label").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-        bodies = by_block(texts).cogroup(by_block(members)).applyInArrow(lambda t, m: passes.bodies(t, m), MEMBER)
+        bodies = by_block(texts).cogroup(by_block(members)).applyInArrow(bl.two(passes.bodies), MEMBER)
         # components of one chunk share tiles
         met = bodies.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("whole", F.col("chunks") == 1)
         met = met.select("label", "chunk", "copies", "body", F.when(F.col("whole"), F.pmod(F.xxhash64("label"), F.lit(nb))).otherwise(F.col("label")).alias("tile"), *[F.when(F.col("whole"), -1).otherwise(f("chunk", "other")).alias(c) for f, c in ((F.least, "i"), (F.greatest, "j"))])
-        counted = met.groupBy("tile", "i", "j").applyInArrow(lambda t: passes.tile(t), COUNT).groupBy("label").agg(F.sum("links").alias("links"))
+        counted = met.groupBy("tile", "i", "j").applyInArrow(bl.one(passes.tile), COUNT).groupBy("label").agg(F.sum("links").alias("links"))
         counted = materialize(counted, "counts")
         of_label = of_label.join(counted, "label", "left").withColumn("n_links", F.col("n_links") + F.coalesce("links", F.lit(0)))
     found = materialize(of_node.join(of_label.select("label", "component_id", "n_links"), "label").select("node", "component_id", "n_links"), "nodes")

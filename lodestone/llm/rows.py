@@ -29,6 +29,7 @@ def with_results(docs: DataFrame, text: str, keep: list[str], results: dict[str,
             for i, j in kn.slices(offsets):
                 batch = whole.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + work(batch.column("text")), names=[*own, *new])
+            kn.release()
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[out[n].alias(c) for n, c in zip([*own, *new], [*keep, *results])])

@@ -240,10 +240,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", fa
 
     def work(rows: DataFrame) -> DataFrame:
         texts = bl.dealt(rows, passes.phrases.blocks).groupBy("block")
-        shared = passes.phrases.run(texts.applyInArrow(lambda t: passes.ask_phrases(t), bl.REQUEST), _Shared())
-        asked = texts.cogroup(shared.groupBy("sender")).applyInArrow(lambda t, r: passes.ask_windows(t, r), bl.REQUEST)
+        shared = passes.phrases.run(texts.applyInArrow(bl.one(passes.ask_phrases), bl.REQUEST), _Shared())
+        asked = texts.cogroup(shared.groupBy("sender")).applyInArrow(bl.two(passes.ask_windows), bl.REQUEST)
         beaten = passes.windows.run(asked, _Beaten())
-        return texts.cogroup(beaten.groupBy("sender")).applyInArrow(lambda t, r: passes.remove(t, r), RESULT)
+        return texts.cogroup(beaten.groupBy("sender")).applyInArrow(bl.two(passes.remove), RESULT)
 
     return bl.with_integer_ids(docs, key, text, work, ["key"]).withColumnRenamed("key", key)
 
