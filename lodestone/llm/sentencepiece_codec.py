@@ -26,6 +26,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -326,7 +327,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, carry: list[
     def whole(texts: pa.Array) -> list[pa.Array]:
         ids = vocabulary(model).lib.encode([t or "" for t in texts.to_pylist()], num_threads=1)
         sizes = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes[-1]))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
         return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
 
     small = with_results(docs.where(~F.coalesce(large, F.lit(False))), text, keep, {"ids": T.ArrayType(T.IntegerType())}, whole)
@@ -360,6 +361,13 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, carry: list[
     return small.unionByName(big)
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """Lists of ids; null is an empty one.  One conversion of all ids and slices of it, as Arrow's own takes a call for each."""
+    flat = column.flatten().to_pylist() if column.flatten().null_count else column.flatten().to_numpy().tolist()
+    past = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+    return [flat[a:b] for a, b in zip([0, *past[:-1]], past)]
+
+
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the text of its ids."""
     keep = [c for c in encoded.columns if c != out]
@@ -372,7 +380,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str =
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                texts = lib.decode([x or [] for x in part.column("ids").to_pylist()]) if len(part) else []
+                texts = lib.decode(_lists(part.column("ids"))) if len(part) else []
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in own] + [pa.array(texts, pa.string())], names=[*own, "decoded"])
 
     found = rows.mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import sentencepiece_codec as sp
@@ -71,3 +72,9 @@ def test_memory_of_a_worker_is_bounded(monkeypatch):
     for a in "abcdefgh":
         assert v.compatible(a, "▁x") and v.compatible(a, "q") == (v.merge(a + "q") == [a, "q"])
     assert len(v._open) <= 4
+
+
+def test_lists_of_ids():
+    for x in ([[1, 2], [], [3]], [[1], None, [2, 3]], [], [None], [[]]):
+        column = pa.array([[9], *x], pa.list_(pa.int32())).slice(1)
+        assert sp._lists(column) == [y or [] for y in x]
