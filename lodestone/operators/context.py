@@ -60,7 +60,7 @@ def build(hits: DataFrame, budget: int = 6000, per_document: int = 4, chunks: Da
 
     def step(acc: Column, x: Column) -> Column:
         share = F.size(F.filter(acc["taken"], lambda t: t["document_id"] == x["document_id"])) >= per_document
-        sibling = F.exists(acc["taken"], lambda t: t["parent_id"] == x["parent_id"])
+        sibling = F.exists(acc["taken"], lambda t: (x["parent_id"] != "") & (t["parent_id"] == x["parent_id"]))
         skip = share | F.coalesce(sibling, F.lit(False))
         fits = acc["used"] + x["tokens"] <= budget
         taken = F.struct(F.concat(acc["taken"], F.array(x)).alias("taken"), (acc["used"] + x["tokens"]).alias("used"), acc["dropped"].alias("dropped"))

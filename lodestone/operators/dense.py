@@ -1,21 +1,26 @@
-"""Exact vector search: blocks of queries against all rows, one matrix product for each Arrow batch."""
+"""Exact vector search: all queries against all rows, one matrix product for each Arrow batch.  Ids may be of any type that sorts."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.sized import in_blocks
 from ..functions.text import let, words
-from .sparse import DIGITS, best_of_batch, top_k
+from .ranking import DIGITS, Best, hit_schema, top_k
 
-BLOCK = 1024  # queries that are broadcast at once
-BATCH = 4096  # rows of a product
+NUMBERS = 1 << 24  # of query vectors that are broadcast at once: 128 MB
+CELLS = 1 << 22  # scores that are worked out at once
 DIM = 384
+LISTS = ("authority", "document_type", "document_id")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -28,40 +33,98 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector: str = "vector", group: str | None = None) -> DataFrame:
-    """(query_id, rank, id, score): cosine top k of queries(query_id, vector[, group]); with group, only rows of the query's group.
+def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector: str = "vector", group: str | None = None, null_dates: bool = True) -> DataFrame:
+    """(query_id, rank, id, score): cosine top k of queries(query_id, vector[, group][, filter]).
 
-    Each batch sends its own k best only.  All vectors have one length; rows without a vector are no candidates.
+    With group, only rows of the query's group.  With a column filter in queries, a struct as sparse.passes() takes it, only
+    rows whose authority, document_type, document_id and publication_date pass it: rows are judged before they
+    are ranked.  null_dates says whether a row without a date passes a range of dates.
+
+    A task sends its own k best of each query only.  Queries of up to NUMBERS numbers take one scan of the vectors, more take
+    one scan for each block of so many.  All vectors have one length; rows without a vector are no candidates.
     """
+    own = [group] if group else []
+    filtered = "filter" in queries.columns
+    meta = [*LISTS, "publication_date"] if filtered else []
+    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("vector"), *[F.col(c).alias("g") for c in own], *meta).where("vector IS NOT NULL AND id IS NOT NULL")
+    schema = hit_schema(queries.schema["query_id"].dataType, rows.schema["id"].dataType)
+    wide = queries.select(F.max(F.size("vector"))).first()[0] or 1
     found = None
-    columns = [F.col(id_).alias("id"), F.col(vector).alias("vector"), *([F.col(group).alias("g")] if group else [])]
-    rows = vectors.select(*columns).where("vector IS NOT NULL AND id IS NOT NULL")
-    for block in in_blocks(queries, BLOCK):
+    wanted = queries.select("query_id", "vector", *own, *(["filter"] if filtered else [])).where("vector IS NOT NULL")
+    for block in in_blocks(wanted, max(1, NUMBERS // wide)):
         q = normalised(np.array([r["vector"] for r in block], np.float64))
-        shared = vectors.sparkSession.sparkContext.broadcast((q, [r["query_id"] for r in block], [r[group] for r in block] if group else None))
-        part = rows.mapInArrow(_scorer(shared, k), "query_id long, id long, score double")
+        names = pa.array([r["query_id"] for r in block], to_arrow_type(schema["query_id"].dataType))
+        shared = vectors.sparkSession.sparkContext.broadcast((q, names, [r[group] for r in block] if group else None, [r["filter"] for r in block] if filtered else None))
+        part = rows.mapInArrow(_scorer(shared, k, null_dates), schema)
         found = part if found is None else found.union(part)
     if found is None:
-        found = rows.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long"), F.lit(0.0).alias("score")).limit(0)
+        found = vectors.sparkSession.createDataFrame([], schema)
     return top_k(found, k).select("query_id", "rank", "id", "score")
 
 
-def _scorer(shared, k: int):
+def _scorer(shared, k: int, null_dates: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, names, groups = shared.value
+        q, names, groups, filters = shared.value
+        best = Best(names, k)
+        judged = _Filters(filters, null_dates) if filters is not None else None
         for whole in batches:
-            for i in range(0, len(whole), BATCH):
-                batch = whole.slice(i, BATCH)
-                ids = batch.column("id").to_numpy()
+            rows = max(1, CELLS // max(1, len(names)))
+            for i in range(0, len(whole), rows):
+                batch = whole.slice(i, rows)
                 score = np.round(normalised(matrix(batch.column("vector"))) @ q.T, DIGITS)
                 if groups is not None:
                     own = np.array(batch.column("g").to_pylist(), object)
                     score = np.where(own[:, None] == np.array(groups, object)[None, :], score, -np.inf)
-                yield best_of_batch(score, ids, names, k)
+                if judged:
+                    score = np.where(judged.passes(batch), score, -np.inf)
+                best.add(score, batch.column("id"))
+        yield from best.batches()
 
     return run
 
 
+class _Filters:
+    """Distinct filters of some queries, as masks over the rows of a batch."""
+
+    def __init__(self, filters: list, null_dates: bool):
+        self.null_dates = null_dates
+        keys = [tuple((tuple(f[c] or ()) if c in LISTS else f[c]) for c in (*LISTS, "gte", "lte")) if f else ((), (), (), None, None) for f in filters]
+        self.distinct = list(dict.fromkeys(keys))
+        self.of_query = np.array([self.distinct.index(x) for x in keys])
+
+    def passes(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(row, query): which rows each query may find."""
+        return np.stack([self._mask(batch, *f) for f in self.distinct], axis=1)[:, self.of_query]
+
+    def _mask(self, batch: pa.RecordBatch, *f) -> np.ndarray:
+        ok = np.ones(len(batch), bool)
+        for c, wanted in zip(LISTS, f):
+            if wanted:
+                ok &= np.asarray(pa.compute.is_in(batch.column(c), value_set=pa.array(wanted, pa.string())))
+        dates = batch.column("publication_date")
+        for bound, compare in ((f[3], pa.compute.greater_equal), (f[4], pa.compute.less_equal)):
+            if isinstance(bound, datetime.date):
+                ok &= np.asarray(compare(dates, pa.scalar(bound, pa.date32())).fill_null(self.null_dates))
+        return ok
+
+
+def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
+    """(id, vector): the hashing embedding as search() takes it.  A text without words has the zero vector."""
+    entries = hashed_features(df, id_, text, dim).groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("value").alias("value"))
+    every = df.select(F.col(id_).alias("id")).distinct().join(entries, "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            row = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(batch.column("idx")).fill_null(0)))
+            out = np.zeros((n, dim))
+            out[row, np.asarray(batch.column("idx").flatten())] = np.asarray(batch.column("value").flatten())
+            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["id", "vector"])
+
+    return every.mapInArrow(run, T.StructType([every.schema["id"], T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+
+
 def hashed_features(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
     """(id, idx, value): sparse hashing embedding of words and neighbour pairs, of length one.
 

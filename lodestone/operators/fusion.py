@@ -15,12 +15,22 @@ RRF_K = 60
 WITHIN_PAGES = 0.5  # similarity from which a chunk inside a kept chunk's pages is a duplicate
 
 
+def dealt(lists: DataFrame, *keys: str) -> DataFrame:
+    """Rows of several lists with all of a query's rows of one key in one partition, dealt anew.
+
+    Lists that are ranked already are partitioned by query each, and a union of them is taken to be so as a whole; but
+    adaptive execution coalesces the partitions of each list on its own, after which an aggregate over the union sees a
+    query in parts.  Dealing by the query alone would be taken for done.
+    """
+    return lists.repartition("query_id", *keys)
+
+
 def rrf(lists: DataFrame, k: int, rrf_k: int = RRF_K, weights: dict[int, float] | None = None, digits: int = 9) -> DataFrame:
     """(query_id, rank, id, score, sources): sum of weight / (rrf_k + rank); ties keep the order of first sight."""
     weight: Column = F.lit(1.0)
     for no, w in (weights or {}).items():
         weight = F.when(F.col("list_no") == no, F.lit(float(w))).otherwise(weight)
-    fused = lists.groupBy("query_id", "id").agg(
+    fused = dealt(lists, "id").groupBy("query_id", "id").agg(
         F.round(F.sum(weight / (F.lit(rrf_k) + F.col("rank"))), digits).alias("score"),
         F.min(F.struct("list_no", "rank")).alias("seen"),
         F.array_join(F.array_sort(F.collect_set("retriever")), "+").alias("sources"),
@@ -34,7 +44,7 @@ def interleave(lists: DataFrame, k: int) -> DataFrame:
 
     k of 0 takes all.
     """
-    slot = lists.groupBy("query_id", "id").agg(F.min(F.struct("rank", "list_no")).alias("slot"))
+    slot = dealt(lists, "id").groupBy("query_id", "id").agg(F.min(F.struct("rank", "list_no")).alias("slot"))
     w = Window.partitionBy("query_id").orderBy("slot")
     out = slot.withColumn("rank", F.row_number().over(w))
     return (out.where(F.col("rank") <= k) if k else out).select("query_id", "rank", "id")

@@ -1,4 +1,4 @@
-"""BM25 for any number of queries at once, over a table of tokenised documents."""
+"""BM25 for any number of queries at once, over a table of tokenised documents.  Ids may be of any type that sorts."""
 
 from __future__ import annotations
 
@@ -8,17 +8,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sized import broadcast_if_small, in_blocks
+from ..functions.sized import broadcast_if_small, spread
 from ..functions.text import sparse_tokens
 from ..sources.tables import written
+from .ranking import DIGITS, Best, hit_schema, top_k
 
 EPSILON = 0.25  # of the mean idf, in place of a negative one
-BLOCK = 256  # queries whose weights are broadcast at once: their terms times this many numbers
+MOST_WEIGHTS = 1_000_000  # (query, term) pairs that are broadcast: 24 MB and the terms; more queries go by joins
 BATCH = 2048  # documents that are scored at once
-DIGITS = 6  # scores are rounded, so that equal sums in another order stay ties
+CELLS = 1 << 22  # numbers of a step: scores of a batch, or products that are added up
 
 
 @dataclass
@@ -33,20 +34,31 @@ class Index:
 
 def build(docs: DataFrame, id_: str, text: Column, k1: float = 1.5, b: float = 0.75) -> Index:
     """Statistics over all documents, empty ones included.  Texts are tokenised once, into a table that all else reads."""
-    toks = docs.select(F.col(id_).alias("id"), sparse_tokens(text).alias("toks")).withColumn("dl", F.size("toks"))
+    toks = spread(docs.select(F.col(id_).alias("id"), text.alias("text"))).select("id", sparse_tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
     toks = written(toks, "terms")
     n, mean = toks.agg(F.count(F.lit(1)), F.avg("dl")).first()
     df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = written(df, "frequencies")
+    return _index(df, toks, n, mean or 0.0, k1, b)
+
+
+def _index(df: DataFrame, toks: DataFrame, n: int, mean: float, k1: float, b: float) -> Index:
     raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)
-    return Index(raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), toks, n, mean or 0.0, k1, b)
+    return Index(raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), toks, n, mean, k1, b)
+
 
+def save(index: Index, path: str) -> None:
+    """Write an index once; load() gives it to any session."""
+    index.tokens.write.parquet(f"{path}/tokens")
+    index.terms.select("term", "df").write.parquet(f"{path}/frequencies")
+    spark = index.tokens.sparkSession
+    spark.createDataFrame([(index.size, index.mean_length, index.k1, index.b)], "size long, mean_length double, k1 double, b double").write.parquet(f"{path}/settings")
 
-def top_k(scored: DataFrame, k: int, score: str = "score", id_: str = "id") -> DataFrame:
-    """(query_id, rank, ...): the k best of each query, ties by id.  Only k rows a query and task are shuffled."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc(id_))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def load(spark: SparkSession, path: str) -> Index:
+    own = spark.read.parquet(f"{path}/settings").first()
+    return _index(spark.read.parquet(f"{path}/frequencies"), spark.read.parquet(f"{path}/tokens"), *own)
 
 
 def weights(index: Index, queries: DataFrame) -> DataFrame:
@@ -66,69 +78,71 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, score) of queries(query_id, text): one scan of the token table for each block of queries.
+    """(query_id, rank, id, score) of queries(query_id, text): one scan of the token table for all queries.
 
-    A block's weights are a matrix of terms and queries; each batch of documents adds up the rows of its
-    terms and sends its own k best, so no postings are shuffled.
+    The queries' weights are broadcast as the rows of a sparse matrix; a batch of documents is multiplied with it, and a task
+    sends its own k best of each query, so no postings are shuffled.  More than MOST_WEIGHTS weights are joined.
     """
-    asked = weights(index, queries)
-    names = queries.select("query_id").distinct().orderBy("query_id")
-    found = None
-    for block in in_blocks(names, BLOCK):
-        lo, hi = block[0]["query_id"], block[-1]["query_id"]
-        rows = asked.where(F.col("query_id").between(lo, hi)).collect()
-        terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
-        ids = [r["query_id"] for r in block]
-        at = {q: i for i, q in enumerate(ids)}
-        w = np.zeros((len(terms), len(ids)))
-        for r in rows:
-            w[terms[r["term"]], at[r["query_id"]]] = r["w"]
-        shared = index.tokens.sparkSession.sparkContext.broadcast((list(terms), w, ids))
-        part = index.tokens.where("id IS NOT NULL").mapInArrow(_scorer(shared, k, index.k1, index.b, index.mean_length or 1.0), "query_id long, id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = index.tokens.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long"), F.lit(0.0).alias("score")).limit(0)
+    asked = weights(index, queries).limit(MOST_WEIGHTS + 1).toArrow()
+    if asked.num_rows > MOST_WEIGHTS:
+        return top_k(scores(index, queries), k).select("query_id", "rank", "id", "score")
+    rows = index.tokens.where("id IS NOT NULL")
+    shared = rows.sparkSession.sparkContext.broadcast(_Weights(asked))
+    schema = hit_schema(queries.schema["query_id"].dataType, rows.schema["id"].dataType)
+    found = rows.mapInArrow(_scorer(shared, k, index.k1, index.b, index.mean_length or 1.0), schema)
     return top_k(found, k).select("query_id", "rank", "id", "score")
 
 
-def best_of_batch(score: np.ndarray, ids: np.ndarray, names: list, k: int) -> pa.RecordBatch:
-    """The k best of each column of score, ties by id; entries of -inf are none."""
-    out: list[list] = [[], [], []]
-    for j, name in enumerate(names):
-        s = score[:, j]
-        cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-        at = np.flatnonzero((s >= cut) & (s > -np.inf))
-        at = at[np.lexsort((ids[at], -s[at]))][:k]
-        for column, values in zip(out, ([name] * len(at), ids[at].tolist(), s[at].tolist())):
-            column.extend(values)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+class _Weights:
+    """Sparse rows of terms: which queries have the term, with which weight."""
+
+    def __init__(self, asked: pa.Table):
+        terms, names = (asked[c].combine_chunks().dictionary_encode() for c in ("term", "query_id"))
+        terms, names = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (terms, names))
+        term = np.asarray(terms.indices, np.int64)
+        order = np.argsort(term, kind="stable")
+        self.terms, self.names = terms.dictionary, names.dictionary
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.query = np.asarray(names.indices, np.int64)[order]
+        self.weight = asked["w"].to_numpy()[order]
+
+    def times(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Products of n sparse document rows with all queries."""
+        width = len(self.names)
+        out = np.zeros(n * width)
+        size = self.first[term + 1] - self.first[term]
+        past = np.cumsum(size)
+        i = 0
+        while i < len(doc):
+            j = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + CELLS)))
+            s = size[i:j]
+            at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(self.first[term[i:j]], s)
+            out += np.bincount(np.repeat(doc[i:j] * width, s) + self.query[at], weights=np.repeat(value[i:j], s) * self.weight[at], minlength=len(out))
+            i = j
+        return out.reshape(n, width)
 
 
 def _scorer(shared, k: int, k1: float, b: float, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, w, names = shared.value
-        known = pa.array(terms, pa.string())
+        w = shared.value
+        best = Best(w.names, k)
+        many = max(1, len(w.terms))
+        rows = min(BATCH, max(1, CELLS // max(1, len(w.names))))
         for whole in batches:
-            for i in range(0, len(whole), BATCH):
-                batch = whole.slice(i, BATCH)
+            for i in range(0, len(whole), rows):
+                batch = whole.slice(i, rows)
                 n = len(batch)
                 toks = batch.column("toks")
-                term = pa.compute.index_in(toks.flatten(), known)
+                term = pa.compute.index_in(toks.flatten(), w.terms)
                 doc = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(toks).fill_null(0)))
                 has = np.asarray(term.is_valid())
-                cell, tf = np.unique(doc[has] * max(1, len(terms)) + np.asarray(term.drop_null()).astype(np.int64), return_counts=True)
-                doc, term = cell // max(1, len(terms)), cell % max(1, len(terms))
+                cell, tf = np.unique(doc[has] * many + np.asarray(term.drop_null()).astype(np.int64), return_counts=True)
+                doc, term = cell // many, cell % many
                 norm = k1 * (1 - b + b * np.asarray(batch.column("dl"), np.float64) / mean)
-                part = tf * (k1 + 1) / (tf + norm[doc])
-                score = np.zeros((n, len(names)))
-                first = np.searchsorted(doc, np.arange(n + 1))
-                for d in range(n):
-                    s, e = first[d], first[d + 1]
-                    if s < e:
-                        score[d] = part[s:e] @ w[term[s:e]]
-                score = np.round(score, DIGITS)
+                score = np.round(w.times(doc, term, tf * (k1 + 1) / (tf + norm[doc]), n), DIGITS)
                 score[score <= 0] = -np.inf
-                yield best_of_batch(score, np.asarray(batch.column("id")), names, k)
+                best.add(score, batch.column("id"))
+        yield from best.batches()
 
     return run
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, cleaning, dense, fusion, grounding, metrics, query, sparse, validation
 from ..operators import context as ctx
+from ..operators.ranking import top_k
 from ..sources import stores
 from ..streaming import traces
 from . import retrieval
@@ -87,11 +88,6 @@ def identities(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_id(F.col("source"), F.lit("section"), position).alias("chunk_id"), tx.text_hash(F.col("text")).alias("text_hash"), tx.cache_key(F.lit("hashing"), F.col("text")).alias("cache_key"))
 
 
-@register()
-def point_ids(spark, sf_dir):
-    return stores.contextual_ids(table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 100000).cast("int").alias("position")), "source", "section")
-
-
 @register("SELECT doc_id, md5(source || ' — ' || lang || chr(10) || text) AS digest FROM documents")
 def index_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.index_text(F.col("text"), F.lit(None), F.col("lang"), F.col("source")).cast("binary")).alias("digest"))
@@ -195,19 +191,6 @@ def fixed_chunks(spark, sf_dir):
     return out.select("document_id", "chunk_id", "position", F.md5(F.col("text").cast("binary")).alias("digest"), "section", "page_start", "page_end", "token_count")
 
 
-def _chunks(strategy: str):
-    def run(spark, sf_dir):
-        out = chunking.chunk(paged(spark, sf_dir), strategy, chunking.Sizes(128, 16, 48))
-        return out.withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text", "parent_text")
-
-    run.__name__ = f"{strategy}_chunks"
-    return run
-
-
-for _s in ("recursive", "section", "parent_child"):
-    register()(_chunks(_s))
-
-
 @register("""WITH c AS (SELECT source AS document_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
   SELECT source AS document_id, count(*) AS chunks, max(n_chars) AS pages, min_by(lang, doc_id) AS title FROM documents GROUP BY 1""")
 def corpus_listing(spark, sf_dir):
@@ -224,21 +207,44 @@ def neighbours(spark, sf_dir):
 # ---- sparse retrieval
 
 
-_BM25 = f"""
-d AS (SELECT doc_id AS id, {tok('text')} AS toks FROM documents), n AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM d),
+def bm25_sql(docs: str, id_: str, queries: str = "benchmark", query_id: str = "item_id") -> str:
+    """scored(query_id, id, score) of docs(id_, text) and queries(query_id, text), and what it is made of."""
+    return f"""
+d AS (SELECT {id_} AS id, {tok('text')} AS toks FROM {docs}), n AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM d),
 tf AS (SELECT id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT id, toks, unnest(toks) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, n GROUP BY 1),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT {query_id} AS query_id, unnest({tok('text')}) AS term FROM {queries}) GROUP BY ALL),
 scored AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term), n GROUP BY ALL)"""
 
 
+_BM25 = bm25_sql("documents", "doc_id")
+
+
+def hashed_sql(name: str, src: str, id_: str) -> str:
+    """name(id, idx, value): the hashing embedding of src(id_, text)."""
+    return f"""{name}_g AS (SELECT id, md5(unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS h FROM (SELECT {id_} AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {src})),
+{name}_s AS (SELECT id, (((CAST('0x' || substr(h, 1, 16) AS UBIGINT) % 384) * 256 + CAST('0x' || substr(h, 17, 16) AS UBIGINT) % 384) % 384) AS idx, sum(CASE WHEN CAST('0x' || substr(h, 16, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM {name}_g GROUP BY ALL HAVING v <> 0),
+{name} AS (SELECT id, CAST(idx AS INT) AS idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM {name}_s)"""
+
+
 def _top(k: int, frm: str = "scored", where: str = "score > 0") -> str:
     return f"(SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, score FROM {frm} WHERE {where} QUALIFY rank <= {k})"
 
 
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """An index or a table that several queries read, made once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def _index(spark, sf_dir):
-    return sparse.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return once(spark, sf_dir, "index", lambda: sparse.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
 
 
 @register(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -270,7 +276,7 @@ def bm25_filtered(spark, sf_dir):
     flt, meta = _filters(spark, sf_dir)
     hits = sparse.scores(_index(spark, sf_dir), _bench(spark, sf_dir))
     ok = hits.join(meta, "id").join(flt, "query_id").where(sparse.passes("f", "m"))
-    return sparse.top_k(ok, 10).select("query_id", "rank", "id", "score")
+    return top_k(ok, 10).select("query_id", "rank", "id", "score")
 
 
 @register(f"""WITH {_BM25}, h AS (SELECT * FROM {_top(20)}), t AS (SELECT h.query_id, h.rank, h.id, round(len(list_intersect(list_distinct({tok('b.text')}), list_distinct({tok('d.text')}))) / greatest(len(list_distinct({tok('b.text')})), 1), 6) AS score
@@ -302,25 +308,6 @@ def _hit_rows(spark, sf_dir, k: int = 20):
     return hits.join(d, "id").withColumn("id", F.col("id").cast("string"))
 
 
-@register()
-def greedy_dedup(spark, sf_dir):
-    return fusion.deduplicate(_hit_rows(spark, sf_dir)).select("query_id", "rank", "id", "score")
-
-
-@register()
-def contexts(spark, sf_dir):
-    out = ctx.build(_hit_rows(spark, sf_dir), 2000, 4)
-    return out.select("query_id", "ids", F.md5(F.col("context").cast("binary")).alias("digest"), "token_count", "dropped")
-
-
-@register()
-def grounded_answers(spark, sf_dir):
-    from .config import load
-
-    store = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
-    return retrieval.answer(_hit_rows(spark, sf_dir, 8), _bench(spark, sf_dir), store, load(env={}))
-
-
 _CW = "list_distinct(regexp_extract_all(lower({t}), '[a-z]{{4,}}'))"
 
 
@@ -441,16 +428,12 @@ def filter_modes(spark, sf_dir):
     return metrics.union_all(parts)
 
 
-@register(r"""WITH t AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), g AS (SELECT id, md5(unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS h FROM t),
-  s AS (SELECT id, (((CAST('0x' || substr(h, 1, 16) AS UBIGINT) % 384) * 256 + CAST('0x' || substr(h, 17, 16) AS UBIGINT) % 384) % 384) AS idx, sum(CASE WHEN CAST('0x' || substr(h, 16, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM g GROUP BY ALL HAVING v <> 0)
-  SELECT id, CAST(idx AS INT) AS idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM s""")
+@register(f"WITH {hashed_sql('e', 'benchmark', 'item_id')} SELECT id, idx, round(value, 6) AS value FROM e")
 def hashing_embedding(spark, sf_dir):
     return dense.hashed_features(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")).withColumn("value", F.round("value", 6))
 
 
-@register(r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), g AS (SELECT id, md5(unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS h FROM t),
-  s AS (SELECT id, (((CAST('0x' || substr(h, 1, 16) AS UBIGINT) % 384) * 256 + CAST('0x' || substr(h, 17, 16) AS UBIGINT) % 384) % 384) AS idx, sum(CASE WHEN CAST('0x' || substr(h, 16, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM g GROUP BY ALL HAVING v <> 0)
-  SELECT id, CAST(idx AS INT) AS idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM s""")
+@register(f"WITH {hashed_sql('e', 'documents', 'doc_id')} SELECT id, idx, round(value, 6) AS value FROM e")
 def document_embedding(spark, sf_dir):
     """Whole documents, as hashing_embedding has the queries."""
     return dense.hashed_features(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).withColumn("value", F.round("value", 6))
@@ -490,17 +473,6 @@ def processed_queries(spark, sf_dir):
     return out.select("query_id", "normalised", joined("document_id").alias("document_ids"), joined("authority").alias("authorities"))
 
 
-@register()
-def multi_query(spark, sf_dir):
-    """Every benchmark item searched by its text, its first half and its second half at once."""
-    b = _bench(spark, sf_dir)
-    w = tx.tokens(F.col("text"))
-    half = F.floor(F.size(w) / 2).cast("int")
-    parts = b.select("query_id", F.col("text").alias("normalised"), F.lit(None).cast("string").alias("rewritten"), F.array(F.array_join(F.slice(w, 1, F.greatest(half, F.lit(1))), " "), F.array_join(F.slice(w, half + 1, F.size(w)), " ")).alias("variants"))
-    index = _index(spark, sf_dir)
-    return retrieval.fan_out(lambda q, k: sparse.search(index, q, k), query.retrieval_queries(parts), 10)
-
-
 # ---- answers
 
 
@@ -544,7 +516,7 @@ _METRICS = f"""{_COVERED}, m AS (SELECT query_id, {_M}, round(coalesce(1 / min(r
 def _scored(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     hits = dense.search(v, q, 11).where("query_id <> id")
-    hits = sparse.top_k(hits.drop("rank"), 10)
+    hits = top_k(hits.drop("rank"), 10)
     same = hits.join(v.select("id", "label"), "id").join(q.select("query_id", F.col("label").alias("wanted")), "query_id").where("label = wanted")
     sizes = q.join(v.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select("query_id", (F.col("n") - 1).alias("n_units"))
     return q, metrics.retrieval_metrics(same.select("query_id", "rank", F.col("id").alias("unit")), q, sizes)
@@ -606,15 +578,3 @@ def answerability(spark, sf_dir):
 @register("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS requests, round(avg(value), 6) AS mean, max(value) AS worst FROM events GROUP BY ALL")
 def trace_windows(spark, sf_dir):
     return traces.windowed(table(spark, sf_dir, "events"))
-
-
-@register()
-def evidence_review(spark, sf_dir):
-    """The two best chunks for each benchmark item on the pages of one document."""
-    from ..operators.review import review
-
-    chunks = chunking.chunk(paged(spark, sf_dir), "section", chunking.Sizes(128, 16, 48))
-    n = table(spark, sf_dir, "documents").count()
-    name = F.concat(F.lit("d"), (F.col("query_id") * 7 % n).cast("string"))
-    items = _bench(spark, sf_dir).select("query_id", F.col("text").alias("question"), F.array(F.struct(name.alias("document_id"), F.array(F.lit(1), F.lit(4)).alias("pages"))).alias("evidence"))
-    return review(items, chunks)

@@ -55,7 +55,7 @@ def filtered(mode: str, unrestricted: DataFrame, restricted: DataFrame, matches:
     else:
         raise ValueError(f"unknown filter mode {mode}")
     columns = ["query_id", "rank", "id"]
-    return out.select(columns).union(plain.select(columns)).where(F.col("rank") <= k)
+    return fusion.dealt(out.select(columns).union(plain.select(columns)).where(F.col("rank") <= k), "rank")
 
 
 def process(queries: DataFrame, settings: dict[str, Any]) -> DataFrame:
@@ -84,6 +84,23 @@ def answer(hits: DataFrame, questions: DataFrame, store: DataFrame, settings: di
     return out.select("query_id", shown_answer["answer"].alias("answer"), shown_answer["insufficient"].alias("insufficient"), F.coalesce("citations", none).alias("citations"), F.coalesce("invalid", none).alias("invalid"), F.coalesce("token_count", F.lit(0)).alias("context_tokens"))
 
 
+def answer_questions(questions: DataFrame, retriever: Retriever, chunks: DataFrame, settings: dict[str, Any], reranker: Callable[[DataFrame, DataFrame, int], DataFrame] = fusion.overlap_rerank, generate: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """From questions(query_id, text) to answer(): retrieve, remove repeats, rerank where that is on, build contexts, generate.
+
+    chunks: the store, with the columns of a hit; only the chunks that were found are read in full.
+    """
+    hits = found_chunks(questions, retriever, chunks, settings, reranker)
+    return answer(hits, questions, chunks.select("id"), settings, generate)
+
+
+def found_chunks(questions: DataFrame, retriever: Retriever, chunks: DataFrame, settings: dict[str, Any], reranker: Callable[[DataFrame, DataFrame, int], DataFrame] = fusion.overlap_rerank) -> DataFrame:
+    """The hits that a context is built of: (query_id, rank, id, the columns of chunks)."""
+    r, re = settings["retrieval"], settings["reranker"]
+    found = retriever(questions, re["candidates"] if re["enabled"] else r["final_top_k"])
+    hits = fusion.deduplicate(found.select("query_id", "rank", "id").join(chunks, "id"), r["dedup_text_similarity"])
+    return reranker(hits, questions, re["top_k"]) if re["enabled"] else hits
+
+
 def ablation(steps: dict[str, dict], run: Callable[[dict], DataFrame], base: dict) -> DataFrame:
     """Metrics of every step's settings, one row of means each, in one table."""
     from ..operators.metrics import union_all

@@ -57,16 +57,36 @@ class VectorTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def recreate(self, rows: DataFrame) -> None:
-        """rows: chunk_id, vector and any payload."""
-        self._batch(rows, 0).write.mode("overwrite").parquet(f"{self.path}/batch=0")
+        """rows: chunk_id, vector and any payload.  They are written as a further batch, which may read from this collection, and
+        the batches before it are deleted then; readers in between see it win."""
+        old = self._batches()
+        new = max(old, default=-1) + 1
+        self._write(rows, new)
+        for n in old:
+            self._delete(n)
 
     def upsert(self, rows: DataFrame) -> None:
-        """A further batch: writing appends, reading resolves."""
-        last = self._raw().agg(F.max("batch")).first()[0]
-        self._batch(rows, (last or 0) + 1).write.mode("overwrite").parquet(f"{self.path}/batch={(last or 0) + 1}")
+        """A further batch: writing appends, reading resolves.  Of rows of one id in a batch, one stays, the same in every read."""
+        self._write(rows, max(self._batches(), default=-1) + 1)
 
-    def _batch(self, rows: DataFrame, no: int) -> DataFrame:
-        return rows.withColumn("point_id", point_id(F.col("chunk_id")))
+    def _write(self, rows: DataFrame, no: int) -> None:
+        made = rows.withColumn("point_id", point_id(F.col("chunk_id")))
+        order = F.xxhash64(*[c for c in made.columns])
+        one = Window.partitionBy("point_id").orderBy(order)
+        made.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{self.path}/batch={no}")
+
+    def _files(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _batches(self) -> list[int]:
+        target, files = self._files(self.path)
+        names = [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def _delete(self, no: int) -> None:
+        target, files = self._files(f"{self.path}/batch={no}")
+        files.delete(target, True)
 
     def _raw(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
@@ -78,9 +98,7 @@ class VectorTable:
         return self._raw().select("point_id").distinct().count()
 
     def healthy(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return bool(p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p))
+        return bool(self._batches())
 
 
 def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:

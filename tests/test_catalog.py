@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lodestone.plans.catalog import QUERIES
+from lodestone.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")

@@ -2,11 +2,14 @@ import random
 import unicodedata
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import fusion, query, sparse
+from lodestone.operators import context as ctx
+from lodestone.operators import dense, fusion, query, ranking, sparse
 from lodestone.plans import retrieval
+from lodestone.plans.config import load, merge
 
 
 def one(spark, column, **values):
@@ -118,3 +121,128 @@ def test_filter_modes(spark):
     got = {m: [r.id for r in retrieval.filtered(m, plain, own, F.col("m"), F.col("query_id") == "a", 4).where("query_id = 'a'").orderBy("rank").collect()] for m in ("boost", "restrict", "restrict_with_fallback")}
     assert got == {"boost": ["a1", "a6", "a2", "a7"], "restrict": ["a6", "a7", "a9"], "restrict_with_fallback": ["a6", "a1", "a7", "a2"]}
     assert ids(retrieval.filtered("restrict", plain, own, F.col("m"), F.col("query_id") == "a", 4).where("query_id = 'b'")) == ["b1", "b2", "b3", "b4"]
+
+
+def cosine(a, b):
+    n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    return round(sum(x * y for x, y in zip(a, b)) / n, 6) if n else 0.0
+
+
+def test_ids_of_any_type_and_ties(spark):
+    """Ids are strings, query ids too; more rows than a batch, and many equal scores."""
+    rnd = random.Random(3)
+    docs = [(f"d:section:{i:05d}", rnd.choice(["kyc", "kyc cdd", "bank kyc kyc", "fund", ""])) for i in range(300)]
+    df = spark.createDataFrame(rnd.sample(docs, 300), "id string, text string").repartition(3)
+    index = sparse.build(df, "id", F.col("text"))
+    queries = spark.createDataFrame([("q1", "kyc bank"), ("q2", "cdd"), ("q3", "nothing known")], "query_id string, text string")
+    got = sparse.search(index, queries, 9).collect()
+    pairs = sparse.scores(index, queries).collect()
+    for q in ("q1", "q2", "q3"):
+        want = sorted((-r.score, r.id) for r in pairs if r.query_id == q)[:9]
+        assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in want]
+    assert sparse.search(index, queries.where("query_id = 'q3'"), 9).count() == 0
+
+
+def test_many_weights_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"kyc w{i % 7}") for i in range(60)], "id long, text string")
+    index = sparse.build(docs, "id", F.col("text"))
+    queries = spark.createDataFrame([(i, f"w{i} kyc") for i in range(5)], "query_id long, text string")
+    want = sorted(map(tuple, sparse.search(index, queries, 4).collect()))
+    monkeypatch.setattr(sparse, "MOST_WEIGHTS", 2)
+    assert sorted(map(tuple, sparse.search(index, queries, 4).collect())) == want and len(want) == 20
+
+
+def test_an_index_is_written_once_and_read_by_others(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"kyc w{i % 7}") for i in range(60)], "id long, text string")
+    index = sparse.build(docs, "id", F.col("text"), k1=1.2)
+    sparse.save(index, str(tmp_path / "index"))
+    again = sparse.load(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "w3")], "query_id long, text string")
+    assert again.k1 == 1.2 and sorted(map(tuple, sparse.search(again, queries, 4).collect())) == sorted(map(tuple, sparse.search(index, queries, 4).collect()))
+
+
+def test_the_best_of_a_task(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    best, rows = ranking.Best(pa.array(["a", "b", "c"]), 4), []
+    for _ in range(40):
+        n = int(rng.integers(0, 30))
+        score = rng.integers(-2, 5, (n, 3)).astype(float)
+        score[score < 0] = -np.inf
+        ids = rng.integers(0, 10**6, n)
+        best.add(score, pa.array([f"i{x:07d}" for x in ids]))
+        rows += [(q, -score[i, j], f"i{ids[i]:07d}") for i in range(n) for j, q in enumerate("abc") if score[i, j] > -np.inf]
+        best._prune() if best.held else None  # pruning now and then loses nothing
+    got = [(r["query_id"], -r["score"], r["id"]) for b in best.batches() for r in b.to_pylist()]
+    assert sorted(got) == sorted(x for q in "abc" for x in sorted(r for r in rows if r[0] == q)[:4])
+
+
+def test_vectors_under_a_filter(spark):
+    import datetime
+
+    rnd = random.Random(5)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    rows = [(f"c{i:03d}", [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(4)], rnd.choice("XYZ"), rnd.choice("pq"), f"d{i % 5}", rnd.choice([None, day(i)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>, authority string, document_type string, document_id string, publication_date date").repartition(3)
+    filters = [None, (["X"], [], [], None, None), (["X", "Y"], ["p"], [], day(20), None), ([], [], ["d1", "d2"], day(10), day(70)), ([], [], ["none"], None, None)]
+    asked = [(i, [rnd.random() for _ in range(4)], f) for i, f in enumerate(filters)]
+    queries = spark.createDataFrame(asked, "query_id int, vector array<double>, filter struct<authority: array<string>, document_type: array<string>, document_id: array<string>, gte: date, lte: date>")
+    for nulls in (True, False):
+        got = dense.search(df, queries, 7, null_dates=nulls).collect()
+        for q, v, f in asked:
+            a, t, d, lo, hi = f or ([], [], [], None, None)
+            in_range = lambda x: nulls if x is None and (lo or hi) else (not lo or x >= lo) and (not hi or x <= hi)
+            ok = [r for r in rows if (not a or r[2] in a) and (not t or r[3] in t) and (not d or r[4] in d) and in_range(r[5])]
+            want = sorted((-cosine(v, r[1]), r[0]) for r in ok)[:7]
+            assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in want], (q, nulls)
+
+
+def test_hashing_vectors_feed_the_search(spark):
+    texts = spark.createDataFrame([("a", "wind and tide"), ("b", "wind or rain"), ("c", ""), ("d", None)], "id string, text string")
+    vectors = dense.hashed_vectors(texts, "id", F.col("text"), 32)
+    assert {r.id: (len(r.vector), round(sum(x * x for x in r.vector), 6)) for r in vectors.collect()} == {"a": (32, 1.0), "b": (32, 1.0), "c": (32, 0.0), "d": (32, 0.0)}
+    asked = dense.hashed_vectors(spark.createDataFrame([("q", "wind and tide")], "id string, text string"), "id", F.col("text"), 32).withColumnRenamed("id", "query_id")
+    best = dense.search(vectors, asked, 2).orderBy("rank").collect()
+    assert best[0].id == "a" and best[0].score == 1.0
+
+
+def test_a_query_is_fused_whole_whatever_the_partitions_of_its_lists(spark):
+    """Lists of very different size, whose partitions adaptive execution coalesces each on its own."""
+    w = Window.partitionBy("query_id").orderBy("id")
+    make = lambda n, wide: spark.range(n * 8).selectExpr("id % 8 AS query_id", "id", f"repeat('x', {wide}) AS pad").withColumn("rank", F.row_number().over(w)).where("length(pad) > 0")
+    lists = retrieval.as_list(make(30, 9), 0, "a").union(retrieval.as_list(make(20, 90_000), 1, "b"))
+    with_conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        out = fusion.rrf(lists, 100).collect()
+        assert len(out) == 8 * 30 and sorted(r["rank"] for r in out if r.query_id == 3) == list(range(1, 31))
+        assert sum(r.sources == "a+b" for r in out) == 8 * 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_answers_from_chunks(spark):
+    sea = "Ships anchor in the outer harbour during storms. The pilot decides."
+    land = "Carts cross the northern bridge before sunrise; mules rest later."
+    rows = [("a:0", "a", sea), ("a:1", "a", sea + " Always."), ("b:0", "b", land), ("c:0", "c", "Nothing to see.")]
+    chunks = spark.createDataFrame([(i, d, t, "S", 1, 1, "T", "EBA", None, None, None) for i, d, t in rows], "id string, document_id string, text string, section string, page_start int, page_end int, title string, authority string, publication_date date, parent_id string, parent_text string")
+    index = sparse.build(chunks, "id", F.col("text"))
+    vectors = dense.hashed_vectors(chunks, "id", F.col("text"))
+    search = retrieval.hybrid(lambda q, k: dense.search(vectors, dense.hashed_vectors(q, "query_id", F.col("text")).withColumnRenamed("id", "query_id"), k), lambda q, k: sparse.search(index, q, k))
+    questions = spark.createDataFrame([("q1", "Where do ships anchor during storms?"), ("q2", "When do carts cross the bridge?"), ("q3", "Which zebras dance?")], "query_id string, text string")
+    settings = merge(load(env={}), {"reranker": {"enabled": True, "candidates": 4, "top_k": 2}})
+    got = {r.query_id: r for r in retrieval.answer_questions(questions, search, chunks, settings).collect()}
+    assert got["q1"].citations in (["a:0"], ["a:1"]) and got["q1"].answer == "Ships anchor in the outer harbour during storms."
+    assert got["q2"].citations == ["b:0"] and got["q2"].answer.startswith("Carts cross the northern bridge before sunrise;")
+    assert got["q3"].insufficient and got["q3"].citations == []
+
+
+def test_children_without_a_parent_are_no_siblings(spark):
+    row = lambda r, i, p: ("q", r, i, f"text number {i} of the book", f"doc{i}", 1, 1, None, "T", "A", None, p, None)
+    hits = spark.createDataFrame([row(1, "a", ""), row(2, "b", ""), row(3, "c", "p1"), row(4, "d", "p1"), row(5, "e", None), row(6, "f", None)], "query_id string, rank int, id string, text string, document_id string, page_start int, page_end int, section string, title string, authority string, publication_date date, parent_id string, parent_text string")
+    assert ctx.build(hits).first().ids == ["a", "b", "c", "e", "f"]

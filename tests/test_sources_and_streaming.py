@@ -16,7 +16,13 @@ def test_vector_table(spark, tmp_path):
     t.recreate(rows)
     t.upsert(spark.createDataFrame([("b", [3.0]), ("c", [4.0])], rows.schema))
     assert {r.chunk_id: r.vector for r in t.scan().collect()} == {"a": [1.0], "b": [3.0], "c": [4.0]} and t.count() == 3 and t.healthy()
-    t.recreate(rows)
+    t.recreate(rows.where("chunk_id = 'a'"))
+    assert [r.chunk_id for r in t.scan().collect()] == ["a"] and t.count() == 1
+    t.upsert(spark.createDataFrame([("a", [7.0]), ("a", [8.0]), ("a", [9.0])], rows.schema))
+    seen = {tuple(r.vector) for _ in range(3) for r in t.scan().collect()}
+    assert len(seen) == 1 and t.count() == 1  # of rows of one id in a batch, the same one stays in every read
+    t.recreate(t.scan().select("chunk_id", "vector"))
+    assert {tuple(r.vector) for r in t.scan().collect()} == seen
 
 
 def test_cache_computes_misses_once(spark):
