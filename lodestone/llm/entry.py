@@ -5,8 +5,8 @@ from __future__ import annotations
 from .decontam import OP7_SQL, op7_decontamination
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .langid import op6_language_id
-from .lmscore import op10_lm_scoring
-from .ngram_join import op8_ngram_join
+from .lmscore import OP10_SQL, op10_lm_scoring
+from .ngram_join import OP8_SQL, op8_ngram_join
 from .pii import op4_pii
 from .quality import op1_quality
 from .sentencepiece_codec import op5_sentencepiece
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}

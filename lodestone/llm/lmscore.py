@@ -143,6 +143,32 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Losses to six digits, as sums of logarithms differ in the last ones with their order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return cross_entropy_difference(docs, good)
+    found = cross_entropy_difference(docs, good)
+    return found.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
+
+
+def _loss_sql(side: str, own: str) -> str:
+    """Loss of a token on a side whose columns are one (its word), ctx (the word before), two (the pair) and all (words)."""
+    mine = lambda x: f"CASE WHEN {own} THEN {x} ELSE 0 END"
+    rest = f"({side}_all - {mine('n')})"
+    base = f"({UNIGRAM} * CASE WHEN {rest} > 0 THEN ({side}_one - {mine('own_one')}) / greatest({rest}, 1) ELSE 1 / v END + {round(1 - BIGRAM - UNIGRAM, 10)} / v)"
+    ctx = f"({side}_ctx - {mine('own_ctx')})"
+    return f"-ln(CASE WHEN prev IS NOT NULL AND {ctx} > 0 THEN {base} + {BIGRAM} * ({side}_two - {mine('own_two')}) / {ctx} ELSE {base} / {1 - BIGRAM} END)"
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS MATERIALIZED (SELECT doc_id, t, n, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM (SELECT *, len(w) AS n, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
+one AS MATERIALIZED (SELECT word, count(*) FILTER (t) AS a, count(*) FILTER (NOT t) AS b FROM w GROUP BY 1),
+two AS MATERIALIZED (SELECT prev, word, count(*) FILTER (t) AS a, count(*) FILTER (NOT t) AS b FROM w WHERE prev IS NOT NULL GROUP BY 1, 2),
+own AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), pairs AS MATERIALIZED (SELECT doc_id, prev, word, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT count(*) AS v, sum(a) AS a_all, sum(b) AS b_all FROM one),
+x AS (SELECT w.*, v, a_all, b_all, one.a AS a_one, one.b AS b_one, c.a AS a_ctx, c.b AS b_ctx, two.a AS a_two, two.b AS b_two, o.n AS own_one, oc.n AS own_ctx, p.n AS own_two
+  FROM w CROSS JOIN s JOIN one ON one.word = w.word JOIN own o ON o.doc_id = w.doc_id AND o.word = w.word LEFT JOIN one c ON c.word = w.prev LEFT JOIN own oc ON oc.doc_id = w.doc_id AND oc.word = w.prev
+  LEFT JOIN two ON two.prev = w.prev AND two.word = w.word LEFT JOIN pairs p ON p.doc_id = w.doc_id AND p.prev = w.prev AND p.word = w.word),
+l AS (SELECT doc_id, sum({_loss_sql('a', 't')}) / count(*) AS ta, sum({_loss_sql('b', 'NOT t')}) / count(*) AS ba FROM x GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(ta, 6) AS target_loss, round(ba, 6) AS background_loss, round(ta - ba, 6) AS score FROM d LEFT JOIN l USING (doc_id)
+"""

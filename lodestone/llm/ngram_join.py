@@ -315,3 +315,17 @@ def _joined(docs: DataFrame, passes: _Passes, count_links: bool) -> DataFrame:
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Sets as strings, all pairs that share a shingle, and the smallest id that reaches each document.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc, label) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.doc WHERE r.label < e.b),
+c AS (SELECT doc, min(label) AS label FROM r GROUP BY 1),
+k AS (SELECT label, count(*) AS k FROM l JOIN c ON doc = a GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.label AS component_id, coalesce(k.k, 0) AS n_links FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc = d.doc_id LEFT JOIN k ON k.label = c.label
+"""
