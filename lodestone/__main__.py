@@ -1,34 +1,68 @@
-"""python -m lodestone chunk|search|report: the plans on tables of documents(doc_id, text) and queries(item_id, text)."""
+"""python -m lodestone COMMAND: the plans on tables of documents(doc_id, text) and queries(item_id, text).
+
+chunk and report read documents; search, ask, eval and ablation read queries too, eval and ablation with any of the columns
+answerable, evidence, documents and ids that they have.
+"""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+COMMANDS = ("chunk", "search", "ask", "eval", "ablation", "report")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    page = F.array(F.struct(F.lit(1).alias("page_number"), F.col("text"), F.lit(None).cast("string").alias("section"), F.array().cast("array<string>").alias("headings")))
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), page.alias("pages"))
+
+
+def _origin(docs: DataFrame) -> DataFrame:
+    given = lambda c: F.col(c) if c in docs.columns else F.lit("")
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), given("title").cast("string").alias("title"), given("authority").cast("string").alias("authority"), F.lit(None).cast("date").alias("publication_date"))
+
+
+def _items(queries: DataFrame) -> DataFrame:
+    kinds = {"answerable": F.lit(True), "evidence": F.array().cast("array<struct<document_id: string, pages: array<int>>>"), "documents": F.array().cast("array<string>"), "ids": F.array().cast("array<string>")}
+    return queries.select(F.col("item_id").alias("query_id"), "text", *[(F.col(c) if c in queries.columns else none).alias(c) for c, none in kinds.items()])
+
 
 def main(args: list[str] | None = None) -> None:
     from .operators import chunking, sparse, validation
+    from .plans import evaluation, retrieval
+    from .plans.config import load, merge
 
-    p = argparse.ArgumentParser(prog="lodestone", description=__doc__)
-    p.add_argument("command", choices=("chunk", "search", "report"))
+    p = argparse.ArgumentParser(prog="lodestone", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("command", choices=COMMANDS)
     p.add_argument("--documents", required=True)
     p.add_argument("--queries")
     p.add_argument("--out")
-    p.add_argument("--strategy", default="section", choices=tuple(chunking.STRATEGIES))
+    p.add_argument("--config")
+    p.add_argument("--strategy", choices=tuple(chunking.STRATEGIES))
     p.add_argument("--top-k", type=int, default=10)
+    p.add_argument("--steps", nargs="*", choices=tuple(evaluation.STEPS))
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     docs = spark.read.parquet(a.documents)
+    settings = merge(load(a.config), {"chunking": {"strategy": a.strategy}} if a.strategy else {})
+    if a.command in ("search", "ask", "eval", "ablation") and not a.queries:
+        p.error(f"{a.command} needs --queries")
+    queries = spark.read.parquet(a.queries) if a.queries else None
+    corpus = evaluation.Corpus(_documents(docs), _origin(docs))
     if a.command == "chunk":
-        page = F.array(F.struct(F.lit(1).alias("page_number"), F.col("text"), F.lit(None).cast("string").alias("section"), F.array().cast("array<string>").alias("headings")))
-        out = chunking.chunk(docs.select(F.col("doc_id").cast("string").alias("document_id"), page.alias("pages")), a.strategy)
+        c = settings["chunking"]
+        out = chunking.chunk(_documents(docs), c["strategy"], chunking.Sizes(c["max_tokens"], c["overlap"], c["child_tokens"]))
     elif a.command == "search":
-        if not a.queries:
-            p.error("search needs --queries")
         index = sparse.build(docs, "doc_id", F.col("text"))
-        out = sparse.search(index, spark.read.parquet(a.queries).select(F.col("item_id").alias("query_id"), "text"), a.top_k)
+        out = sparse.search(index, queries.select(F.col("item_id").alias("query_id"), "text"), a.top_k)
+    elif a.command == "ask":
+        out = retrieval.answer_questions(queries.select(F.col("item_id").alias("query_id"), "text"), corpus.retriever(settings), corpus.chunks(settings["chunking"]), settings)
+    elif a.command == "eval":
+        out = evaluation.evaluate(_items(queries), corpus, settings)
+    elif a.command == "ablation":
+        out = evaluation.ablation(_items(queries), corpus, settings, steps={s: evaluation.STEPS[s] for s in a.steps or evaluation.STEPS})
     else:
         pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("doc_order"), F.lit(1).alias("page_number"), "text")
         out = validation.ingest(pages)[1]

@@ -27,14 +27,33 @@ def cover(hits: DataFrame, units: DataFrame) -> DataFrame:
     return both.where(F.col("page").isNull() | F.col("page").between(F.col("page_start"), F.col("page_end"))).select("query_id", "rank", "unit")
 
 
+def relevance(hits: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(covered(query_id, rank, unit, counted), sizes(query_id, n_units)) as retrieval_metrics() takes them.
+
+    A hit that an item names by its id covers that id and nothing else; any other hit covers the units of evidence on
+    its pages.  An item's units are its evidence, or the ids that it names where it has none; a named hit counts for
+    precision, rank and gain beside evidence, but not for recall.
+    hits: query_id, rank, id, document_id, page_start, page_end; items: query_id, evidence, documents, ids (array).
+    """
+    named = items.select("query_id", F.explode(F.array_distinct("ids")).alias("id"))
+    units = evidence_units(items).withColumn("unit", F.concat_ws("#", "document_id", F.col("page").cast("string")))
+    alone = named.join(units.select("query_id").distinct(), "query_id", "left_anti")
+    by_id = hits.join(named, ["query_id", "id"]).join(alone.select("query_id").distinct().withColumn("counted", F.lit(True)), "query_id", "left")
+    by_id = by_id.select("query_id", "rank", F.concat(F.lit("id:"), "id").alias("unit"), F.coalesce("counted", F.lit(False)).alias("counted"))
+    by_page = cover(hits.join(named, ["query_id", "id"], "left_anti"), units).withColumn("counted", F.lit(True))
+    sizes = units.select("query_id", "unit").union(alone.select("query_id", "id")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"))
+    return by_id.union(by_page), sizes
+
+
 def retrieval_metrics(covered: DataFrame, queries: DataFrame, sizes: DataFrame, digits: int = 6) -> DataFrame:
     """Recall, precision and hit at KS, MRR and nDCG of every query.
 
-    covered: query_id, rank, unit; queries: query_id; sizes: query_id, n_units.  A rank gains in nDCG only
-    if it is where some unit is first covered.
+    covered: query_id, rank, unit[, counted]; queries: query_id; sizes: query_id, n_units.  A rank gains in nDCG only
+    if it is where some unit is first covered.  Units that aren't counted are left out of recall.
     """
-    units = covered.groupBy("query_id", "unit").agg(F.min("rank").alias("first"))
-    of_units = units.groupBy("query_id").agg(*[F.count_if(F.col("first") <= k).alias(f"u{k}") for k in KS], F.min("first").alias("best"), F.collect_set(F.when(F.col("first") <= DEPTH, F.col("first"))).alias("gains"))
+    covered = covered if "counted" in covered.columns else covered.withColumn("counted", F.lit(True))
+    units = covered.groupBy("query_id", "unit").agg(F.min("rank").alias("first"), F.bool_or("counted").alias("counted"))
+    of_units = units.groupBy("query_id").agg(*[F.count_if((F.col("first") <= k) & F.col("counted")).alias(f"u{k}") for k in KS], F.min("first").alias("best"), F.collect_set(F.when(F.col("first") <= DEPTH, F.col("first"))).alias("gains"))
     ranks = covered.select("query_id", "rank").distinct().groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"r{k}") for k in KS])
     gain = lambda ranks: F.aggregate(F.array_sort(ranks), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
     all_ = queries.select("query_id").join(sizes, "query_id", "left").join(of_units, "query_id", "left").join(ranks, "query_id", "left").fillna(0, ["n_units"])

@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir; in local mode a temporary one where none is set."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get(CONF) or spark.conf.get(CONF, None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode a temporary one where none is set."""
+    named = spark.sparkContext.getConf().get(CONF) or spark.conf.get(CONF, None)
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CONF} must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set(CONF, folder)
-    path = f"{folder.rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+        named = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set(CONF, named)
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, which goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from lodestone.operators import providers
@@ -10,8 +12,9 @@ def test_hooks(spark):
     got = providers.rerank(hits, df, lambda xs: [float(len(t)) for _, t in xs], 2).orderBy("rank").collect()
     assert [(r.id, r.pre_rerank_score) for r in got] == [("y", 0.4), ("x", 0.5)]
     prompts = spark.createDataFrame([("s", "u")], "system string, user string")
-    out = providers.generate(prompts, lambda xs: ['ok {"faithful": 0.5}' for _ in xs])
-    assert out.select(providers.judgements(out.reply).alias("j")).first().j == {"faithful": 0.5}
+    scores = dict.fromkeys(providers.SCORES, 0.5)
+    out = providers.generate(prompts, lambda xs: [f"ok {json.dumps(scores)}" for _ in xs])
+    assert out.select(providers.judgements(out.reply).alias("j")).first().j == scores
 
 
 def test_only_transient_errors_are_tried_again():
