@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of the learned vectors of its hashed features: every word, every byte n-gram of
-NGRAMS lengths inside a word and its bounding spaces (UTF-8, so a letter may be two bytes), and for each
-word that one of the REPEATS words before it equals a word n-gram that names only how far back.  A
+A document is the average of the learned vectors of its hashed features: every word, every character n-gram of
+NGRAMS lengths inside a word and its bounding spaces, and for each word that one of the REPEATS words
+before it equals a word n-gram that names only how far back.  A
 softmax over the average gives the class.  Vectors and output weights are trained together by plain
 stochastic gradient descent in numpy, with a falling learning rate, on at most TRAIN_DOCS labelled
 documents (those with the smallest hash of the id): a classifier fit on a bounded sample.
@@ -11,9 +11,10 @@ The output is linear in the average, so that for scoring each bucket's vector is
 weights into one number; a document's score is then exact from one lookup a feature.
 
 Defined results.  Null and empty texts, and texts of white space only, have no features and get the
-class balance that training saw.  Without labelled rows every score is 0.5.  Labels other than 0 and 1
-and labels of unknown documents are not learned; a document with several labels learns each.  Columns of
-the input pass through; results replace columns of their names.
+class balance that training saw.  Very long texts are scored whole.  Without labelled rows every score is 0.5.
+Labels other than 0 and 1 and labels of unknown documents are not learned; a document with several labels
+learns each.  Rows that repeat get the same score; a score of exactly the threshold is predicted 1.  An empty
+table gives an empty table.  Columns of the input, of any name, pass through; results replace columns of their names.
 """
 
 from __future__ import annotations
@@ -40,25 +41,24 @@ TRAIN_DOCS = 2400
 THRESHOLD = 0.7
 
 _SPACE = ~kn.NOT_SPACE
-_BLANK = kn.IDENTITY.copy()
-_BLANK[_SPACE] = 32
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(position in bytes, bucket) of each feature, ascending by position."""
+def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(position, bucket) of each feature, ascending by position, and the positions at which the texts begin and end."""
     w = kn.Words(data, offsets, kn.NOT_SPACE)
-    yield w.starts, (w.hashes >> np.uint64(64 - 18)).astype(np.int32)
+    yield w.starts, (w.hashes >> np.uint64(64 - 18)).astype(np.int32), offsets
     for d in range(1, min(REPEATS, len(w) - 1) + 1):
         same = np.flatnonzero((w.hashes[d:] == w.hashes[:-d]) & kn.inside(w.first, d + 1, len(w)))
-        yield w.starts[same + d], np.full(len(same), (0x51ED27 * d) % BUCKETS, np.int32)
-    body = _BLANK[data]
-    n = len(body)
-    blank = body == 32
-    wide = body.astype(np.uint32)
+        yield w.starts[same + d], np.full(len(same), (0x51ED27 * d) % BUCKETS, np.int32), offsets
+    wide = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    blank = _SPACE[np.minimum(wide, 255)] & (wide < 128)
+    wide = np.where(blank, np.uint32(32), wide)
+    n = len(wide)
     for k in NGRAMS:
         if n < k:
             continue
-        ok = kn.inside(offsets, k, n)
+        ok = kn.inside(edges, k, n)
         h = np.full(n - k + 1, 0x9E37 + k, np.uint32)
         for j in range(k):
             h *= np.uint32(0x01000193)
@@ -67,7 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
                 ok &= ~blank[j : j + len(h)]
         h *= np.uint32(0x85EBCA6B)
         at = np.flatnonzero(ok)
-        yield at, (h[at] >> np.uint32(32 - 18)).astype(np.int32)
+        yield at, (h[at] >> np.uint32(32 - 18)).astype(np.int32), edges
 
 
 class Model:
@@ -78,32 +78,35 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-        for at, bucket in features(data, offsets):
+        for at, bucket, edges in features(data, offsets):
             run = np.concatenate(([0.0], np.cumsum(self.weights[bucket], dtype=np.float64)))
-            edge = np.searchsorted(at, offsets)
+            edge = np.searchsorted(at, edges)
             total += run[edge[1:]] - run[edge[:-1]]
             count += np.diff(edge)
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 11) -> Model:
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's features, and how many fall into each."""
+    found = [b for _, b, _ in features(*kn.utf8(pa.array([text], pa.string())))]
+    ids, counts = np.unique(np.concatenate(found or [np.zeros(0, np.int32)]), return_counts=True)
+    return ids.astype(np.int32), counts.astype(np.int32)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 11) -> Model:
     """Stochastic gradient descent, one document a step."""
-    if not texts:
+    if not bags:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    bags = []
-    for t in texts:
-        data, offsets = kn.utf8(pa.array([t], pa.string()))
-        ids, counts = np.unique(np.concatenate([b for _, b in features(data, offsets)] or [np.zeros(0, np.int32)]), return_counts=True)
-        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+    shares = [(ids, (counts / max(1, counts.sum())).astype(np.float32)) for ids, counts in bags]
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     prior = (sum(labels) + 1) / (len(labels) + 2)
     bias[1] = np.log(prior / (1 - prior))
-    steps, done = epochs * len(texts), 0
+    steps, done = epochs * len(shares), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(texts)):
-            ids, share = bags[i]
+        for i in rng.permutation(len(shares)):
+            ids, share = shares[i]
             step = rate * (1 - done / steps)
             done += 1
             mine = vectors[ids]
@@ -119,15 +122,25 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+_BAG = {"ids": T.ArrayType(T.IntegerType()), "counts": T.ArrayType(T.IntegerType())}
+
+
+def _bags(texts: pa.Array) -> list[pa.Array]:
+    found = [bag(t or "") for t in texts.to_pylist()]
+    return [pa.array([x.tolist() for x in side], pa.list_(pa.int32())) for side in (list(zip(*found)) or [(), ()])]
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on at most max_docs labelled documents among the rows of labels that are usable."""
-    known = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL")
+    """Fit on at most max_docs labelled documents among the rows of labels that are usable.  Their features, not their texts,
+    reach the driver: a number for each of a document's buckets, of which there are BUCKETS."""
+    known = labels.where(usable & column(label).isin(0, 1)).select(column(key).alias("k"), column(label).cast("int").alias("y")).where("k IS NOT NULL")
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < min(1.0, (1.3 * max_docs + 50) / max(1, n)) * (1 << 20))
     # of bounded size: about 1.3 * max_docs rows
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(some), "k").select(F.xxhash64("k").alias("h"), "k", "y", "t").collect()
-    rows = sorted(rows, key=lambda r: (r["h"] % (1 << 20), r["h"], r["k"], r["y"]))[:max_docs]
-    return fit([r["t"] for r in rows], [r["y"] for r in rows])
+    rows = docs.select(column(key).alias("k"), column(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(some), "k").withColumn("h", F.xxhash64("k"))
+    found = with_results(rows, "t", ["h", "k", "y"], _BAG, _bags).collect()
+    found = sorted(found, key=lambda r: (r["h"] % (1 << 20), r["h"], r["k"], r["y"]))[:max_docs]
+    return fit([(np.array(r["ids"], np.int32), np.array(r["counts"], np.int32)) for r in found], [r["y"] for r in found])
 
 
 RESULTS = {"score": T.DoubleType(), "predicted": T.IntegerType()}

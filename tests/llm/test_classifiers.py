@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -174,13 +176,69 @@ def test_quality_odd_rows(spark, odd, none):
     assert {r.score for r in quality.score(odd, blank).collect()} == {0.5}
 
 
-def test_score_is_the_softmax_of_the_average():
-    """Folding vectors and output weights into one number a bucket loses nothing."""
-    texts = ["ka lo mi", "KA!! LO!!", "ra ra ra ra"]
-    model = quality.fit(texts * 5, [1, 0, 0] * 5, epochs=2)
+def brute_features(text):
+    """Buckets of a text, one by one: words, repeats within REPEATS words, and character n-grams that no inner space parts."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    out, top = [], (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 & top
+        h ^= h >> 32
+        h = h * 0xC2B2AE3D27D4EB4F & top
+        return h ^ h >> 29
+
+    for i, w in enumerate(words):
+        out.append(mix(sum((b + 1) * pow(kn._P, j, 1 << 64) for j, b in enumerate(w.encode())) & top) >> 46)
+        out += [0x51ED27 * d % quality.BUCKETS for d in range(1, quality.REPEATS + 1) if i >= d and words[i - d] == w]
+    plain = re.sub(r"[\x09-\x0D]", " ", text)
+    for k in quality.NGRAMS:
+        for i in range(len(plain) - k + 1):
+            gram = plain[i : i + k]
+            if " " not in gram[1:-1]:
+                h = 0x9E37 + k
+                for c in gram:
+                    h = h * 0x01000193 & 0xFFFFFFFF ^ ord(c)
+                out.append((h * 0x85EBCA6B & 0xFFFFFFFF) >> 14)
+    return out
+
+
+def test_features_against_brute_force():
+    texts = ["ka lo ka\tka mi  lo", "", " ", "é梦 né é梦", "ab", "🙂🙂🙂 x🙂y", "one\ntwo\x0bone", "a a a a a a"]
     data, offsets = kn.utf8(pa.array(texts))
-    whole = model.scores(data, offsets)
-    for i, t in enumerate(texts):
-        d, o = kn.utf8(pa.array([t]))
-        ids = np.concatenate([b for _, b in quality.features(d, o)])
-        assert abs(whole[i] - 1 / (1 + np.exp(-(model.bias + model.weights[ids].astype(float).mean())))) < 1e-6
+    got = [[] for _ in texts]
+    for at, bucket, edges in quality.features(data, offsets):
+        for p, b in zip(at.tolist(), bucket.tolist()):
+            got[int(np.searchsorted(edges, p, side="right")) - 1].append(b)
+    # an empty text shares its place with the one behind it
+    assert [sorted(x) for x in got if x] == [sorted(brute_features(t)) for t in texts if brute_features(t)]
+    for t in texts:
+        ids, counts = quality.bag(t)
+        assert dict(zip(ids.tolist(), counts.tolist())) == dict(Counter(brute_features(t)))
+
+
+def test_scores_against_brute_force_descent():
+    """Vectors, output and bias learned step by step with plain loops; the score is the softmax of the average."""
+    texts, labels = ["ka lo mi", "KA!! LO!!", "ra ra ra ra", "ka mi"], [1, 0, 0, 1]
+    model = quality.fit([quality.bag(t) for t in texts], labels, epochs=2)
+    rng = np.random.default_rng(11)
+    vectors = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32).astype(float)
+    out, bias, done = np.zeros((quality.DIM, 2)), np.array([0.0, np.log(0.5 / 0.5)]), 0
+    for _ in range(2):
+        for i in rng.permutation(4):
+            found = brute_features(texts[i])
+            mean = sum(vectors[b] for b in found) / len(found)
+            z = mean @ out + bias
+            error = np.exp(z) / np.exp(z).sum() - np.eye(2)[labels[i]]
+            back, step = out @ error, quality.RATE * (1 - done / 8)
+            done += 1
+            out -= step * np.outer(mean, error)
+            kinds = Counter(found)
+            for b, n in kinds.items():
+                vectors[b] -= step * min(n / len(found) * len(kinds), 4.0) / 8 * back
+    for t in [*texts, "lo ra", "zz"]:
+        found = brute_features(t)
+        z = sum(vectors[b] for b in found) / len(found) @ out + bias
+        want = np.exp(z[1]) / np.exp(z).sum()
+        assert abs(model.scores(*kn.utf8(pa.array([t])))[0] - want) < 1e-4
+    assert model.scores(*kn.utf8(pa.array(["ka"])))[0] > model.scores(*kn.utf8(pa.array(["ra"])))[0]
