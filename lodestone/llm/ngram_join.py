@@ -10,9 +10,10 @@
 3. Each surviving pair is verified once: one set travels to the block of the other.
 
 Equal sets are one node from the start, so copies are never expanded.  Lists of more than CHUNK
-postings are first joined in chunks, whose links give components; then all pairs of such a list that
-lie in different components are joined.  So no link between components is lost, while a large group of
-near copies doesn't emit all its pairs.
+postings are first joined in chunks, whose links give components; then pairs of such a list that lie in
+different components and are of similar size are joined.  So no link between components is lost, while a large
+group of near copies doesn't emit all its pairs.  Texts of similar size that share a frequent shingle among their rarest, and
+lie in different components, are compared with each other however many they are.
 
 n_links is the number of pairs of rows in a component that reach the threshold, copies too.  Pairs of one
 component are compared once more for it, all of them: its sets are dealt into chunks, each two chunks meet
@@ -20,12 +21,16 @@ in a tile, and a tile counts its links by matrix products and returns one number
 the size of a component, the rows are not.
 
 Defined results.  Texts without words (null, empty, blank) have an empty set, link with nothing and are
-components of their own with 0 links.  Rows that repeat are one node; a null key is in a component but never names
-one, and a component of null keys alone has a null id.  An empty table gives an empty table.
+components of their own with 0 links.  Very long texts are handled whole, by one task.  Rows that repeat are one
+node; a null key is in a component but never names one, and a component of null keys alone has a null id.  Ids
+may be of any type that can be ordered.  An empty table gives an empty table.  Only the id and the text are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -231,13 +236,25 @@ class _Passes:
 
 
 def _candidates(x: DataFrame, on: list[str], num: int, den: int, apart: bool = False) -> DataFrame:
-    """Pairs of postings that pass the filters, once each; a sits in block and b in to."""
+    """Pairs of postings that pass the filters, once each; a sits in block and b in to.
+
+    apart, for long lists: only pairs of different labels, and the length filter is part of the join: sizes fall into classes
+    of the ratio den / num, so two sets that can link are of one class or of neighbouring ones, and no other pairs are made.
+    """
     columns = ["node", "size", "pos", "m0", "m1", "m2", "m3", "block", *(["label"] if apart else [])]
-    a = x.select(*on, *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = x.select(*on, *[F.col(c).alias(f"b_{c}") for c in columns])
+    once = "a_node < b_node"
+    a = b = x
+    if apart:
+        x = x.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / math.log(den / num)).cast("int"))
+        # a meets its own class and the one above it; a size on an edge may be taken for the class below, hence the second step
+        a, b = x.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("class", F.col("class") + F.col("step")), x.withColumn("step", F.lit(0))
+        on, columns = [*on, "class"], [*columns, "step"]
+        once = "(a_step > 0 OR a_node < b_node)"
+    a = a.select(*on, *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in columns])
     need = f"CAST(CEIL(CAST({num} * (a_size + b_size) AS DOUBLE) / {num + den}) AS INT)"
     test = [
-        "a_node < b_node",
+        once,
         f"{den} * least(a_size, b_size) >= {num} * greatest(a_size, b_size)",
         f"least(a_size - a_pos, b_size - b_pos) >= {need}",
         f"bit_count(a_m0 ^ b_m0) + bit_count(a_m1 ^ b_m1) + bit_count(a_m2 ^ b_m2) + bit_count(a_m3 ^ b_m3) <= a_size + b_size - 2 * {need}",

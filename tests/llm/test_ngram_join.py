@@ -48,6 +48,24 @@ def test_long_lists_lose_no_link(spark):
     assert got == brute(texts, 3, 90, 100)
 
 
+def test_long_lists_of_different_components(spark):
+    """Families that share a frequent shingle in their prefixes: sizes at and around the edges of the classes."""
+    import random
+
+    rnd = random.Random(12)
+    texts = []
+    for family in range(30):
+        size = rnd.choice([9, 10, 11, 12, 18, 20, 22])
+        base = [f"f{family}w{i}" for i in range(size - 6)] + "shared words that all have".split()
+        rnd.shuffle(base)
+        tail = "shared words that all have".split()
+        for copy in range(5):
+            words = [w for w in base if w not in tail][: size - rnd.randint(5, 6)] + tail + ([f"x{family}"] if copy == 4 else [])
+            texts.append((family * 10 + copy, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, texts), num=60).collect()}
+    assert got == brute(texts, 3, 60, 100)
+
+
 def links(texts, n, num, den):
     """Pairs of rows that link, for each component."""
     sets, of, out = {i: shingles(t, n) for i, t in texts}, brute(texts, n, num, den), {}
