@@ -11,8 +11,8 @@ def odd(spark):
     rnd = random.Random(4)
     long = " ".join(rnd.choice(WORDS) for _ in range(40_000))
     texts = [(1, None), (2, ""), (3, " \n\t "), (4, "Alpha beta gamma delta"), (4, "Alpha beta gamma delta"), (5, "alpha BETA gamma delta"), (None, "a null id beside a text"), (None, "a null id beside a text"), (6, long), (7, long + " end"), (8, "x")]
-    rows = [(i, t, "en" if t else None, "s", 1, 0.5, [1], "k", 2, True) for i, t in texts]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, items array<int>, key string, block int, kept boolean")
+    rows = [(i, t, "en" if t else None, "s", 1, 0.5, [1], "k", 2, True, 3, "d", 4, 5, 6) for i, t in texts]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, items array<int>, key string, block int, kept boolean, row long, `a.b c` string, c0 int, _row int, _c1 int")
 
 
 @pytest.fixture()
