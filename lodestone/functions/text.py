@@ -1,18 +1,19 @@
-"""Text expressions, all inside the JVM."""
+"""Text expressions, inside the JVM but for token_counter()."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The token pattern and the stop words of the sparse index.
 TOKEN = r"(?i)\d+(?:[./]\d+)*(?:\(\d+\))*[a-z]?|[a-z]+(?:[-'][a-z]+)*"
-STOPWORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the this to was were which with what does do "
-    "should shall may can how when where who whom whose why"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this",
+    "to", "was", "were", "which", "with", "what", "does", "do", "should", "shall", "may", "can", "how", "when", "where", "who", "whom", "whose", "why",
+]
 # Page-number lines, and lines that begin a block of their own.
 PAGE_NUMBER = r"(?i)^\s*(page\s*)?\d{1,4}(\s*(/|of)\s*\d{1,4})?\s*$"
 BLOCK_START = r"^([•\-–▪*]|\(?[a-z0-9]{1,3}[.)]|\d+(\.\d+)*\s)"
@@ -52,6 +53,17 @@ def token_count(text: Column) -> Column:
     return F.size(tokens(text))
 
 
+def token_counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
+    """token_count() by a tokenizer of one's own, such as a BPE: count gives the number of tokens of each of some texts."""
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        known = texts.notna().tolist()
+        counts = iter(count(texts[texts.notna()].tolist()))
+        return pd.Series([next(counts) if k else None for k in known], dtype="Int32")
+
+    return run
+
+
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct word n-grams; a text of fewer words has its whole sequence, even if empty, as its one shingle."""
     starts = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1))

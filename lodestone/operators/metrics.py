@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sized import broadcast_if_small
+from ..sources.tables import written
+
 KS = (1, 3, 5, 10)
 DEPTH = 10
 
@@ -108,13 +111,19 @@ def quantile_exclusive(values: Column, percent: int) -> Column:
 
 
 def exact_quantiles(rows: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95), digits: int = 6) -> DataFrame:
-    """Exclusive quantiles of large groups, without an array of a group: only the two neighbours of each cut are looked up by rank.
+    """Exclusive quantiles of large groups, without an array or one task for a group: only the two neighbours of each cut are
+    looked up by rank.
 
-    Equal values are counted before they are ranked, and ranks come from running sums over ordered bins.
+    Equal values are counted before they are ranked.  The distinct ones are dealt into bins by range, in a table that is written
+    once; ranks are sums over whole bins and running sums inside one.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("past", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    counts = written(counts.repartitionByRange(by, "v").withColumn("bin", F.spark_partition_id()), "bins")
+    of_bin = counts.groupBy(by, "bin").agg(F.sum("c").alias("s"))
+    whole = Window.partitionBy(by)
+    of_bin = of_bin.select(by, "bin", F.coalesce(F.sum("s").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(whole).alias("n"))
+    inside = Window.partitionBy(by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(broadcast_if_small(of_bin), [by, "bin"]).withColumn("past", F.col("before") + F.sum("c").over(inside))
     n = F.col("n")
     out = []
     for p in percents:

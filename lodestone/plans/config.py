@@ -8,6 +8,7 @@ import json
 import os
 from typing import Any
 
+# The default settings.
 DEFAULTS: dict[str, Any] = {
     "chunking": {"strategy": "section", "max_tokens": 512, "overlap": 64, "child_tokens": 128, "contextual_header": False},
     "ingestion": {"min_page_chars": 80, "header_footer_min_ratio": 0.5},

@@ -75,7 +75,10 @@ def answer(hits: DataFrame, questions: DataFrame, store: DataFrame, settings: di
     c = settings["context"]
     built = ctx.build(hits, c["max_tokens"], c["max_chunks_per_document"]).select("query_id", "ids", "token_count")
     shown = hits.join(built.select("query_id", F.explode("ids").alias("id")), ["query_id", "id"], "left_semi")
-    replies = (generate or grounding.extractive_answers)(shown, questions)
+    asked = questions.join(shown.select("query_id").distinct(), "query_id", "left_semi")
+    bare = questions.join(shown.select("query_id").distinct(), "query_id", "left_anti")
+    abstained = bare.select("query_id", F.lit(grounding.INSUFFICIENT).alias("answer"), F.lit(None).cast("string").alias("cited"), F.lit(True).alias("insufficient"))
+    replies = (generate or grounding.extractive_answers)(shown, asked).select("query_id", "answer", "cited", "insufficient").union(abstained)
     cited = replies.select("query_id", F.when(F.col("cited").isNull(), F.array().cast("array<string>")).otherwise(F.array("cited")).alias("citations"))
     checked = grounding.check_citations(cited, shown, store).groupBy("query_id").agg(F.collect_list(F.when(F.col("valid"), F.col("id"))).alias("citations"), F.collect_list(F.when(~F.col("valid"), F.col("id"))).alias("invalid"))
     out = replies.join(checked, "query_id", "left").join(built.select("query_id", "token_count"), "query_id", "left")
