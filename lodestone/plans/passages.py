@@ -271,10 +271,25 @@ def point_ids(spark, sf_dir):
     return stores.contextual_ids(table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 100000).cast("int").alias("position")), "source", "section")
 
 
-@register()
+_SQUASHED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_REVIEW = f"""{_packed_sql(128)}, {_groups_sql(128)}, {_runs_sql('runs', 'groups', 128, 16)},
+ch AS (SELECT c.document_id, c.document_id || ':section:' || lpad(CAST(position AS VARCHAR), 5, '0') AS id, string_agg(text, chr(10) ORDER BY i) AS text, min_by(section, i) FILTER (coalesce(section, '') <> '') AS section, min(page) AS page_start, max(page) AS page_end
+  FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY first, past) - 1 AS position FROM runs) c JOIN pieces p ON p.document_id = c.document_id AND p.i >= c.first AND p.i < c.past GROUP BY c.document_id, position),
+near AS MATERIALIZED (SELECT b.item_id AS query_id, ch.document_id, ch.id, ch.text, {cat.tok("coalesce(section, '') || ' ' || ch.text")} AS toks, {cat.tok('b.text')} AS q FROM benchmark b JOIN ch ON ch.document_id = 'd' || (b.item_id * 7 % (SELECT count(*) FROM documents)) WHERE page_start <= 4 AND page_end >= 1),
+gs AS (SELECT query_id, count(*) AS n, avg(len(toks)) AS mean FROM near GROUP BY 1),
+gt AS (SELECT query_id, id, len(toks) AS dl, q, term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM near) GROUP BY ALL),
+gd AS (SELECT query_id, term, mean, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT query_id, term, count(*) AS df FROM gt GROUP BY 1, 2) JOIN gs USING (query_id)),
+gi AS (SELECT query_id, term, mean, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query_id) ELSE raw END AS idf FROM gd),
+sc AS (SELECT query_id, id, round(sum(len(list_filter(q, lambda x: x = term)) * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM gt JOIN gi USING (query_id, term) GROUP BY 1, 2),
+rk AS (SELECT query_id, document_id, id, coalesce(score, 0.0) AS score, q, {_SQUASHED} AS t, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, id) AS rank FROM near LEFT JOIN sc USING (query_id, id) QUALIFY rank <= 2),
+wn AS (SELECT query_id, id, t, s, len(list_intersect(list_distinct(q), {cat.tok('substr(t, s + 1, 600)')})) AS n FROM (SELECT *, CAST(unnest(range(0, greatest(length(t) - 501, 0) + 1, 100)) AS INT) AS s FROM rk WHERE length(t) > 600)),
+bw AS (SELECT query_id, id, arg_max(s, n * 1000000 - s) AS s FROM wn GROUP BY 1, 2)"""
+
+
+@register(f"WITH RECURSIVE {_REVIEW} SELECT query_id, document_id, CAST(rank AS INT) AS rank, id, score, CASE WHEN length(t) <= 600 THEN t ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(t, s + 1, 600) END AS excerpt FROM rk LEFT JOIN bw USING (query_id, id)")
 def evidence_review(spark, sf_dir):
     """The two best chunks for each benchmark item on the pages of one document."""
-    chunks = chunking.chunk(cat.paged(spark, sf_dir), "section", SMALL)
+    chunks = cat.once(spark, sf_dir, "sections", lambda: written(chunking.chunk(cat.paged(spark, sf_dir), "section", SMALL), "sections"))
     n = table(spark, sf_dir, "documents").count()
     name = F.concat(F.lit("d"), (F.col("query_id") * 7 % n).cast("string"))
     items = cat._bench(spark, sf_dir).select("query_id", F.col("text").alias("question"), F.array(F.struct(name.alias("document_id"), F.array(F.lit(1), F.lit(4)).alias("pages"))).alias("evidence"))
