@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import chunking, cleaning, dense, fusion, grounding, metrics, query, sparse, validation
 from ..operators import context as ctx
 from ..operators.ranking import top_k
-from ..sources import stores
+from ..sources import stores, tables
 from ..streaming import traces
 from . import retrieval
 
@@ -232,15 +232,21 @@ def _top(k: int, frm: str = "scored", where: str = "score > 0") -> str:
     return f"(SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, score FROM {frm} WHERE {where} QUALIFY rank <= {k})"
 
 
-_made: dict[tuple[str, str, str], object] = {}
+_made: dict[tuple, tuple] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make):
-    """An index or a table that several queries read, made once for a session and a folder of tables."""
+    """An index or a table that several queries read, made once for a session and a folder of tables; made anew when the
+    documents have changed or a table that it stands on is gone."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+    changed = tables.modified(spark, f"{sf_dir}/documents.parquet")
+    found = _made.get(key)
+    if found and found[1] == changed and all(tables.modified(spark, p) is not None for p in found[2]):
+        return found[0]
+    before = len(tables.WRITTEN)
+    made = make()
+    _made[key] = (made, changed, tables.WRITTEN[before:])
+    return made
 
 
 def _index(spark, sf_dir):

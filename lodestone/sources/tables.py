@@ -21,11 +21,23 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths of the tables written so far.
+WRITTEN: list[str] = []
+
+
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When a file or folder was last changed, in milliseconds; None if it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.getFileStatus(target).getModificationTime() if files.exists(target) else None
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, which goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

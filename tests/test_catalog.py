@@ -45,3 +45,19 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if not sql])
 def test_runs(spark, name):
     assert QUERIES[name][0](spark, SF).count() > 0
+
+
+def test_what_is_made_once_is_made_anew_where_it_is_gone(spark, tmp_path):
+    import shutil
+
+    from lodestone.plans.catalog import once
+    from lodestone.sources.tables import WRITTEN, written
+
+    spark.range(3).write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    make = lambda: made.append(1) or written(spark.range(len(made)), "x")
+    assert once(spark, str(tmp_path), "x", make) is once(spark, str(tmp_path), "x", make) and len(made) == 1
+    shutil.rmtree(WRITTEN[-1])
+    assert once(spark, str(tmp_path), "x", make).count() == 2 and len(made) == 2
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert once(spark, str(tmp_path), "x", make).count() == 3
