@@ -138,9 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
     some = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < min(1.0, (1.3 * max_docs + 50) / max(1, n)) * (1 << 20))
     # of bounded size: about 1.3 * max_docs rows
     rows = docs.select(column(key).alias("k"), column(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(some), "k").withColumn("h", F.xxhash64("k"))
-    found = with_results(rows, "t", ["h", "k", "y"], _BAG, _bags).collect()
-    found = sorted(found, key=lambda r: (r["h"] % (1 << 20), r["h"], r["k"], r["y"]))[:max_docs]
-    return fit([(np.array(r["ids"], np.int32), np.array(r["counts"], np.int32)) for r in found], [r["y"] for r in found])
+    found = with_results(rows, "t", ["h", "k", "y"], _BAG, _bags).toArrow()
+    order = sorted(zip(*(found[c].to_pylist() for c in ("h", "k", "y")), range(len(found))), key=lambda r: (r[0] % (1 << 20), *r[:3]))[:max_docs]
+    ids, counts = (found[c].combine_chunks() for c in _BAG)
+    return fit([(ids[i].values.to_numpy(), counts[i].values.to_numpy()) for *_, i in order], [y for _, _, y, _ in order])
 
 
 RESULTS = {"score": T.DoubleType(), "predicted": T.IntegerType()}
