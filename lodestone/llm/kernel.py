@@ -34,8 +34,16 @@ _powers: list[np.ndarray] = []
 _libc = ctypes.CDLL(None)
 
 
+_groups = 0
+RELEASE_AFTER = 8  # groups: giving memory back costs CPU time when it is taken again
+
+
 def release() -> None:
-    """Give freed memory back to the system, so that a worker between two groups holds little."""
+    """Give freed memory back to the system after some groups, so that a worker that waits holds little."""
+    global _groups
+    _groups += 1
+    if _groups % RELEASE_AFTER:
+        return
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
