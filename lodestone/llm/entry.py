@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP13_SQL, op13_centroids
 from .decontam import OP7_SQL, op7_decontamination
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .langid import op6_language_id
@@ -15,8 +16,8 @@ from .substring import OP9_SQL, op9_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_sharding, op4_pii, op5_sentencepiece, op6_language_id, op7_decontamination, op8_ngram_join, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_sharding, op4_pii, op5_sentencepiece, op6_language_id, op7_decontamination, op8_ngram_join, op9_substring_dedup, op10_lm_scoring, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL, "op13_centroids": OP13_SQL}
