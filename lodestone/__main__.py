@@ -21,7 +21,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _origin(docs: DataFrame) -> DataFrame:
     given = lambda c: F.col(c) if c in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("string").alias("document_id"), given("title").cast("string").alias("title"), given("authority").cast("string").alias("authority"), F.lit(None).cast("date").alias("publication_date"))
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), given("title").cast("string").alias("title"), given("authority").cast("string").alias("authority"), given("document_type").cast("string").alias("document_type"), (F.col("publication_date") if "publication_date" in docs.columns else F.lit(None)).cast("date").alias("publication_date"))
 
 
 def _items(queries: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--documents", required=True)
     p.add_argument("--queries")
     p.add_argument("--out")
+    p.add_argument("--report", help="folder for the means and rows of an evaluation as JSON lines")
     p.add_argument("--config")
     p.add_argument("--strategy", choices=tuple(chunking.STRATEGIES))
     p.add_argument("--top-k", type=int, default=10)
@@ -60,9 +61,13 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "ask":
         out = retrieval.answer_questions(queries.select(F.col("item_id").alias("query_id"), "text"), corpus.retriever(settings), corpus.chunks(settings["chunking"]), settings)
     elif a.command == "eval":
-        out = evaluation.evaluate(_items(queries), corpus, settings)
+        rows = evaluation.evaluate(_items(queries), corpus, settings)
+        if a.report:
+            evaluation.report(rows, settings, "eval", a.report)
+        out = rows if a.out else evaluation.summary(rows)
     elif a.command == "ablation":
-        out = evaluation.ablation(_items(queries), corpus, settings, steps={s: evaluation.STEPS[s] for s in a.steps or evaluation.STEPS})
+        bare = [s for s, change in evaluation.STEPS.items() if not evaluation.needs_model(change)]  # there is no model here
+        out = evaluation.ablation(_items(queries), corpus, settings, steps={s: evaluation.STEPS[s] for s in a.steps or bare})
     else:
         pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("doc_order"), F.lit(1).alias("page_number"), "text")
         out = validation.ingest(pages)[1]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.sized import in_blocks
 from ..functions.text import let, words
-from .ranking import DIGITS, Best, hit_schema, top_k
+from .ranking import DIGITS, META, Best, Filters, hit_schema, top_k
 
 NUMBERS = 1 << 24  # of query vectors that are broadcast at once: 128 MB
 CELLS = 1 << 22  # scores that are worked out at once
 DIM = 384
-LISTS = ("authority", "document_type", "document_id")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -45,7 +43,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vect
     """
     own = [group] if group else []
     filtered = "filter" in queries.columns
-    meta = [*LISTS, "publication_date"] if filtered else []
+    meta = META if filtered else []
     rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("vector"), *[F.col(c).alias("g") for c in own], *meta).where("vector IS NOT NULL AND id IS NOT NULL")
     schema = hit_schema(queries.schema["query_id"].dataType, rows.schema["id"].dataType)
     wide = queries.select(F.max(F.size("vector"))).first()[0] or 1
@@ -66,7 +64,7 @@ def _scorer(shared, k: int, null_dates: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names, groups, filters = shared.value
         best = Best(names, k)
-        judged = _Filters(filters, null_dates) if filters is not None else None
+        judged = Filters(filters, null_dates) if filters is not None else None
         for whole in batches:
             rows = max(1, CELLS // max(1, len(names)))
             for i in range(0, len(whole), rows):
@@ -83,31 +81,6 @@ def _scorer(shared, k: int, null_dates: bool):
     return run
 
 
-class _Filters:
-    """Distinct filters of some queries, as masks over the rows of a batch."""
-
-    def __init__(self, filters: list, null_dates: bool):
-        self.null_dates = null_dates
-        keys = [tuple((tuple(f[c] or ()) if c in LISTS else f[c]) for c in (*LISTS, "gte", "lte")) if f else ((), (), (), None, None) for f in filters]
-        self.distinct = list(dict.fromkeys(keys))
-        self.of_query = np.array([self.distinct.index(x) for x in keys])
-
-    def passes(self, batch: pa.RecordBatch) -> np.ndarray:
-        """(row, query): which rows each query may find."""
-        return np.stack([self._mask(batch, *f) for f in self.distinct], axis=1)[:, self.of_query]
-
-    def _mask(self, batch: pa.RecordBatch, *f) -> np.ndarray:
-        ok = np.ones(len(batch), bool)
-        for c, wanted in zip(LISTS, f):
-            if wanted:
-                ok &= np.asarray(pa.compute.is_in(batch.column(c), value_set=pa.array(wanted, pa.string())))
-        dates = batch.column("publication_date")
-        for bound, compare in ((f[3], pa.compute.greater_equal), (f[4], pa.compute.less_equal)):
-            if isinstance(bound, datetime.date):
-                ok &= np.asarray(compare(dates, pa.scalar(bound, pa.date32())).fill_null(self.null_dates))
-        return ok
-
-
 def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
     """(id, vector): the hashing embedding as search() takes it.  A text without words has the zero vector."""
     entries = hashed_features(df, id_, text, dim).groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("value").alias("value"))

@@ -39,15 +39,16 @@ def rrf(lists: DataFrame, k: int, rrf_k: int = RRF_K, weights: dict[int, float]
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score", "sources")
 
 
-def interleave(lists: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id) of two lists in turn, the one of smaller list_no first; an id counts where it comes first.
+def interleave(lists: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
+    """(query_id, rank, id, the columns keep) of two lists in turn, the one of smaller list_no first; an id counts where it comes first.
 
     k of 0 takes all.
     """
-    slot = dealt(lists, "id").groupBy("query_id", "id").agg(F.min(F.struct("rank", "list_no")).alias("slot"))
-    w = Window.partitionBy("query_id").orderBy("slot")
+    others = [F.col(c) for c in keep or []]
+    slot = dealt(lists, "id").groupBy("query_id", "id").agg(F.min(F.struct("rank", "list_no", *others)).alias("slot"))
+    w = Window.partitionBy("query_id").orderBy("slot.rank", "slot.list_no")
     out = slot.withColumn("rank", F.row_number().over(w))
-    return (out.where(F.col("rank") <= k) if k else out).select("query_id", "rank", "id")
+    return (out.where(F.col("rank") <= k) if k else out).select("query_id", "rank", "id", *[f"slot.{c}" for c in keep or []])
 
 
 def boost(hits: DataFrame, matches: Column, ranks: int = 5) -> DataFrame:

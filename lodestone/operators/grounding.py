@@ -74,7 +74,8 @@ def check_citations(answers: DataFrame, context: DataFrame, store: DataFrame | N
     out = cited.join(shown, ["query_id", "id"], "left")
     ok = F.col("_in").isNotNull()
     if store is not None:
-        out = out.join(store.select("id").distinct().withColumn("_there", F.lit(True)), "id", "left")
+        there = store.select("id").join(cited.select("id").distinct(), "id", "left_semi").distinct()
+        out = out.join(there.withColumn("_there", F.lit(True)), "id", "left")
         ok &= F.col("_there").isNotNull()
     return out.select("query_id", "ord", "id", ok.alias("valid"))
 

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sized import broadcast_if_small
+from ..sources.tables import written
+
 # Replies of a service that are worth another try.
 TRANSIENT = (408, 409, 429, 500, 502, 503, 504)
 CONTEXT_CHARS = 12_000
@@ -95,22 +98,34 @@ def judge(rows: DataFrame, model: Callable[[list[tuple[str, str]]], list[str]])
     return found.select(*rows.columns, *[F.try_element_at("_j", F.lit(n)).alias(f"judge_{n}") for n in SCORES])
 
 
+def asked_once(prompts: DataFrame, model: Callable[[list[tuple[str, str]]], list[str]]) -> DataFrame:
+    """prompts(system, user, ...) with reply.  Each different prompt goes to the model once: the replies are a written ledger that
+    every later plan reads, so that none of them asks again."""
+    asked = prompts.select("system", "user").distinct()
+    ledger = written(generate(asked, model), "replies")
+    return prompts.join(broadcast_if_small(ledger), ["system", "user"])
+
+
 def reworded(queries: DataFrame, model: Callable[[list[tuple[str, str]]], list[str]], rewriting: bool = True, n: int = 0) -> DataFrame:
     """queries(query_id, normalised, ...) with rewritten and variants, as query.retrieval_queries() takes them.
 
-    rewriting asks for one better wording, n for so many others; what isn't asked for is null.
+    rewriting asks for one better wording, n for so many others; what isn't asked for is null.  The model is asked once for each
+    different prompt.
     """
     from .query import variants
 
-    out = queries.withColumns({"rewritten": F.lit(None).cast("string"), "variants": F.lit(None).cast("array<string>")})
-    if rewriting:
-        asked = out.drop("rewritten").withColumns({"system": F.lit(REWRITER), "user": F.concat(F.lit("Word this for a search in legal texts, keep all numbers, reply with the query alone:\n"), "normalised")})
-        text = F.regexp_replace(F.trim("reply"), '^"+|"+$', "")
-        out = generate(asked, model).withColumn("rewritten", F.nullif(text, F.lit(""))).drop("system", "user", "reply")
-    if n:
-        asked = out.drop("variants").withColumns({"system": F.lit(REWRITER), "user": F.concat(F.lit(f"Give {n} different search queries for this, one a line:\n"), "normalised")})
-        out = generate(asked, model).withColumn("variants", variants(F.col("reply"), n)).drop("system", "user", "reply")
-    return out
+    better = F.concat(F.lit("Word this for a search in legal texts, keep all numbers, reply with the query alone:\n"), "normalised")
+    others = F.concat(F.lit(f"Give {n} different search queries for this, one a line:\n"), "normalised")
+    kinds = [F.struct(F.lit(kind).alias("kind"), user.alias("user")) for kind, user, on in (("rewritten", better, rewriting), ("variants", others, n > 0)) if on]
+    bare = queries.drop("rewritten", "variants")
+    if not kinds:
+        return bare.withColumns({"rewritten": F.lit(None).cast("string"), "variants": F.lit(None).cast("array<string>")})
+    prompts = bare.select("normalised").where("normalised IS NOT NULL").distinct().select("normalised", F.explode(F.array(*kinds)).alias("p")).select("normalised", "p.kind", F.lit(REWRITER).alias("system"), "p.user")
+    said = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("reply")))
+    replies = asked_once(prompts, model).groupBy("normalised").agg(said("rewritten").alias("_r"), said("variants").alias("_v"))
+    text = F.regexp_replace(F.trim("_r"), '^"+|"+$', "")
+    out = bare.join(replies, "normalised", "left")
+    return out.withColumns({"rewritten": F.nullif(text, F.lit("")), "variants": variants(F.col("_v"), n)}).select(*bare.columns, "rewritten", "variants")
 
 
 def generate_cached(prompts: DataFrame, cache: DataFrame, name: str, model: Callable[[list[tuple[str, str]]], list[str]], json_mode: bool = True) -> tuple[DataFrame, DataFrame]:

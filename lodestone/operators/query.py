@@ -61,6 +61,23 @@ def expand_acronyms(query: Column, acronyms: dict[str, str] = ACRONYMS) -> Colum
     return F.when(F.size(extra) == 0, query).otherwise(F.concat(query, F.lit(" ("), F.array_join(extra, "; "), F.lit(")")))
 
 
+FILTER = "struct<authority: array<string>, document_type: array<string>, document_id: array<string>, gte: date, lte: date>"
+
+
+def as_filter(inferred: Column) -> Column:
+    """An inferred filter as searches take it: without types and dates."""
+    none = F.array().cast("array<string>")
+    return F.when(inferred.isNotNull(), F.struct(inferred["authority"].alias("authority"), none.alias("document_type"), inferred["document_id"].alias("document_id"), F.lit(None).cast("date").alias("gte"), F.lit(None).cast("date").alias("lte")))
+
+
+def is_empty(flt: Column) -> Column:
+    """Whether a filter restricts nothing; null doesn't."""
+    bare = F.lit(True)
+    for c in ("authority", "document_type", "document_id"):
+        bare &= F.coalesce(F.size(flt[c]) <= 0, F.lit(True))
+    return flt.isNull() | (bare & flt["gte"].isNull() & flt["lte"].isNull())
+
+
 def infer_filter(query: Column, documents: dict[str, str] = DOCUMENTS, authorities: dict[str, str] = AUTHORITIES) -> Column:
     """struct(document_id, authority): named documents, or else named authorities; null where nothing is named."""
     docs, found = _named(query, documents), _named(query, authorities)

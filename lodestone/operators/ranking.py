@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LISTS = ("authority", "document_type", "document_id")
+META = [*LISTS, "publication_date"]  # columns that filters judge
 DIGITS = 6  # scores are rounded, so that equal sums in another order stay ties
 
 
@@ -58,3 +63,29 @@ class Best:
         table = self._prune()
         out = pa.table({"query_id": self.names.take(table["query"].combine_chunks()), "id": table["id"], "score": table["score"]})
         return out.to_batches()
+
+
+class Filters:
+    """Distinct filters of some queries, as masks over the rows of a batch.  A row is judged before it is ranked."""
+
+    def __init__(self, filters: list, null_dates: bool = True):
+        self.null_dates = null_dates
+        keys = [tuple((tuple(f[c] or ()) if c in LISTS else f[c]) for c in (*LISTS, "gte", "lte")) if f else ((), (), (), None, None) for f in filters]
+        place = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+        self.distinct = list(place)
+        self.of_query = np.array([place[x] for x in keys])
+
+    def passes(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(row, query): which rows each query may find."""
+        return np.stack([self._mask(batch, *f) for f in self.distinct], axis=1)[:, self.of_query]
+
+    def _mask(self, batch: pa.RecordBatch, *f) -> np.ndarray:
+        ok = np.ones(len(batch), bool)
+        for c, wanted in zip(LISTS, f):
+            if wanted:
+                ok &= np.asarray(pa.compute.is_in(batch.column(c), value_set=pa.array(wanted, pa.string())))
+        dates = batch.column("publication_date")
+        for bound, compare in ((f[3], pa.compute.greater_equal), (f[4], pa.compute.less_equal)):
+            if isinstance(bound, datetime.date):
+                ok &= np.asarray(compare(dates, pa.scalar(bound, pa.date32())).fill_null(self.null_dates))
+        return ok

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.sized import broadcast_if_small, spread
 from ..functions.text import sparse_tokens
 from ..sources.tables import written
-from .ranking import DIGITS, Best, hit_schema, top_k
+from .ranking import DIGITS, META, Best, Filters, hit_schema, top_k
 
 EPSILON = 0.25  # of the mean idf, in place of a negative one
 MOST_WEIGHTS = 1_000_000  # (query, term) pairs that are broadcast: 24 MB and the terms; more queries go by joins
@@ -32,9 +32,13 @@ class Index:
     b: float
 
 
-def build(docs: DataFrame, id_: str, text: Column, k1: float = 1.5, b: float = 0.75) -> Index:
-    """Statistics over all documents, empty ones included.  Texts are tokenised once, into a table that all else reads."""
-    toks = spread(docs.select(F.col(id_).alias("id"), text.alias("text"))).select("id", sparse_tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
+def build(docs: DataFrame, id_: str, text: Column, k1: float = 1.5, b: float = 0.75, meta: bool = False) -> Index:
+    """Statistics over all documents, empty ones included.  Texts are tokenised once, into a table that all else reads.
+
+    meta keeps the columns authority, document_type, document_id and publication_date, which filters of queries judge.
+    """
+    own = META if meta else []
+    toks = spread(docs.select(F.col(id_).alias("id"), text.alias("text"), *own)).select("id", sparse_tokens(F.col("text")).alias("toks"), *own).withColumn("dl", F.size("toks"))
     toks = written(toks, "terms")
     n, mean = toks.agg(F.count(F.lit(1)), F.avg("dl")).first()
     df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -78,16 +82,28 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, score) of queries(query_id, text): one scan of the token table for all queries.
+    """(query_id, rank, id, score) of queries(query_id, text[, filter]): one scan of the token table for all queries.
+
+    With a column filter in queries, a struct as passes() takes it, only documents whose metadata pass it are ranked; their
+    scores are those without a filter.  Without one a null filter passes all.
 
     The queries' weights are broadcast as the rows of a sparse matrix; a batch of documents is multiplied with it, and a task
     sends its own k best of each query, so no postings are shuffled.  More than MOST_WEIGHTS weights are joined.
     """
+    filtered = "filter" in queries.columns
     asked = weights(index, queries).limit(MOST_WEIGHTS + 1).toArrow()
     if asked.num_rows > MOST_WEIGHTS:
-        return top_k(scores(index, queries), k).select("query_id", "rank", "id", "score")
-    rows = index.tokens.where("id IS NOT NULL")
-    shared = rows.sparkSession.sparkContext.broadcast(_Weights(asked))
+        found = scores(index, queries)
+        if filtered:
+            meta = index.tokens.select("id", F.struct(*META).alias("_m"))
+            found = found.join(meta, "id").join(queries.select("query_id", F.col("filter").alias("_f")), "query_id").where(passes("_f", "_m"))
+        return top_k(found, k).select("query_id", "rank", "id", "score")
+    rows = index.tokens.where("id IS NOT NULL") if filtered else index.tokens.where("id IS NOT NULL").select("id", "toks", "dl")
+    known = _Weights(asked)
+    if filtered:
+        weighted = weights(index, queries).select("query_id").distinct()  # no more queries than weights
+        known.restrict(queries.select("query_id", "filter").where("filter IS NOT NULL").join(weighted, "query_id", "left_semi").collect())
+    shared = rows.sparkSession.sparkContext.broadcast(known)
     schema = hit_schema(queries.schema["query_id"].dataType, rows.schema["id"].dataType)
     found = rows.mapInArrow(_scorer(shared, k, index.k1, index.b, index.mean_length or 1.0), schema)
     return top_k(found, k).select("query_id", "rank", "id", "score")
@@ -105,6 +121,13 @@ class _Weights:
         self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.query = np.asarray(names.indices, np.int64)[order]
         self.weight = asked["w"].to_numpy()[order]
+        self.filters: Filters | None = None
+
+    def restrict(self, rows: list) -> None:
+        """Filters of the queries, by (query_id, filter); a query without one passes all."""
+        of = {r["query_id"]: r["filter"] for r in rows}
+        if any(f is not None for f in of.values()) and len(self.names):
+            self.filters = Filters([of.get(n) for n in self.names.to_pylist()])
 
     def times(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """Products of n sparse document rows with all queries."""
@@ -141,6 +164,8 @@ def _scorer(shared, k: int, k1: float, b: float, mean: float):
                 norm = k1 * (1 - b + b * np.asarray(batch.column("dl"), np.float64) / mean)
                 score = np.round(w.times(doc, term, tf * (k1 + 1) / (tf + norm[doc]), n), DIGITS)
                 score[score <= 0] = -np.inf
+                if w.filters:
+                    score[~w.filters.passes(batch)] = -np.inf
                 best.add(score, batch.column("id"))
         yield from best.batches()
 

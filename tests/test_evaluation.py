@@ -41,20 +41,61 @@ def test_an_evaluation_run(corpus, items):
     assert [got[i].answerable_success for i in (1, 2, 3)] == [1.0] * 3 and got[4].abstention_accuracy == 1.0 and got[4].citation_correctness is None
 
 
-def test_the_eight_steps(corpus, items):
-    asked = []
+def test_the_eight_steps(corpus, items, tmp_path):
+    asked = tmp_path / "asked"
 
     def model(prompts):
+        with open(asked, "a") as f:
+            f.writelines(user.replace("\n", " ") + "\n" for _, user in prompts)
         return [user.split("\n", 1)[1] for _, user in prompts]
 
     base = merge(load(env={}), {"chunking": {"max_tokens": 40, "overlap": 4, "child_tokens": 20}, "reranker": {"candidates": 10}})
-    steps = {k: evaluation.STEPS[k] for k in ("01_baseline_dense_fixed", "03_bm25_only", "07_+multi_query", "08_parent_child")}
-    rows = evaluation.ablation(items, corpus, base, model, steps).orderBy("step").collect()
-    assert [r.name for r in rows] == list(steps) and {r.n for r in rows} == {4} and len({r.experiment for r in rows}) == 4
-    assert all(r.recall_10 > 0.6 and r.mrr > 0.6 and r.answerable_success == 1.0 for r in rows)
-    assert len(evaluation.STEPS) == 8 and asked == []
+    assert len(evaluation.STEPS) == 8
+    rows = evaluation.ablation(items, corpus, base, model).where("question_type IS NULL AND reference IS NULL").orderBy("step").collect()
+    assert [r.name for r in rows] == list(evaluation.STEPS) and {(r.n, r.answerable) for r in rows} == {(4, 3)} and len({r.experiment for r in rows}) == 8
+    # step 02 names other chunks than item 3 does under "fixed"; all find what they look for
+    assert all(r.recall_10 > 0.6 and r.mrr > 0.6 and r.answerable_success == 1.0 and r.latency_ms > 0 for r in rows)
+    calls = asked.read_text().splitlines()
+    assert len(calls) == 8 and len(set(calls)) == 8  # four questions, rewritten once and varied once, though many plans read them
+    with pytest.raises(ValueError, match="06_.*07_"):
+        evaluation.ablation(items, corpus, base)
+    with pytest.raises(ValueError, match="need a model"):
+        evaluation.evaluate(items, corpus, merge(base, {"query": {"rewriting": True}}))
     table = retrieval.markdown(evaluation.ablation(items, corpus, base, None, {"b": evaluation.STEPS["03_bm25_only"]}, generation=False))
-    assert table.startswith("| step | name | experiment | recall_1")
+    assert table.startswith("| step | name | experiment | question_type | reference | n |")
+
+
+def test_a_contextual_header_reaches_the_vectors(spark, corpus):
+    """The authority stands in the header alone: with it on, dense search finds it, else all scores are 0."""
+    q = spark.createDataFrame([(1, "EBA")], "query_id long, text string")
+    for header in (False, True):
+        settings = merge(load(env={}), {"chunking": {"contextual_header": header}, "retrieval": {"type": "dense"}})
+        best = corpus.retriever(settings)(q, 3).collect()
+        assert (best[0].score > 0) == header
+
+
+def test_answers_are_measured(spark, corpus, items):
+    settings = merge(load(env={}), {"chunking": {"max_tokens": 40, "overlap": 4, "child_tokens": 20}})
+
+    def generate(shown, asked):
+        """Two citations, one of which was never shown; nothing for the last question."""
+        first = shown.where("rank = 1").select("query_id", F.col("id").alias("cited"))
+        return asked.join(first, "query_id").select("query_id", F.lit("three words here").alias("answer"), F.when(F.col("query_id") == 2, F.lit("invented")).otherwise(F.col("cited")).alias("cited"), (F.col("query_id") == 4).alias("insufficient"))
+
+    judge = lambda rows: ['{"faithfulness": 1, "answer_relevance": 0.5, "context_relevance": 0.25}' for _ in rows]
+    kinds = items.withColumn("question_type", F.when(F.col("query_id") < 3, "factual").otherwise("ambiguous"))
+    rows = evaluation.evaluate(kinds, corpus, settings, generate=generate, judge=judge, price=(1.0, 10.0))
+    got = {r.query_id: r for r in rows.collect()}
+    assert [got[i].citation_correctness for i in (1, 2, 3)] == [1.0, 0.0, 1.0] and got[4].citation_correctness is None
+    assert [got[i].citation_completeness for i in (1, 2, 3)] == [1.0, 0.0, 0.0]  # item 3 names no document
+    assert [got[i].invalid_citation_rate for i in (1, 2, 3)] == [0.0, 1.0, 0.0]
+    assert got[2].insufficient and got[2].answerable_success == 0.0 and got[4].abstention_accuracy == 1.0  # an answer without a valid citation is withheld
+    assert got[1].judge_faithfulness == 1.0 and got[2].judge_faithfulness is None and got[4].judge_faithfulness is None
+    assert got[1].completion_tokens == 3 and abs(got[1].cost - (got[1].prompt_tokens + 30) / 1e6) < 1e-12
+    means = {(r.question_type, r.reference): r for r in evaluation.summary(rows).collect()}
+    assert set(means) == {(None, None), ("factual", None), ("ambiguous", None), (None, "no_explicit_reference")}
+    assert means[("factual", None)].citation_correctness == 0.5 and means[(None, None)].n == 4 and means[("ambiguous", None)].answerable == 1
+    assert means[(None, None)].mrr == round(sum(got[i].mrr for i in (1, 2, 3)) / 3, 6)
 
 
 def test_named_chunks_count_for_rank_but_not_for_recall_beside_evidence(spark):
@@ -72,6 +113,8 @@ def test_wordings_and_judgements(spark):
     got = providers.reworded(q, lambda rows: ['"new words"' if "Word this" in u else "- a\n* b" for _, u in rows], n=1).first()
     assert got.rewritten == "new words" and got.variants == ["a"]
     assert providers.reworded(q, None, rewriting=False).first().variants is None
+    two = spark.createDataFrame([(1, "same"), (2, "same"), (3, None)], "query_id long, normalised string")
+    assert {r.query_id: r.rewritten for r in providers.reworded(two, lambda rows: [f"reply {len(rows)}" for _ in rows]).collect()} == {1: "reply 1", 2: "reply 1", 3: None}
     replies = ['x {"faithfulness": 1, "answer_relevance": 0.2, "context_relevance": 0, "more": 5}', '{"faithfulness": 1}', '{"faithfulness": -0.1, "answer_relevance": 1, "context_relevance": 1}', "none"]
     rows = spark.createDataFrame([(r,) for r in replies], "reply string").select(providers.judgements(F.col("reply")).alias("j")).collect()
     assert [r.j for r in rows] == [{"faithfulness": 1.0, "answer_relevance": 0.2, "context_relevance": 0.0}, None, None, None]
@@ -111,9 +154,11 @@ def test_command_line(spark, tmp_path, capsys):
     main(["ask", *both, str(tmp_path / "answers")])
     got = {r.query_id: r for r in spark.read.parquet(str(tmp_path / "answers")).collect()}
     assert got[7].citations == ["0:section:00000"] and got[8].insufficient
-    main(["eval", *both, str(tmp_path / "eval")])
+    main(["eval", *both, str(tmp_path / "eval"), "--report", str(tmp_path / "report")])
+    assert spark.read.json(str(tmp_path / "report/*/means")).where("question_type IS NULL AND reference IS NULL").first().hit_1 == 1.0
+    assert spark.read.json(str(tmp_path / "report/*/questions")).count() == 2
     assert {r.query_id: r.hit_1 for r in spark.read.parquet(str(tmp_path / "eval")).collect()} == {7: 1.0, 8: None}
     main(["ablation", *both, str(tmp_path / "ablation"), "--steps", "03_bm25_only"])
-    assert spark.read.parquet(str(tmp_path / "ablation")).first().recall_1 == 1.0
+    assert spark.read.parquet(str(tmp_path / "ablation")).where("question_type IS NULL AND reference IS NULL").first().recall_1 == 1.0
     with pytest.raises(SystemExit):
         main(["ask", "--documents", str(tmp_path / "docs")])

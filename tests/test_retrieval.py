@@ -1,7 +1,9 @@
+import datetime
 import random
 import unicodedata
 import uuid
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -246,3 +248,147 @@ def test_children_without_a_parent_are_no_siblings(spark):
     row = lambda r, i, p: ("q", r, i, f"text number {i} of the book", f"doc{i}", 1, 1, None, "T", "A", None, p, None)
     hits = spark.createDataFrame([row(1, "a", ""), row(2, "b", ""), row(3, "c", "p1"), row(4, "d", "p1"), row(5, "e", None), row(6, "f", None)], "query_id string, rank int, id string, text string, document_id string, page_start int, page_end int, section string, title string, authority string, publication_date date, parent_id string, parent_text string")
     assert ctx.build(hits).first().ids == ["a", "b", "c", "e", "f"]
+
+
+def test_fanned_out_queries_keep_their_hits(spark, tmp_path):
+    """Wordings from a join of two written tables, shuffled, many times the partitions: every query gets its own document."""
+    n = 3000
+    spark.range(n).select(F.col("id"), F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("a")).write.parquet(str(tmp_path / "a"))
+    spark.range(n).select(F.col("id"), F.concat(F.lit("other"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("b")).write.parquet(str(tmp_path / "b"))
+    both = spark.read.parquet(str(tmp_path / "a")).join(spark.read.parquet(str(tmp_path / "b")).hint("shuffle_merge"), "id")
+    docs = both.select("id", F.concat_ws(" ", "a", "b").alias("text"))
+    index = sparse.build(docs, "id", F.col("text"))
+    worded = both.select(F.col("id").alias("query_id"), F.posexplode(F.array("a", "b")).alias("list_no", "text"))
+    out = retrieval.fan_out(lambda q, k: sparse.search(index, q, k), worded, 2)
+    assert out.count() == n and out.where("query_id = id").count() == n
+
+
+META = [("a1", "EBA", "rule", "2020-01-01"), ("a2", "ECB", "rule", "2021-06-01"), ("b1", "EBA", "guide", None), ("b2", "FATF", None, "2023-01-01"), ("c1", None, "guide", "2019-05-05"), ("c2", "ECB", "rule", "2022-02-02")]
+
+
+def _store(spark, n=120):
+    """Chunks of six documents: texts over few words, so that there are many ties and repeats."""
+    rnd = random.Random(8)
+    vocabulary = ["risk", "capital", "client", "fraud", "market", "audit", "ledger", "bank", *(f"{a}{b}" for a in "klmnp" for b in ("ade", "oru", "ity", "ex", "amo"))]
+    rows = []
+    for i in range(n):
+        d, authority, kind, day = META[i % len(META)]
+        rows.append((f"{d}:fixed:{i // len(META):05d}", d, i // len(META), " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(3, 9))), i % 5 + 1, i % 5 + 1 + i % 2, authority, kind, day))
+    schema = "id string, document_id string, position int, text string, page_start int, page_end int, authority string, document_type string, day string"
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    return spark.createDataFrame(rows, schema).select("*", F.col("day").cast("date").alias("publication_date"), F.lit("T").alias("title"), null("section"), null("parent_id"), null("parent_text"), F.col("id").alias("chunk_id")).drop("day")
+
+
+def _passes(f, m):
+    if not f:
+        return True
+    ok = all(not f.get(c) or m[c] in f[c] for c in ("authority", "document_type", "document_id"))
+    day = m["publication_date"]
+    return ok and (day is None or ((not f.get("gte") or day >= f["gte"]) and (not f.get("lte") or day <= f["lte"])))
+
+
+FILTERS = [None, {"authority": ["EBA"]}, {"document_type": ["rule"], "authority": ["ECB", "EBA"]}, {"document_id": ["b2", "c1"]}, {"gte": datetime.date(2020, 6, 1)}, {"lte": datetime.date(2021, 1, 1), "document_type": ["guide", "rule"]}, {}, {"authority": ["nobody"]}]
+FILTER = "struct<authority: array<string>, document_type: array<string>, document_id: array<string>, gte: date, lte: date>"
+
+
+def _as_row(f):
+    return None if f is None else tuple(f.get(c) for c in ("authority", "document_type", "document_id", "gte", "lte"))
+
+
+def test_filters_are_judged_inside_the_searches(spark, monkeypatch):
+    chunks = _store(spark)
+    index = sparse.build(chunks, "id", F.col("text"), meta=True)
+    vectors = dense.hashed_vectors(chunks, "id", F.col("text")).join(chunks.select("id", *sparse.META), "id")
+    texts = ["risk capital", "client fraud fraud", "audit ledger bank", "market"]
+    asked = [(i * 10 + j, t, _as_row(f)) for i, t in enumerate(texts) for j, f in enumerate(FILTERS)]
+    q = spark.createDataFrame(asked, f"query_id long, text string, filter {FILTER}")
+    meta = {r.id: r for r in chunks.collect()}
+    everything = {r.query_id: [] for r in q.collect()}
+    for r in sparse.search(index, q.drop("filter"), 1000).orderBy("query_id", "rank").collect():
+        everything[r.query_id].append((r.id, r.score))
+    want = {i: [x for x in hits if _passes(FILTERS[i % 10], meta[x[0]])][:5] for i, hits in everything.items()}
+
+    def got(found):
+        out = {i: [] for i in everything}
+        for r in found.orderBy("query_id", "rank").collect():
+            out[r.query_id].append((r.id, r.score))
+        return out
+
+    assert got(sparse.search(index, q, 5)) == want and want[1] and not want[7]
+    monkeypatch.setattr(sparse, "MOST_WEIGHTS", 1)  # the joins give the same
+    assert got(sparse.search(index, q, 5)) == want
+    v = dense.hashed_vectors(q, "query_id", F.col("text")).withColumnRenamed("id", "query_id")
+    all_near = {i: [] for i in everything}
+    for r in dense.search(vectors, v, 1000).orderBy("query_id", "rank").collect():
+        all_near[r.query_id].append((r.id, r.score))
+    assert got(dense.search(vectors, v.join(q.select("query_id", "filter"), "query_id"), 5)) == {i: [x for x in hits if _passes(FILTERS[i % 10], meta[x[0]])][:5] for i, hits in all_near.items()}
+
+
+def _twin(query, mode, explicit, inferred, listed, meta, repeats, final, boost_ranks, candidates):
+    """One question after the other: lists, no repeats, then the mode."""
+    def ranked(f):
+        kept = []
+        for i in listed(query, f)[:candidates]:
+            if not any(repeats(k, i) for k in kept):
+                kept.append(i)
+        return kept
+
+    inferred = None if explicit and any(explicit.values()) else inferred
+    if inferred and mode == "restrict_with_fallback":
+        out, seen = [], set()
+        a, b = ranked(inferred), ranked(explicit)
+        for i in range(max(len(a), len(b))):
+            for x in (a[i : i + 1], b[i : i + 1]):
+                if x and x[0] not in seen:
+                    seen.add(x[0])
+                    out.append(x[0])
+        return out[:final]
+    out = ranked(inferred if inferred and mode == "restrict" else explicit)
+    if inferred and mode == "boost":
+        out = [c for _, _, c in sorted((i - boost_ranks if _passes(inferred, meta[c]) else i, i, c) for i, c in enumerate(out))]
+    return out[:final]
+
+
+@pytest.mark.parametrize("mode", ["boost", "restrict", "restrict_with_fallback"])
+def test_inferred_filters_over_chunks(spark, mode):
+    chunks = _store(spark)
+    index = sparse.build(chunks, "id", F.col("text"), meta=True)
+    questions = ["risk capital EBA", "client fraud", "audit ledger of AMLR", "market bank FATF or ECB", "EBA risk", "ECB audit", "European Central Bank capital", "ledger bank"]
+    inferred = [{"authority": ["EBA"]}, None, {"document_id": ["eu_regulation_2024_1624_amlr"]}, {"authority": ["ECB", "FATF"]}, {"authority": ["EBA"]}, {"authority": ["ECB"]}, {"authority": ["ECB"]}, None]
+    explicit = [None, None, None, None, {"document_type": ["rule"]}, {}, None, {"authority": ["FATF"]}]
+    q = spark.createDataFrame([(i, t, _as_row(f)) for i, (t, f) in enumerate(zip(questions, explicit))], f"query_id long, text string, filter {FILTER}")
+    settings = merge(load(env={}), {"retrieval": {"filter_mode": mode, "final_top_k": 6, "boost_ranks": 2}})
+    meta = {r.id: r for r in chunks.collect()}
+    lists = {r.query_id: [] for r in q.collect()}
+    for r in sparse.search(index, q.select("query_id", query.expand_acronyms(F.col("text")).alias("text")), 1000).orderBy("query_id", "rank").collect():
+        lists[r.query_id].append(r.id)
+    shingle = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+
+    def repeats(a, b):
+        x, y = meta[a], meta[b]
+        share = len(shingle(x.text) & shingle(y.text)) / len(shingle(x.text) | shingle(y.text))
+        return share >= 0.9 or (x.document_id == y.document_id and y.page_start >= x.page_start and y.page_end <= x.page_end and share >= 0.5)
+
+    listed = lambda i, f: [c for c in lists[i] if _passes(f, meta[c])]
+    found = retrieval.Search(q, lambda x, k: sparse.search(index, x, k), chunks, settings)
+    got = {i: [] for i in lists}
+    for r in found.hits().orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r.query_id]) + 1 and r.text == meta[r.id].text
+        got[r.query_id].append(r.id)
+    want = {i: _twin(i, mode, explicit[i], inferred[i], listed, meta, repeats, 6, 2, 6) for i in lists}
+    assert got == want and (mode != "restrict" or got[2] == [])
+    answers = {r.query_id: r for r in retrieval.answer_questions(q, lambda x, k: sparse.search(index, x, k), chunks, settings).collect()}
+    assert set(answers) == set(lists) and all(set(a.citations) <= set(got[i]) for i, a in answers.items())
+
+
+def test_neighbours_widen_contexts_and_unknown_modes_are_refused(spark):
+    chunks = _store(spark)
+    index = sparse.build(chunks, "id", F.col("text"), meta=True)
+    q = spark.createDataFrame([(1, "risk capital")], "query_id long, text string")
+    search = lambda x, k: sparse.search(index, x, k)
+    settings = merge(load(env={}), {"retrieval": {"final_top_k": 3}})
+    wide = merge(settings, {"context": {"neighbor_expansion": True, "neighbor_window": 1}})
+    narrow, more = (retrieval.answer_questions(q, search, chunks, s).first().context_tokens for s in (settings, wide))
+    assert more > narrow
+    with pytest.raises(ValueError, match="unknown filter mode"):
+        retrieval.Search(q, search, chunks, merge(settings, {"retrieval": {"filter_mode": "none"}}))
