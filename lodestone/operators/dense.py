@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.sized import in_blocks
-from ..functions.text import let, words
+from ..functions.text import words
 from .ranking import DIGITS, META, Best, Filters, hit_schema, top_k
 
 NUMBERS = 1 << 24  # of query vectors that are broadcast at once: 128 MB
@@ -81,10 +82,44 @@ def _scorer(shared, k: int, null_dates: bool):
     return run
 
 
+KNOWN = 1 << 18  # grams whose hashes a task keeps
+
+
+def _hashed(df: DataFrame, id_: str, text: Column, dim: int) -> DataFrame:
+    """(id, idx, value), a row for each row: the entries of the hashing embedding, by index.  One pass, nothing is shuffled."""
+
+    def place(gram: str) -> tuple[int, int]:
+        h = int.from_bytes(hashlib.md5(gram.encode()).digest(), "big")
+        return h % dim, 1 if h >> 64 & 1 else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            sizes, idx, value = [], [], []
+            for words_ in batch.column("w"):
+                own = words_.as_py() or []
+                sums = np.zeros(dim)
+                for gram in own + [f"{a}_{b}" for a, b in zip(own, own[1:])]:
+                    if gram not in known:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[gram] = place(gram)
+                    at, sign = known[gram]
+                    sums[at] += sign
+                has = np.flatnonzero(sums)
+                sizes.append(len(has))
+                idx.append(has.astype(np.int32))
+                value.append(sums[has] / np.sqrt((sums**2).sum()) if len(has) else sums[has])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            flat = [pa.array(np.concatenate(x)) if x else pa.array([], kind) for x, kind in ((idx, pa.int32()), (value, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(offsets, x) for x in flat]], names=["id", "idx", "value"])
+
+    rows = df.select(F.col(id_).alias("id"), words(text).alias("w"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]))
+
+
 def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
-    """(id, vector): the hashing embedding as search() takes it.  A text without words has the zero vector."""
-    entries = hashed_features(df, id_, text, dim).groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("value").alias("value"))
-    every = df.select(F.col(id_).alias("id")).distinct().join(entries, "id", "left")
+    """(id, vector): the hashing embedding as search() takes it, a row for each row.  A text without words has the zero vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,24 +130,14 @@ def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> Dat
             offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["id", "vector"])
 
-    return every.mapInArrow(run, T.StructType([every.schema["id"], T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+    entries = _hashed(df, id_, text, dim)
+    return entries.mapInArrow(run, T.StructType([entries.schema["id"], T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def hashed_features(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
     """(id, idx, value): sparse hashing embedding of words and neighbour pairs, of length one.
 
-    The index is the 128-bit MD5 modulo dim, so 384 keeps 2**64 mod 384 = 256 and the sign is bit 64.
+    The index is the 128-bit MD5 modulo dim, the sign is bit 64.
     """
-    def with_pairs(w: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit("_"), F.element_at(w, i + 1)))
-        return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
-
-    grams = let(words(text), with_pairs)
-    h = F.md5(F.col("gram").cast("binary"))
-    part = lambda at: F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)")
-    wrap = pow(2, 64, dim)
-    idx = (((part(1) % dim) * wrap + part(17) % dim) % dim).cast("int")
-    sign = F.when(F.conv(F.substring(h, 16, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    sums = df.select(F.col(id_).alias("id"), F.explode(grams).alias("gram")).groupBy("id", idx.alias("idx")).agg(F.sum(sign).alias("v")).where("v <> 0")
-    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, "id").select("id", "idx", (F.col("v") / F.col("norm")).alias("value"))
+    entries = _hashed(df, id_, text, dim).select("id", F.explode(F.arrays_zip("idx", "value")).alias("e"))
+    return entries.select("id", "e.idx", "e.value")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, dense, fusion, grounding, query, sparse
 from ..operators import context as ctx
+from ..operators.ranking import META
 from ..operators.review import review
 from ..sources import stores
 from ..sources.tables import written
 from . import catalog as cat
-from . import retrieval
+from . import evaluation, retrieval
 from .catalog import register, table
 from .config import load, merge
 
@@ -29,7 +30,7 @@ def passages(spark, sf_dir: str) -> DataFrame:
     def make():
         origin = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("lang").alias("title"), F.col("source").alias("authority"))
         made = chunking.chunk(cat.paged(spark, sf_dir), "fixed", WINDOWS).join(origin, "document_id")
-        return written(made.withColumn("id", F.col("chunk_id")).withColumn("publication_date", F.lit(None).cast("date")), "passages")
+        return written(made.withColumn("id", F.col("chunk_id")).withColumns({"publication_date": F.lit(None).cast("date"), "document_type": F.lit(None).cast("string")}), "passages")
 
     return cat.once(spark, sf_dir, "passages", make)
 
@@ -37,11 +38,12 @@ def passages(spark, sf_dir: str) -> DataFrame:
 def hybrid_retriever(spark, sf_dir: str, settings: dict) -> retrieval.Retriever:
     """BM25 over index texts and hashing vectors of the chunks, fused."""
     p = passages(spark, sf_dir)
-    index = cat.once(spark, sf_dir, "passage index", lambda: sparse.build(p, "id", tx.index_text(F.col("text"), F.col("section"))))
-    vectors = cat.once(spark, sf_dir, "passage vectors", lambda: written(dense.hashed_vectors(p, "id", F.col("text")), "vectors"))
+    index = cat.once(spark, sf_dir, "passage index", lambda: sparse.build(p, "id", tx.index_text(F.col("text"), F.col("section")), meta=True))
+    vectors = cat.once(spark, sf_dir, "passage vectors", lambda: written(dense.hashed_vectors(p, "id", F.col("text")).join(p.select("id", *META), "id"), "vectors"))
 
     def by_vector(queries: DataFrame, k: int) -> DataFrame:
-        return dense.search(vectors, dense.hashed_vectors(queries, "query_id", F.col("text")).withColumnRenamed("id", "query_id"), k)
+        asked = dense.hashed_vectors(queries, "query_id", F.col("text")).withColumnRenamed("id", "query_id")
+        return dense.search(vectors, asked.join(queries.select("query_id", "filter"), "query_id") if "filter" in queries.columns else asked, k)
 
     r = settings["retrieval"]
     return retrieval.hybrid(by_vector, lambda q, k: sparse.search(index, q, k), r["dense_top_k"], r["sparse_top_k"], r["rrf_k"], (r["dense_weight"], r["sparse_weight"]))
@@ -101,13 +103,13 @@ def context_sql(src: str, out: str, budget: int, per_document: int) -> str:
 {out} AS (SELECT * FROM {out}_c QUALIFY r = max(r) OVER (PARTITION BY query_id))"""
 
 
-def answer_sql(src: str, context: str, out: str) -> str:
+def answer_sql(src: str, context: str, out: str, asked: str = "benchmark") -> str:
     """(query_id, answer, insufficient, citations, invalid, context_tokens): the extractive model on the shown hits."""
     return f"""{out}_s AS (SELECT h.query_id, rank, h.id, h.text, round(len(list_intersect({cat._CW.format(t='q.text')}, {cat._CW.format(t='h.text')})) / greatest(len({cat._CW.format(t='q.text')}), 1), 6) AS share
-  FROM {src} h JOIN {context} c ON c.query_id = h.query_id AND list_contains(c.ids, h.id) JOIN benchmark q ON q.item_id = h.query_id),
+  FROM {src} h JOIN {context} c ON c.query_id = h.query_id AND list_contains(c.ids, h.id) JOIN {asked} q ON q.item_id = h.query_id),
 {out}_b AS (SELECT *, share >= 0.3 AS enough, {_STRIP.format(t='text')} AS t FROM {out}_s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY share DESC, rank) = 1),
 {out} AS (SELECT item_id AS query_id, CASE WHEN enough THEN substr(CASE WHEN regexp_matches(t, '[.;]\\s') THEN regexp_extract(t, '^(.*?[.;])\\s', 1, 's') ELSE t END, 1, 400) ELSE '{grounding.INSUFFICIENT}' END AS answer, NOT coalesce(enough, false) AS insufficient,
-  CASE WHEN enough THEN id ELSE '' END AS citations, '' AS invalid, coalesce(c.used, 0) AS context_tokens FROM benchmark LEFT JOIN {out}_b b ON b.query_id = item_id LEFT JOIN {context} c ON c.query_id = item_id)"""
+  CASE WHEN enough THEN id ELSE '' END AS citations, '' AS invalid, coalesce(c.used, 0) AS context_tokens FROM {asked} LEFT JOIN {out}_b b ON b.query_id = item_id LEFT JOIN {context} c ON c.query_id = item_id)"""
 
 
 _ANSWER_COLUMNS = "query_id, answer, insufficient, coalesce(citations, '') AS citations, invalid, context_tokens"
@@ -157,6 +159,118 @@ def answered_chunks(spark, sf_dir):
     return _flat(retrieval.answer_questions(q, hybrid_retriever(spark, sf_dir, settings), p, settings))
 
 
+# ---- questions that name sources and documents
+
+
+PATTERNS = {"documents": {f"d{i}": rf"\bpaper {i}\b" for i in range(40)}, "authorities": {f"src{i}": rf"\bsrc{i}\b" for i in range(20)}}
+_ASKED = "asked_items AS MATERIALIZED (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' src' || item_id % 20 WHEN 1 THEN ' paper ' || item_id % 40 ELSE '' END AS text FROM benchmark)"
+
+
+def _named_questions(spark, sf_dir) -> DataFrame:
+    """Benchmark items of which a quarter names a source and a quarter a document; every eighth has an explicit filter, too."""
+    i = F.col("query_id")
+    named = F.when(i % 4 == 0, F.concat(F.lit(" src"), (i % 20).cast("string"))).when(i % 4 == 1, F.concat(F.lit(" paper "), (i % 40).cast("string"))).otherwise("")
+    none = F.array().cast("array<string>")
+    explicit = F.struct(F.array(F.lit("src1"), F.lit("src2")).alias("authority"), none.alias("document_type"), none.alias("document_id"), F.lit(None).cast("date").alias("gte"), F.lit(None).cast("date").alias("lte"))
+    return cat._bench(spark, sf_dir).select("query_id", F.concat("text", named).alias("text"), F.when(i % 8 == 4, explicit).alias("filter"))
+
+
+_FILTERED = f"""{_ASKED}, {_PASSAGES}, places AS MATERIALIZED (SELECT p.*, d.source AS authority FROM passages p JOIN documents d ON 'd' || d.doc_id = p.document_id),
+{cat.bm25_sql("(SELECT id, text || ' ' || coalesce(section, '') AS text FROM passages)", "id", "asked_items")}, {cat.hashed_sql("ph", "passages", "id")}, {cat.hashed_sql("qh", "(SELECT item_id AS id, text FROM asked_items)", "id")},
+dots AS (SELECT q.id AS query_id, p.id AS id, sum(q.value * p.value) AS dot FROM qh q JOIN ph p USING (idx) GROUP BY ALL),
+near AS (SELECT b.item_id AS query_id, p.id, round(coalesce(dot, 0.0), 6) AS score FROM benchmark b CROSS JOIN passages p LEFT JOIN dots ON dots.query_id = b.item_id AND dots.id = p.id),
+ways AS (SELECT item_id, 1000000 + item_id AS query_id, CASE WHEN item_id % 8 = 4 THEN ['src1', 'src2'] END AS a, CAST(NULL AS VARCHAR) AS d FROM benchmark UNION ALL
+  SELECT item_id, item_id, CASE WHEN item_id % 4 = 0 THEN ['src' || item_id % 20] END, CASE WHEN item_id % 4 = 1 THEN 'd' || item_id % 40 END FROM benchmark WHERE item_id % 8 = 0 OR item_id % 4 = 1),
+open_near AS (SELECT w.query_id, n.id, n.score FROM ways w JOIN near n ON n.query_id = w.item_id JOIN places p ON p.id = n.id WHERE (w.a IS NULL OR list_contains(w.a, p.authority)) AND (w.d IS NULL OR w.d = p.document_id)),
+open_bm AS (SELECT w.query_id, n.id, n.score FROM ways w JOIN scored n ON n.query_id = w.item_id JOIN places p ON p.id = n.id WHERE (w.a IS NULL OR list_contains(w.a, p.authority)) AND (w.d IS NULL OR w.d = p.document_id)),
+lists AS (SELECT query_id, 0 AS list_no, rank, id FROM {cat._top(20, 'open_near', 'true')} UNION ALL SELECT query_id, 1, rank, id FROM {cat._top(20, 'open_bm')}),
+fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY ALL),
+hits AS MATERIALIZED (SELECT f.query_id, CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, seen) AS INT) AS rank, id, text, document_id, page_start, page_end, authority FROM fused f JOIN places USING (id) QUALIFY rank <= 8),
+{dedup_sql('hits', 'one', 0.9)},
+listed AS (SELECT query_id % 1000000 AS item_id, query_id >= 1000000 AS is_open, rank, id, document_id, authority FROM one),
+inferred AS (SELECT item_id, a, d FROM ways WHERE query_id < 1000000),
+turns AS (SELECT item_id, id, min(rank * 2 + CAST(is_open AS INT)) AS slot FROM listed WHERE is_open OR item_id IN (SELECT item_id FROM inferred) GROUP BY ALL),
+moved AS (SELECT b.item_id, id, rank, CASE WHEN i.item_id IS NOT NULL AND (i.a IS NULL OR list_contains(i.a, authority)) AND (i.d IS NULL OR i.d = document_id) THEN rank - 5 ELSE rank END AS place FROM listed b LEFT JOIN inferred i USING (item_id) WHERE is_open)"""
+
+
+@register(
+    f"""WITH RECURSIVE {_FILTERED} SELECT 'restrict' AS mode, item_id AS query_id, rank, id FROM listed WHERE is_open = (item_id NOT IN (SELECT item_id FROM inferred))
+  UNION ALL SELECT 'boost', item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY place, rank) AS INT), id FROM moved
+  UNION ALL SELECT 'restrict_with_fallback', item_id, CAST(row_number() OVER w AS INT), id FROM turns WINDOW w AS (PARTITION BY item_id ORDER BY slot) QUALIFY row_number() OVER w <= 8"""
+)
+def filtered_chunks(spark, sf_dir):
+    """Hybrid search over chunks under explicit and inferred filters, in the three modes."""
+    q, p, parts = _named_questions(spark, sf_dir), passages(spark, sf_dir), []
+    for mode in retrieval.MODES:
+        settings = merge(load(env={}), {"retrieval": {"filter_mode": mode}})
+        found = retrieval.Search(q, hybrid_retriever(spark, sf_dir, settings), p, settings, patterns=PATTERNS)
+        parts.append(found.hits().select(F.lit(mode).alias("mode"), "query_id", "rank", "id"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# ---- an ablation: dense, sparse and hybrid search, the last two over texts with a contextual header
+
+
+_TRUTH = f"""truth AS MATERIALIZED (SELECT item_id AS query_id, 'd' || id AS document_id, CASE WHEN item_id % 3 = 1 THEN p END AS page FROM (SELECT t.query_id AS item_id, t.id, t.rank FROM (WITH {cat._BM25} SELECT * FROM {cat._top(2)}) t), (VALUES (1), (2)) v(p)
+  WHERE (item_id % 3 = 0 AND rank = 1 OR item_id % 3 = 1 AND rank = 2) AND item_id % 5 <> 0 GROUP BY ALL UNION ALL SELECT item_id, 'd' || item_id, NULL FROM benchmark WHERE item_id % 3 = 2 AND item_id % 5 <> 0)"""
+_HEADED = "(SELECT p.id, d.source || ' — ' || d.lang || CASE WHEN coalesce(section, '') <> '' THEN ' — ' || section ELSE '' END || chr(10) || p.text AS text FROM passages p JOIN documents d ON 'd' || d.doc_id = p.document_id)"
+
+
+def _dots(name: str, src: str) -> str:
+    return f"""{cat.hashed_sql(name + 'h', src, 'id')}, {name}d AS (SELECT q.id AS query_id, p.id AS id, sum(q.value * p.value) AS dot FROM qh q JOIN {name}h p USING (idx) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT b.item_id AS query_id, p.id, round(coalesce(dot, 0.0), 6) AS score FROM benchmark b CROSS JOIN passages p LEFT JOIN {name}d d ON d.query_id = b.item_id AND d.id = p.id)"""
+
+
+_STEPS = f"""{_ASKED}, {_PASSAGES}, {_TRUTH}, headed AS {_HEADED}, {cat.bm25_sql('headed', 'id', 'asked_items')}, {cat.hashed_sql("qh", "(SELECT item_id AS id, text FROM asked_items)", "id")}, {_dots('plain_near', 'passages')}, {_dots('head_near', 'headed')},
+lists AS (SELECT query_id, 0 AS list_no, rank, id FROM {cat._top(20, 'head_near', 'true')} UNION ALL SELECT query_id, 1, rank, id FROM {cat._top(20)}),
+fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY ALL),
+stepped AS (SELECT query_id, rank, id FROM {cat._top(10, 'plain_near', 'true')} UNION ALL SELECT 1000000 + query_id, rank, id FROM {cat._top(10)} UNION ALL SELECT 2000000 + query_id, CAST(row_number() OVER w AS INT), id FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, seen) QUALIFY row_number() OVER w <= 10),
+hits AS MATERIALIZED (SELECT s.query_id, s.rank, s.rank AS was, s.id, p.text, p.document_id, p.page_start, p.page_end, p.section, d.lang AS title, d.source AS authority FROM stepped s JOIN passages p USING (id) JOIN documents d ON 'd' || d.doc_id = p.document_id),
+{dedup_sql('hits', 'one', 0.9)},
+shown AS MATERIALIZED (SELECT * FROM one WHERE was <= 8),
+questions AS (SELECT s * 1000000 + item_id AS item_id, text FROM asked_items, range(3) t(s)), {context_sql('shown', 'cx', 6000, 4)}, {answer_sql('shown', 'cx', 'an', 'questions')},
+cv AS (SELECT h.query_id, h.rank, t.document_id || coalesce('#' || page, '') AS unit FROM one h JOIN truth t ON t.query_id = h.query_id % 1000000 AND t.document_id = h.document_id WHERE page IS NULL OR page BETWEEN page_start AND page_end),
+sz AS (SELECT query_id, count(*) AS n, list(DISTINCT document_id) AS docs FROM truth GROUP BY 1),
+fi AS (SELECT query_id, unit, min(rank) AS first FROM cv GROUP BY 1, 2),
+g AS (SELECT query_id, count(*) FILTER (first <= 1) AS u1, count(*) FILTER (first <= 5) AS u5, count(*) FILTER (first <= 10) AS u10, min(first) AS best, list(DISTINCT first) AS firsts FROM fi GROUP BY 1),
+pr AS (SELECT query_id, count(DISTINCT rank) FILTER (rank <= 3) AS r3 FROM cv GROUP BY 1),
+per AS (SELECT a.query_id // 1000000 AS step, i % 5 <> 0 AS answerable, CASE WHEN i % 2 = 0 THEN 'factual' ELSE 'ambiguous' END AS question_type, CASE WHEN i % 4 < 2 THEN 'names_document_or_authority' ELSE 'no_explicit_reference' END AS reference,
+  CASE WHEN i % 5 <> 0 THEN round(CASE WHEN n > 0 THEN coalesce(u1, 0) / n ELSE 0.0 END, 6) END AS recall_1, CASE WHEN i % 5 <> 0 THEN round(CASE WHEN n > 0 THEN coalesce(u5, 0) / n ELSE 0.0 END, 6) END AS recall_5, CASE WHEN i % 5 <> 0 THEN round(CASE WHEN n > 0 THEN coalesce(u10, 0) / n ELSE 0.0 END, 6) END AS recall_10,
+  CASE WHEN i % 5 <> 0 THEN round(coalesce(r3, 0) / 3, 6) END AS precision_3, CASE WHEN i % 5 <> 0 THEN round(coalesce(1 / best, 0.0), 6) END AS mrr,
+  CASE WHEN i % 5 <> 0 THEN round(coalesce(list_sum(list_transform(list_sort(firsts), lambda x: 1 / log2(x + 1))) / (SELECT sum(1 / log2(k + 1)) FROM range(1, 11) t(k) WHERE k <= n), 0.0), 6) END AS ndcg_10,
+  CASE WHEN i % 5 <> 0 THEN CASE WHEN c.document_id IS NOT NULL AND EXISTS (SELECT 1 FROM truth t WHERE t.query_id = i AND t.document_id = c.document_id AND (page IS NULL OR page BETWEEN c.page_start AND c.page_end)) THEN 1.0 ELSE 0.0 END END AS citation_correctness,
+  CASE WHEN i % 5 <> 0 THEN coalesce(CAST(list_contains(docs, c.document_id) AS INT), 0) / greatest(coalesce(len(docs), 1), 1) END AS citation_completeness,
+  CASE WHEN i % 5 <> 0 THEN CAST(NOT insufficient AS DOUBLE) END AS answerable_success, CASE WHEN i % 5 = 0 THEN CAST(insufficient AS DOUBLE) END AS abstention_accuracy,
+  context_tokens + len({_WS.format(t='q.text')}) AS prompt_tokens, len({_WS.format(t='answer')}) AS completion_tokens
+  FROM (SELECT *, query_id % 1000000 AS i FROM an) a JOIN questions q ON q.item_id = a.query_id LEFT JOIN sz ON sz.query_id = i LEFT JOIN g ON g.query_id = a.query_id LEFT JOIN pr ON pr.query_id = a.query_id LEFT JOIN one c ON c.query_id = a.query_id AND c.id = a.citations)"""
+_SHOWN = ["recall_1", "recall_5", "recall_10", "precision_3", "mrr", "ndcg_10", "citation_correctness", "citation_completeness", "answerable_success", "abstention_accuracy"]
+_SUMS = ["prompt_tokens", "completion_tokens"]
+
+
+@register(
+    f"""WITH RECURSIVE {_STEPS} SELECT CAST(step AS INT) AS step, question_type, reference, count(*) AS n, count(*) FILTER (answerable) AS answerable, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _SHOWN)},
+  {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _SUMS)} FROM per GROUP BY GROUPING SETS ((step), (step, question_type), (step, reference))"""
+)
+def ablation_steps(spark, sf_dir):
+    """Three steps over the same chunks, from the search to the means by type and reference; the best documents of a search over whole documents
+    are the truth of most items."""
+    origin = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("lang").alias("title"), F.col("source").alias("authority"), F.lit(None).cast("date").alias("publication_date"))
+    corpus = cat.once(spark, sf_dir, "ablation", lambda: evaluation.Corpus(cat.paged(spark, sf_dir), origin))
+    i, none = F.col("query_id"), F.array().cast("array<string>")
+    best = sparse.search(cat._index(spark, sf_dir), cat._bench(spark, sf_dir), 2).select("query_id", "rank", F.concat(F.lit("d"), F.col("id").cast("string")).alias("d"))
+    first = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("one"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("two"))
+    pages = F.when((i % 3 == 1) & F.col("two").isNotNull(), F.array(F.struct(F.col("two").alias("document_id"), F.array(F.lit(1), F.lit(2)).alias("pages"))))
+    whole = F.when((i % 3 == 0) & F.col("one").isNotNull(), F.array("one")).when(i % 3 == 2, F.array(F.concat(F.lit("d"), i.cast("string")))).otherwise(none)
+    items = _named_questions(spark, sf_dir).drop("filter").join(first, "query_id", "left").select(
+        "query_id", "text", (i % 5 != 0).alias("answerable"), F.coalesce(pages, F.array().cast("array<struct<document_id: string, pages: array<int>>>")).alias("evidence"), whole.alias("documents"), none.alias("ids"), F.when(i % 2 == 0, "factual").otherwise("ambiguous").alias("question_type")
+    )
+    base = merge(load(env={}), {"chunking": {"strategy": "fixed", "max_tokens": WINDOWS.max_tokens, "overlap": WINDOWS.overlap, "child_tokens": WINDOWS.child_tokens}, "retrieval": {"infer_filters": False}})
+    headed = {"chunking": {"contextual_header": True}}
+    steps = {"dense": {"retrieval": {"type": "dense"}}, "bm25 with header": {"retrieval": {"type": "bm25"}} | headed, "hybrid with header": headed}
+    out = evaluation.ablation(items, corpus, base, steps=steps, patterns=PATTERNS)
+    return out.select("step", "question_type", "reference", "n", "answerable", *_SHOWN, *_SUMS)
+
+
 # ---- vectors under a metadata filter
 
 
