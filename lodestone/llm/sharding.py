@@ -29,7 +29,8 @@ ROW_OVERHEAD = 8
 KEY_BITS, FIRST_BITS, NEXT_BITS = 62, 12, 8
 TOLERANCE = 0.0005  # of a shard's bytes
 PARTS_PER_SHARD = 8  # sub-ranges of near equal bytes, whose splitters are found
-ROWS_PER_TASK = 1_000_000  # that are sorted and numbered at once: a sub-range of more is cut evenly by key
+ROWS_PER_TASK = 1_000_000  # that are sorted and numbered at once: a sub-range of more is cut by counted rows
+ROWS_TOLERANCE = 0.25  # of these rows
 
 
 def find_splitters(rows: DataFrame, targets: list[float], tolerance: float) -> list[int]:
@@ -67,6 +68,21 @@ def find_splitters(rows: DataFrame, targets: list[float], tolerance: float) -> l
 
 def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS_PER_SHARD, tolerance: float = TOLERANCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(key, size, text_crc32, shard, slot): shards are contiguous in sort order and near equal in bytes."""
+    placed = windows_of(docs, shards, key, text, parts, tolerance, rows_per_task)
+    # Where each cut starts in its shard: a count for each ROWS_PER_TASK rows or so.
+    starts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("shard", "part").orderBy("k", "id")
+    return (
+        placed.withColumn("slot", F.row_number().over(order) - 1)
+        .join(broadcast_if_small(starts), ["shard", "part"])
+        .select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("slot")).cast("long").alias("slot"))
+    )
+
+
+def windows_of(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS_PER_SHARD, tolerance: float = TOLERANCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(id, size, crc, k, shard, part): rows with the window that a task sorts, of about rows_per_task rows at most."""
     body = F.coalesce(column(text), F.lit(""))
     crc = F.crc32(body.cast("binary"))
     row = F.pmod(F.xxhash64(column(key), F.monotonically_increasing_id()), F.lit(1 << 31))
@@ -80,8 +96,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         ),
         "shard-rows",
     )
-    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    total = total or 0
+    total = rows.agg(F.sum("size")).first()[0] or 0
     targets = [total * i / (shards * parts) for i in range(1, shards * parts)]
     splitters = find_splitters(rows, targets, tolerance * total / shards)
     for i in range(1, len(splitters)):
@@ -93,23 +108,23 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     outer = F.array(*[F.lit(s).cast("long") for s in splitters[parts - 1 :: parts]]) if shards > 1 else F.array().cast("array<long>")
     inner = F.array(*[F.array(*[F.lit(s).cast("long") for s in splitters[i * parts : i * parts + parts - 1]]) for i in range(shards)])
     placed = rows.withColumn("shard", count_below(outer)).withColumn("part", count_below(F.element_at(inner, F.col("shard") + 1)) if parts > 1 else F.lit(0))
-    # Keys are spread evenly but for groups of copies, which the splitters have cut already: even cuts of a sub-range hold about as many rows each.
-    cuts = max(1, -(-count // (shards * parts * rows_per_task)))
-    edges = F.array(*[F.lit(x).cast("long") for x in (0, *splitters, 1 << KEY_BITS)])
-    at = F.col("shard") * parts + F.col("part") + 1
-    low, high = F.element_at(edges, at), F.element_at(edges, at + 1)
-    cut = F.least(F.floor((F.col("k") - low) / F.greatest((high - low) / F.lit(cuts), F.lit(1.0))), F.lit(cuts - 1)).cast("int")
-    placed = placed.withColumn("part", F.col("part") * cuts + cut)
-    # Where each cut starts in its shard: a count for each ROWS_PER_TASK rows or so.
-    starts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("shard", "part").orderBy("k", "id")
-    return (
-        placed.withColumn("slot", F.row_number().over(order) - 1)
-        .join(broadcast_if_small(starts) if cuts > 1 else F.broadcast(starts), ["shard", "part"])
-        .select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("slot")).cast("long").alias("slot"))
-    )
+    # A sub-range of many rows, such as one of empty texts, is cut into as many rows each, by the same search over counts of rows.
+    counted = sorted(map(tuple, placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).collect()))
+    wanted, below = {}, 0
+    for shard, part, n in counted:
+        cuts = -(-n // rows_per_task)
+        wanted[shard, part] = [below + n * i / cuts for i in range(1, cuts)]
+        below += n
+    ends = [x for t in wanted.values() for x in t]
+    cuts = max((len(t) for t in wanted.values()), default=0) + 1
+    if ends:
+        found = iter(find_splitters(rows.select("k", F.lit(1).cast("long").alias("size")), ends, ROWS_TOLERANCE * rows_per_task))
+        inside = {at: [next(found) for _ in t] for at, t in wanted.items()}
+        none = F.array().cast("array<long>")
+        keys = F.array(*[F.array(*[F.lit(k).cast("long") for k in inside.get((i, j)) or ()]) if inside.get((i, j)) else none for i in range(shards) for j in range(parts)])
+        cut = count_below(F.element_at(keys, F.col("shard") * parts + F.col("part") + 1))
+        placed = placed.withColumn("part", F.col("part") * cuts + cut)
+    return placed
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

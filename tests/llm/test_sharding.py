@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from lodestone.llm.sharding import find_splitters, shard_by_bytes
+from pyspark.sql import functions as F
+
+from lodestone.llm.sharding import find_splitters, shard_by_bytes, windows_of
 
 from .conftest import frame
 
@@ -83,3 +85,21 @@ def test_empty_table(none):
 def test_no_python_in_the_plan(spark):
     plan = shard_by_bytes(frame(spark, [(1, "a"), (2, "b")]), 3)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_a_window_has_few_rows_whatever_their_texts(spark):
+    """Half of the rows are empty texts, a third are copies of one: windows are cut by counted rows all the same."""
+    rows = [(i, "" if i % 2 else "the same long text, again and again" if i % 3 else f"text {i} " * (i % 7)) for i in range(6000)]
+    docs = frame(spark, rows)
+    out = shard_by_bytes(docs, 3, parts=2, rows_per_task=50)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = out.collect()
+    for shard in range(3):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    weight = [sum(r["size"] for r in got if r.shard == s) for s in range(3)]
+    assert max(weight) - min(weight) < 0.02 * sum(weight) and len(got) == len(rows)
+    # the rows that one window task numbers: those that stand before the window in the plan, by its partition
+    sizes = [r.n for r in windows_of(docs, 3, parts=2, rows_per_task=50).groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 100
