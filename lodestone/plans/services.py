@@ -61,20 +61,20 @@ def cached_replies(spark, sf_dir):
 _ITEMS = """i AS (SELECT item_id, CAST(item_id AS VARCHAR) AS id, text, item_id % 5 <> 0 AS answerable, CASE WHEN item_id % 3 = 0 THEN ['d' || item_id, 'a' || item_id] ELSE [] END AS ev FROM benchmark)"""
 
 
-@register(f"""WITH {_ITEMS} SELECT id, answerable, CASE WHEN len(ev) > 0 THEN 'a' || item_id || ',d' || item_id WHEN item_id % 3 = 1 THEN 'given' ELSE '' END AS documents, answerable AND item_id % 3 = 2 AS rejected FROM i""")
+@register(f"""WITH {_ITEMS} SELECT id, answerable, CASE WHEN len(ev) > 0 THEN 'a' || item_id || ',d' || item_id WHEN item_id % 3 = 1 THEN 'given' ELSE '' END AS documents, concat_ws('; ', CASE WHEN answerable AND item_id % 3 = 2 THEN 'answerable without ground truth' END, CASE WHEN item_id % 7 = 0 THEN 'unknown question type' END) AS problems, CASE WHEN item_id % 7 = 0 THEN 'riddle' WHEN item_id % 7 = 1 THEN 'factual' ELSE 'terminology' END AS question_type FROM i""")
 def eval_set(spark, sf_dir):
     """Evaluation items through a JSON lines file: documents follow from evidence, items without ground truth are problems."""
     i = F.col("item_id")
     piece = lambda p: F.struct(F.concat(F.lit(p), i.cast("string")).alias("document_id"), F.array(F.lit(1), F.lit(2)).alias("pages"))
     rows = table(spark, sf_dir, "benchmark").select(
-        i.cast("string").alias("id"), F.col("text").alias("question"), (i % 5 != 0).alias("answerable"), F.lit("definition").alias("question_type"),
+        i.cast("string").alias("id"), F.col("text").alias("question"), (i % 5 != 0).alias("answerable"), F.when(i % 7 == 0, "riddle").when(i % 7 > 1, "terminology").alias("question_type"),
         F.when(i % 3 == 1, F.array(F.lit("given"))).alias("relevant_document_ids"), F.when(i % 3 == 0, F.array(piece("d"), piece("a"))).alias("relevant_evidence"),
     )
     path = f"{folder(spark)}/evalsets/{uuid.uuid4().hex}"
     stores.write_jsonl(rows, path)
     items, problems = stores.eval_items(spark, path)
-    bad = problems.select("id", F.lit(True).alias("rejected"))
-    return items.join(bad, "id", "left").select("id", "answerable", F.array_join("relevant_document_ids", ",").alias("documents"), F.coalesce("rejected", F.lit(False)).alias("rejected"))
+    bad = problems.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("problem")), "; ").alias("problems"))
+    return items.join(bad, "id", "left").select("id", "answerable", F.array_join("relevant_document_ids", ",").alias("documents"), F.coalesce("problems", F.lit("")).alias("problems"), "question_type")
 
 
 @register(f"""{_TOP5} SELECT CAST(item_id AS VARCHAR) AS request_id, text AS query, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank), '') AS retrieved, round(coalesce(sum(score), 0.0), 4) AS total, CAST(3 + item_id % 4 AS INT) AS prompt_tokens, item_id % 2 = 0 AS insufficient_evidence, round((3 + item_id % 4) * 0.15 / 1000000 + 2 * 0.6 / 1000000, 10) AS cost

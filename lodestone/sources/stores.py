@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, point_id
+from .snapshots import Snapshots
 
 CHUNK_SCHEMA = (
     "chunk_id string, document_id string, text string, title string, authority string, document_type string, section string, page_start int, page_end int, "
@@ -16,7 +17,8 @@ EVAL_SCHEMA = (
     "relevant_evidence array<struct<document_id string, pages array<int>>>, relevant_chunk_ids array<string>, reference_answer string, tags array<string>, difficulty string, validated boolean"
 )
 # Kinds of questions.
-QUESTION_TYPES = ("exact_reference", "definition", "comparison", "multi_document", "scenario", "negative", "ambiguous", "procedure")
+QUESTION_TYPES = ("factual", "multi_section", "cross_document", "terminology", "exact_reference", "ambiguous", "unanswerable", "adversarial")
+DIFFICULTIES = ("easy", "medium", "hard")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -28,14 +30,17 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def eval_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, problems(id, problem)): documents follow from the evidence; answerable items need some ground truth; ids are unique."""
-    raw = read_jsonl(spark, path, EVAL_SCHEMA)
+    """(items, problems(id, problem)): documents follow from the evidence; answerable items need some ground truth; ids are unique; kinds and
+    difficulties are known ones, factual and medium where none is given."""
+    raw = read_jsonl(spark, path, EVAL_SCHEMA).withColumns({"answerable": F.coalesce("answerable", F.lit(True)), "question_type": F.coalesce("question_type", F.lit("factual")), "difficulty": F.coalesce("difficulty", F.lit("medium"))})
     named = F.array_sort(F.array_distinct(F.transform("relevant_evidence", lambda e: e["document_id"])))
     none = F.array().cast("array<string>")
     items = raw.withColumn("relevant_document_ids", F.when(F.coalesce(F.size("relevant_document_ids"), F.lit(0)) > 0, F.col("relevant_document_ids")).otherwise(F.coalesce(named, none)))
     bare = F.col("answerable") & (F.size("relevant_document_ids") <= 0) & (F.coalesce(F.size("relevant_chunk_ids"), F.lit(0)) <= 0)
     twice = items.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit("duplicate id").alias("problem"))
-    return items, items.where(bare).select("id", F.lit("answerable without ground truth").alias("problem")).union(twice)
+    wrong = lambda on, what: items.where(on).select("id", F.lit(what).alias("problem"))
+    problems = [wrong(bare, "answerable without ground truth"), wrong(~F.col("question_type").isin(*QUESTION_TYPES), "unknown question type"), wrong(~F.col("difficulty").isin(*DIFFICULTIES), "unknown difficulty")]
+    return items, problems[0].union(problems[1]).union(problems[2]).union(twice)
 
 
 def documents(chunks: DataFrame) -> DataFrame:
@@ -51,54 +56,58 @@ def collection_name(prefix: str, strategy: str, model: str, version: int = 1, co
 
 
 class VectorTable:
-    """A collection as a Parquet table keyed by point id; the last write of an id wins."""
+    """A collection of vectors keyed by point id, in versions: the last batch that has an id wins.
+
+    Writers at the same time each keep their batch; a reader sees the version that was current when it began, and the files of the
+    version before the current one stay for such readers.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def recreate(self, rows: DataFrame) -> None:
-        """rows: chunk_id, vector and any payload.  They are written as a further batch, which may read from this collection, and
-        the batches before it are deleted then; readers in between see it win."""
-        old = self._batches()
-        new = max(old, default=-1) + 1
-        self._write(rows, new)
-        for n in old:
-            self._delete(n)
-
-    def upsert(self, rows: DataFrame) -> None:
-        """A further batch: writing appends, reading resolves.  Of rows of one id in a batch, one stays, the same in every read."""
-        self._write(rows, max(self._batches(), default=-1) + 1)
-
-    def _write(self, rows: DataFrame, no: int) -> None:
-        made = rows.withColumn("point_id", point_id(F.col("chunk_id")))
-        order = F.xxhash64(*[c for c in made.columns])
-        one = Window.partitionBy("point_id").orderBy(order)
-        made.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{self.path}/batch={no}")
-
-    def _files(self, path: str):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target, target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _batches(self) -> list[int]:
-        target, files = self._files(self.path)
-        names = [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
-        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-
-    def _delete(self, no: int) -> None:
-        target, files = self._files(f"{self.path}/batch={no}")
-        files.delete(target, True)
-
-    def _raw(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def scan(self) -> DataFrame:
-        return last_write(self._raw(), "point_id", "batch").drop("batch")
-
-    def count(self) -> int:
-        return self._raw().select("point_id").distinct().count()
+        self.versions = Snapshots(spark, path)
+
+    def recreate(self, rows: DataFrame) -> int:
+        """A version of these rows alone: chunk_id, vector and any payload.  They may be read from this collection."""
+        batch = self._write(rows)
+        version = self.versions.commit(lambda old: [batch])
+        self.versions.expire()
+        return version
+
+    def upsert(self, rows: DataFrame) -> int:
+        """A version with a further batch.  Of rows of one id in a batch, one stays, the same in every read."""
+        batch = self._write(rows)
+        return self.versions.commit(lambda old: [*old, batch])
+
+    def compact(self) -> int:
+        """A version of the same rows in one batch, which reads without a shuffle.  Changed is raised if others wrote meanwhile."""
+        version, _ = self.versions.entries()
+        batch = self._write(self.scan(version))
+        return self.versions.commit(lambda old: [batch], version)
+
+    def _write(self, rows: DataFrame) -> dict:
+        made = rows.drop("point_id").withColumn("point_id", point_id(F.col("chunk_id")))
+        one = Window.partitionBy("point_id").orderBy(F.xxhash64(*made.columns))
+        name = self.versions.new_name()
+        made.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").write.parquet(self.versions.batch(name))
+        return {"name": name}
+
+    def scan(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, the current one if none is named."""
+        _, entries = self.versions.entries(version)
+        if not entries:
+            raise ValueError(f"{self.versions.path}: no version was committed")
+        paths = [self.versions.batch(e["name"]) for e in entries]
+        if len(paths) == 1:
+            return self.spark.read.parquet(*paths)
+        rows = self.spark.read.option("basePath", f"{self.versions.path}/data").option("mergeSchema", "true").parquet(*paths)
+        order = self.spark.createDataFrame([(e["name"], i) for i, e in enumerate(entries)], "batch string, _order int")
+        return last_write(rows.join(F.broadcast(order), "batch"), "point_id", "_order").drop("batch", "_order")
+
+    def count(self, version: int | None = None) -> int:
+        return self.scan(version).select("point_id").count()
 
     def healthy(self) -> bool:
-        return bool(self._batches())
+        return bool(self.versions.entries()[1])
 
 
 def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -1,11 +1,16 @@
 import json
 import os
+import random
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import postings, sparse
 from lodestone.sources import stores
+from lodestone.sources.snapshots import Changed
 from lodestone.streaming import traces
 
 
@@ -25,6 +30,56 @@ def test_vector_table(spark, tmp_path):
     assert {tuple(r.vector) for r in t.scan().collect()} == seen
 
 
+def test_writers_at_once_and_readers_of_a_version(spark, tmp_path):
+    t = stores.VectorTable(spark, str(tmp_path / "c"))
+    batch = lambda i: spark.createDataFrame([(f"k{i}", [float(i)]), ("shared", [float(i)])], "chunk_id string, vector array<double>")
+    t.recreate(batch(0))
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda i: stores.VectorTable(spark, t.path).upsert(batch(i)), range(1, 7)))
+    assert sorted(versions) == list(range(2, 8))  # none lost, none overwritten
+    assert {r.chunk_id for r in t.scan().collect()} == {"shared", *(f"k{i}" for i in range(7))}
+    last = versions.index(7) + 1
+    assert t.scan().where("chunk_id = 'shared'").first().vector == [float(last)]
+    reader = t.scan()
+    t.recreate(batch(9))
+    assert reader.count() == 8 and t.count() == 2  # a reader keeps the version that it began with
+    assert t.scan(7).count() == 8
+    t.upsert(batch(10))
+    t.compact()
+    assert t.count() == 3 and len(t.versions.entries()[1]) == 1
+    old = t.versions.entries()[0]
+    t.upsert(batch(11))
+    with pytest.raises(Changed):
+        t.versions.commit(lambda entries: entries, old)
+
+
+def test_postings_equal_the_scan(spark, tmp_path):
+    rnd = random.Random(2)
+    words = [a + b for a in ("ka", "lo", "mi", "ru", "se") for b in ("na", "ti", "po", "dde", "x", "qui")]
+    text = lambda: " ".join(rnd.choice(words) if rnd.random() < 0.7 else "common" for _ in range(rnd.choice([0, 1, 5, 30])))
+    first = [(i, text()) for i in range(300)] + [(None, "ka lona"), (7000, None)]
+    second = [(i, text()) for i in range(250, 420)]  # fifty of the first take new texts
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = postings.Postings(spark, str(tmp_path / "i"), run_documents=20)
+    index.add(frame(first), "doc_id", F.col("text"))
+    index.add(frame(second), "doc_id", F.col("text"))
+    index.remove(spark.createDataFrame([(i,) for i in range(0, 400, 9)] + [(99999,)], "id long"))
+    left = [(i, t) for i, t in first if i is None or i >= 7000 or i < 250] + second
+    left = [(i, t) for i, t in left if not (i is not None and i < 400 and i % 9 == 0)]
+    plain = sparse.build(frame(left), "doc_id", F.col("text"))
+    assert index.index().size == plain.size == len(left) and abs(index.index().mean_length - plain.mean_length) < 1e-12
+    stats = lambda x: {r.term: (r.df, round(r.idf, 9)) for r in x.terms.collect()}
+    assert stats(index.index()) == stats(plain)
+    q = spark.createDataFrame([(1, "kana lona lona"), (2, "common"), (3, "mipo sex nothing"), (4, ""), (5, "absent"), (6, " ".join(words))], "query_id int, text string")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    for k in (1, 3, 50):
+        assert rows(index.search(q, k)) == rows(sparse.search(plain, q, k))
+    # a search lists and reads the folders of its terms alone
+    one = [x[0] for x in spark.createDataFrame([("kana",)], "t string").select(postings.bucket_of(F.col("t"))).collect()]
+    files = index.blocks(one).inputFiles()
+    assert files and all(f"/bucket={one[0]}/" in f for f in files) and len(files) < len(index.blocks(list(range(postings.BUCKETS))).inputFiles()) / 5
+
+
 def test_cache_computes_misses_once(spark):
     rows = spark.createDataFrame([("x",), ("y",), ("y",)], "text string")
     cache = rows.where("text = 'x'").select(stores.cache_key(F.lit("m"), F.col("text")).alias("key"), F.lit(7).alias("value"))
@@ -35,12 +90,13 @@ def test_cache_computes_misses_once(spark):
 def test_eval_items(spark, tmp_path):
     rows = [
         {"id": "1", "question": "q", "answerable": True, "relevant_evidence": [{"document_id": "b", "pages": [1]}, {"document_id": "a", "pages": [2]}, {"document_id": "b", "pages": [3]}]},
-        {"id": "2", "question": "q", "answerable": True}, {"id": "3", "question": "q", "answerable": False}, {"id": "3", "question": "q", "answerable": False},
+        {"id": "2", "question": "q", "answerable": True}, {"id": "4", "question": "q", "answerable": False, "question_type": "riddle", "difficulty": "odd"}, {"id": "3", "question": "q", "answerable": False}, {"id": "3", "question": "q", "answerable": False},
     ]
     (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, rows)))
     items, problems = stores.eval_items(spark, str(tmp_path / "e.jsonl"))
     assert items.where("id = '1'").first().relevant_document_ids == ["a", "b"]
-    assert {(r.id, r.problem) for r in problems.collect()} == {("2", "answerable without ground truth"), ("3", "duplicate id")}
+    assert {(r.id, r.problem) for r in problems.collect()} == {("2", "answerable without ground truth"), ("3", "duplicate id"), ("4", "unknown question type"), ("4", "unknown difficulty")}
+    assert items.where("id = '1'").first().question_type == "factual"
 
 
 def test_jsonl_and_listing(spark, tmp_path):
