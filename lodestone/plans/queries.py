@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import passages, services  # noqa: F401  they register their queries
+from . import indexes, passages, services  # noqa: F401  they register their queries
 from .catalog import QUERIES
 
 __all__ = ["QUERIES"]
