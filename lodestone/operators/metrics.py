@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sized import broadcast_if_small
 from ..sources.tables import written
+from .intervals import overlapping
 
 KS = (1, 3, 5, 10)
 DEPTH = 10
@@ -26,8 +27,9 @@ def evidence_units(items: DataFrame) -> DataFrame:
 
 def cover(hits: DataFrame, units: DataFrame) -> DataFrame:
     """(query_id, rank, unit) of each unit (query_id, unit, document_id, page) that a hit's document and pages cover."""
-    both = hits.select("query_id", "rank", "document_id", "page_start", "page_end").join(units, ["query_id", "document_id"])
-    return both.where(F.col("page").isNull() | F.col("page").between(F.col("page_start"), F.col("page_end"))).select("query_id", "rank", "unit")
+    places = hits.select("query_id", "rank", "document_id", "page_start", "page_end")
+    paged = overlapping(places, units.where("page IS NOT NULL").withColumn("_last", F.col("page")), ["query_id", "document_id"], ("page_start", "page_end"), ("page", "_last"))
+    return paged.select("query_id", "rank", "unit").union(places.join(units.where("page IS NULL"), ["query_id", "document_id"]).select("query_id", "rank", "unit"))
 
 
 def relevance(hits: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, sparse_tokens, squash
+from .intervals import overlapping
 from .sparse import EPSILON
 
 
@@ -43,8 +44,8 @@ def review(items: DataFrame, chunks: DataFrame, k: int = 2) -> DataFrame:
     items: query_id, question, evidence (array of document_id, pages).
     """
     ev = items.select("query_id", "question", F.explode("evidence").alias("e")).select("query_id", "question", "e.document_id", F.array_min("e.pages").alias("lo"), F.array_max("e.pages").alias("hi"))
-    near = ev.join(chunks, "document_id").where("page_start <= hi AND page_end >= lo")
+    near = overlapping(ev, chunks, ["document_id"], ("lo", "hi"), ("page_start", "page_end"))
     text = F.concat(F.coalesce("section", F.lit("")), F.lit(" "), "text")
     ranked = local_bm25(near.select("query_id", "document_id", "lo", F.col("chunk_id").alias("id"), text.alias("text"), F.col("question").alias("query")), ["query_id", "document_id", "lo"], k)
-    shown = near.select("query_id", "document_id", "lo", F.col("chunk_id").alias("id"), best_window(F.col("text"), F.col("question")).alias("excerpt"))
-    return ranked.join(shown, ["query_id", "document_id", "lo", "id"]).select("query_id", "document_id", "rank", "id", "score", "excerpt")
+    shown = ranked.join(near.select("query_id", "document_id", "lo", F.col("chunk_id").alias("id"), "text", "question"), ["query_id", "document_id", "lo", "id"])
+    return shown.select("query_id", "document_id", "rank", "id", "score", best_window(F.col("text"), F.col("question")).alias("excerpt"))
