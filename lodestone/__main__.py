@@ -1,6 +1,6 @@
 """python -m lodestone COMMAND: the plans on tables of documents(doc_id, text) and queries(item_id, text).
 
-chunk and report read documents; search, ask, eval and ablation read queries too, eval and ablation with any of the columns
+ingest puts documents into a collection and appends its report there; ask reads one with --collection.  chunk and report read documents; search, ask, eval and ablation read queries too, eval and ablation with any of the columns
 answerable, evidence, documents and ids that they have.
 """
 
@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMANDS = ("chunk", "search", "ask", "eval", "ablation", "report")
+COMMANDS = ("ingest", "chunk", "search", "ask", "eval", "ablation", "report")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -31,12 +31,16 @@ def _items(queries: DataFrame) -> DataFrame:
 
 def main(args: list[str] | None = None) -> None:
     from .operators import chunking, sparse, validation
-    from .plans import evaluation, retrieval
+    from .plans import evaluation, ingestion, retrieval
     from .plans.config import load, merge
+    from .sources.stores import write_jsonl
 
     p = argparse.ArgumentParser(prog="lodestone", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("command", choices=COMMANDS)
-    p.add_argument("--documents", required=True)
+    p.add_argument("--documents")
+    p.add_argument("--collection", help="folder that ingest writes and ask may read")
+    p.add_argument("--authority", nargs="*", help="an explicit filter of ask")
+    p.add_argument("--traces", help="folder to which ask appends a trace of each question")
     p.add_argument("--queries")
     p.add_argument("--out")
     p.add_argument("--report", help="folder for the means and rows of an evaluation as JSON lines")
@@ -46,20 +50,38 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--steps", nargs="*", choices=tuple(evaluation.STEPS))
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    docs = spark.read.parquet(a.documents)
+    if not a.documents and not (a.command == "ask" and a.collection):
+        p.error(f"{a.command} needs --documents")
+    docs = spark.read.parquet(a.documents) if a.documents else None
     settings = merge(load(a.config), {"chunking": {"strategy": a.strategy}} if a.strategy else {})
     if a.command in ("search", "ask", "eval", "ablation") and not a.queries:
         p.error(f"{a.command} needs --queries")
     queries = spark.read.parquet(a.queries) if a.queries else None
-    corpus = evaluation.Corpus(_documents(docs), _origin(docs))
-    if a.command == "chunk":
+    corpus = evaluation.Corpus(_documents(docs), _origin(docs)) if docs is not None else None
+    if a.command == "ingest":
+        if not a.collection:
+            p.error("ingest needs --collection")
+        pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
+        out = ingestion.ingest(pages, _origin(docs).join(docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("doc_order")), "document_id"), settings, ingestion.Collection(spark, a.collection))[1]
+        ingestion.save_report(out, settings, a.collection)
+    elif a.command == "chunk":
         c = settings["chunking"]
         out = chunking.chunk(_documents(docs), c["strategy"], chunking.Sizes(c["max_tokens"], c["overlap"], c["child_tokens"]))
     elif a.command == "search":
         index = sparse.build(docs, "doc_id", F.col("text"))
         out = sparse.search(index, queries.select(F.col("item_id").alias("query_id"), "text"), a.top_k)
     elif a.command == "ask":
-        out = retrieval.answer_questions(queries.select(F.col("item_id").alias("query_id"), "text"), corpus.retriever(settings), corpus.chunks(settings["chunking"]), settings)
+        none = F.array().cast("array<string>")
+        flt = F.struct(F.array(*map(F.lit, a.authority or ())).cast("array<string>").alias("authority"), none.alias("document_type"), none.alias("document_id"), F.lit(None).cast("date").alias("gte"), F.lit(None).cast("date").alias("lte"))
+        asked = queries.select(F.col("item_id").alias("query_id"), "text", *([flt.alias("filter")] if a.authority else []))
+        if a.collection:
+            known = ingestion.Collection(spark, a.collection)
+            search, chunks = known.retriever(settings), known.chunks()
+        else:
+            search, chunks = corpus.retriever(settings), corpus.chunks(settings["chunking"])
+        out, rows = retrieval.respond(asked, search, chunks, settings)
+        if a.traces:
+            write_jsonl(rows, a.traces, append=True)
     elif a.command == "eval":
         rows = evaluation.evaluate(_items(queries), corpus, settings)
         if a.report:

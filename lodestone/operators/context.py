@@ -74,10 +74,6 @@ def build(hits: DataFrame, budget: int = 6000, per_document: int = 4, chunks: Da
     )
 
 
-def prompt(context: Column, question: Column, version: str = "v1") -> Column:
-    return F.concat(F.lit(PROMPTS[version] + "\n\n=== EVIDENCE\n"), context, F.lit("\n=== END\n\nQUESTION: "), question)
-
-
 def prompts(rows: DataFrame, version: str = "v1") -> DataFrame:
     """rows(context, question, ...) with system and user, as providers.generate() takes them; an unknown version is an error."""
     if version not in PROMPTS:

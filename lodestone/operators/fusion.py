@@ -59,9 +59,11 @@ def boost(hits: DataFrame, matches: Column, ranks: int = 5) -> DataFrame:
 
 
 def overlap_rerank(hits: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """hits(query_id, rank, id, text) by the share of the query's distinct terms that the text has."""
+    """hits(query_id, rank, id, text or toks) by the share of the query's distinct terms that the text has.  toks: the terms of an index, which
+    then aren't looked for again in the text."""
     q = queries.select("query_id", F.array_distinct(sparse_tokens(F.col("text"))).alias("_q"))
-    share = F.size(F.array_intersect("_q", F.array_distinct(sparse_tokens(F.col("text"))))) / F.greatest(F.size("_q"), F.lit(1))
+    own = F.col("toks") if "toks" in hits.columns else sparse_tokens(F.col("text"))
+    share = F.size(F.array_intersect("_q", own)) / F.greatest(F.size("_q"), F.lit(1))
     scored = hits.join(q, "query_id").withColumn("score", F.round(share, digits))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     return scored.withColumn("_new", F.row_number().over(w)).where(F.col("_new") <= k).drop("rank", "_q").withColumnRenamed("_new", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.sized import broadcast_if_small
 from ..operators import chunking, cleaning, dense, fusion, grounding, metrics, query, sparse, validation
 from ..operators import context as ctx
 from ..operators.ranking import top_k
@@ -163,6 +164,27 @@ def ingest_report(spark, sf_dir):
     return validation.ingest(_source_pages(spark, sf_dir))[1]
 
 
+_PAGED_CHECK = _LINES + f""", dh AS (SELECT doc_id, {_HASH} AS h FROM documents), du AS (SELECT doc_id, h, min(doc_id) OVER (PARTITION BY h) AS first FROM dh),
+pg AS (SELECT document_id, doc_id, page_number, text, {_HASH} AS h, length(text) < 80 AS short FROM pages JOIN du ON 'd' || doc_id = document_id WHERE first = doc_id),
+st AS (SELECT *, CASE WHEN short THEN 'near_empty' WHEN doc_id * 1000000 + page_number = min(doc_id * 1000000 + page_number) FILTER (NOT short) OVER (PARTITION BY pg.h) THEN 'kept' ELSE 'duplicate' END AS status FROM pg)"""
+
+
+def _numbered_pages(spark, sf_dir):
+    return flat_pages(spark, sf_dir).withColumn("doc_order", F.substring("document_id", 2, 20).cast("long"))
+
+
+@register(f"WITH {_PAGED_CHECK} SELECT document_id, CAST(page_number AS INT) AS page_number, status FROM st")
+def paged_status(spark, sf_dir):
+    """Pages of documents of several pages: each earlier page anywhere may be the original of a later one."""
+    return validation.ingest(_numbered_pages(spark, sf_dir))[0].select("document_id", F.col("page_number").cast("int").alias("page_number"), "status")
+
+
+@register(f"""WITH {_PAGED_CHECK} SELECT (SELECT count(*) FROM du) AS documents, (SELECT count(*) FROM du WHERE first <> doc_id) AS duplicate_documents, count(*) AS pages_processed, count(*) FILTER (status = 'near_empty') AS near_empty_pages,
+  count(*) FILTER (text = '') AS failed_pages, count(*) FILTER (status = 'duplicate') AS duplicate_pages_removed, count(*) FILTER (status = 'kept') AS pages_kept, count(DISTINCT doc_id) - count(DISTINCT doc_id) FILTER (status = 'kept') AS empty_documents FROM st""")
+def paged_report(spark, sf_dir):
+    return validation.ingest(_numbered_pages(spark, sf_dir))[1]
+
+
 # ---- chunking
 
 
@@ -290,8 +312,8 @@ def bm25_filtered(spark, sf_dir):
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INT) AS rank, id, score FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= 6""")
 def lexical_rerank(spark, sf_dir):
     hits = sparse.search(_index(spark, sf_dir), _bench(spark, sf_dir), 20).drop("score")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return fusion.overlap_rerank(hits.join(texts, "id"), _bench(spark, sf_dir), 6).select("query_id", "rank", "id", "score")
+    terms = _index(spark, sf_dir).tokens.select("id", "toks")
+    return fusion.overlap_rerank(terms.join(broadcast_if_small(hits), "id"), _bench(spark, sf_dir), 6).select("query_id", "rank", "id", "score")
 
 
 _SH = r"list_distinct(list_transform(generate_series(1, greatest(1, len({w}) - 4)), lambda i: array_to_string(list_slice({w}, i, i + 4), ' ')))"
@@ -482,17 +504,19 @@ def processed_queries(spark, sf_dir):
 # ---- answers
 
 
-RAW_ANSWERS = (
-    '{"answer": "Yes.", "citations": [{"chunk_id": "a"}], "insufficient_evidence": false}', '```json\n{"answer": "Fenced", "citations": []}\n```', 'So: {"answer": "Inside", "citations": [{"chunk_id": "b"}]} indeed',
-    "no json at all", '{"answer": 1}', '{"answer": "x", "citations": "a"}', '{"citations": []}', "",
-)
-
-
-@register("""SELECT * FROM (VALUES (0, 'Yes.', 'a', false), (1, 'Fenced', '', false), (2, 'Inside', 'b', false)) t(query_id, answer, citations, insufficient) UNION ALL
-  SELECT unnest([3, 4, 5, 6, 7]), 'The provided documents do not contain sufficient information to answer this question reliably.', '', true""")
+@register(f"""SELECT conv_id, turn, CASE WHEN k < 3 THEN text ELSE '{grounding.INSUFFICIENT}' END AS answer, CASE k WHEN 0 THEN 'c' || conv_id || ',' || role WHEN 2 THEN 'c' || conv_id ELSE '' END AS citations, k = 1 OR k > 2 AS insufficient
+  FROM (SELECT *, (conv_id + turn) % 8 AS k FROM conversations)""")
 def parsed_answers(spark, sf_dir):
-    raw = spark.createDataFrame(list(enumerate(RAW_ANSWERS)), "query_id int, raw string").withColumn("p", grounding.parse_answer(F.col("raw")))
-    return raw.select("query_id", F.col("p.answer").alias("answer"), F.array_join("p.citations", ",").alias("citations"), F.col("p.insufficient_evidence").alias("insufficient"))
+    """Turns as a model might put them: JSON, fenced JSON, JSON inside of prose, prose, and JSON of other kinds."""
+    k, c = (F.col("conv_id") + F.col("turn")) % 8, F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    reply = lambda ids, flag: F.to_json(F.struct(F.col("text").alias("answer"), F.transform(F.array(*ids) if ids else F.array().cast("array<string>"), lambda x: F.struct(x.alias("chunk_id"))).alias("citations"), F.lit(flag).alias("insufficient_evidence")))
+    raw = (
+        F.when(k == 0, reply([c, F.col("role")], False)).when(k == 1, F.concat(F.lit("```json\n"), reply([], True), F.lit("\n```"))).when(k == 2, F.concat(F.lit("So: "), reply([c], False), F.lit(" indeed")))
+        .when(k == 3, F.translate("text", "{}", "()")).when(k == 4, F.to_json(F.struct(F.col("turn").alias("answer")))).when(k == 5, F.to_json(F.struct(F.col("text").alias("answer"), F.col("role").alias("citations"))))
+        .when(k == 6, F.to_json(F.struct(F.array(F.struct(c.alias("chunk_id"))).alias("citations")))).otherwise(F.lit(""))
+    )
+    out = table(spark, sf_dir, "conversations").withColumn("p", grounding.parse_answer(raw))
+    return out.select("conv_id", "turn", F.col("p.answer").alias("answer"), F.array_join("p.citations", ",").alias("citations"), F.col("p.insufficient_evidence").alias("insufficient"))
 
 
 @register(r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 20) AS l FROM conversations)

@@ -159,6 +159,35 @@ def answered_chunks(spark, sf_dir):
     return _flat(retrieval.answer_questions(q, hybrid_retriever(spark, sf_dir, settings), p, settings))
 
 
+# ---- contexts of hits whose parents or neighbours are shown in their place
+
+
+_WIDE_HITS = f"""{_PASSAGES}, {cat.bm25_sql("(SELECT id, text || ' ' || coalesce(section, '') AS text FROM passages)", "id")},
+numbered AS MATERIALIZED (SELECT p.*, CAST(right(id, 5) AS INT) AS position, d.lang AS title, d.source AS authority FROM passages p JOIN documents d ON 'd' || d.doc_id = p.document_id),
+hits AS MATERIALIZED (SELECT t.query_id, t.rank, p.*, CASE WHEN position % 3 = 0 THEN p.document_id || ':parent' END AS parent_id FROM {cat._top(8)} t JOIN numbered p USING (id)),
+{dedup_sql('hits', 'uniq', 0.9)},
+around AS MATERIALIZED (SELECT u.query_id, u.rank, string_agg(n.text, chr(10) ORDER BY n.position) AS text, min(n.page_start) AS page_start, max(n.page_end) AS page_end FROM uniq u JOIN numbered n ON n.document_id = u.document_id AND abs(n.position - u.position) <= 1 WHERE u.parent_id IS NULL GROUP BY ALL),
+wide AS MATERIALIZED (SELECT u.query_id, u.rank, u.id, u.document_id, u.parent_id, u.section, u.title, u.authority, CASE WHEN u.parent_id IS NOT NULL THEN 'The whole of ' || u.document_id ELSE a.text END AS text, coalesce(a.page_start, u.page_start) AS page_start, coalesce(a.page_end, u.page_end) AS page_end FROM uniq u LEFT JOIN around a USING (query_id, rank)),
+shown AS MATERIALIZED (SELECT *, CAST(len({_WS.format(t='block')}) AS INT) AS n FROM (SELECT query_id, rank, id, document_id, parent_id, '[chunk_id: ' || id || '] ' || authority || ' — ' || title || CASE WHEN coalesce(section, '') <> '' THEN ' | §' || section ELSE '' END || ' | '
+  || CASE WHEN page_start = page_end THEN 'p.' || page_start ELSE 'pp.' || page_start || '-' || page_end END || ' | None' || chr(10) || {_STRIP.format(t='text')} AS block FROM wide)),
+fold(query_id, r, ids, docs, parents, blocks, used, dropped) AS (SELECT DISTINCT query_id, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0, 0 FROM hits UNION ALL
+  SELECT f.query_id, f.r + 1, CASE WHEN out_ OR NOT fits THEN f.ids ELSE list_append(f.ids, f.id) END, CASE WHEN out_ OR NOT fits THEN f.docs ELSE list_append(f.docs, f.document_id) END, CASE WHEN out_ OR NOT fits OR f.parent_id IS NULL THEN f.parents ELSE list_append(f.parents, f.parent_id) END,
+    CASE WHEN out_ OR NOT fits THEN f.blocks ELSE list_append(f.blocks, f.block) END, CASE WHEN out_ OR NOT fits THEN f.used ELSE f.used + f.n END, CASE WHEN NOT out_ AND NOT fits THEN f.dropped + 1 ELSE f.dropped END
+  FROM (SELECT c.*, b.id, b.document_id, b.parent_id, b.block, b.n, len(list_filter(c.docs, lambda x: x = b.document_id)) >= 2 OR coalesce(list_contains(c.parents, b.parent_id), false) AS out_, c.used + b.n <= 500 AS fits FROM fold c JOIN shown b ON b.query_id = c.query_id AND b.rank = c.r + 1) f)"""
+
+
+@register(f"WITH RECURSIVE {_WIDE_HITS} SELECT query_id, array_to_string(ids, ',') AS ids, md5(array_to_string(blocks, chr(10) || chr(10))) AS digest, used AS token_count, dropped FROM fold QUALIFY r = max(r) OVER (PARTITION BY query_id)")
+def expanded_contexts(spark, sf_dir):
+    """Contexts of chunks: every third has a parent, which is shown once for all its children, the others are shown with their neighbours."""
+    p = passages(spark, sf_dir)
+    child = F.col("position") % 3 == 0
+    parents = {"parent_id": F.when(child, F.concat("document_id", F.lit(":parent"))), "parent_text": F.when(child, F.concat(F.lit("The whole of "), "document_id"))}
+    index = cat.once(spark, sf_dir, "passage index", lambda: sparse.build(p, "id", tx.index_text(F.col("text"), F.col("section")), meta=True))
+    hits = sparse.search(index, cat._bench(spark, sf_dir), 8).drop("score").join(p.drop("parent_id", "parent_text").withColumns(parents), "id")
+    out = ctx.build(hits, 500, 2, p, 1)
+    return out.select("query_id", F.array_join("ids", ",").alias("ids"), F.md5(F.col("context").cast("binary")).alias("digest"), "token_count", "dropped")
+
+
 # ---- questions that name sources and documents
 
 

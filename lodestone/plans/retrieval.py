@@ -168,17 +168,50 @@ class Search:
         return out.where(F.col("rank") <= final)
 
 
-def answer(hits: DataFrame, questions: DataFrame, store: DataFrame, settings: dict[str, Any], generate: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def contexts(hits: DataFrame, store: DataFrame, settings: dict[str, Any]) -> DataFrame:
+    """(query_id, ids, context, token_count, dropped) under the settings' budget."""
+    c = settings["context"]
+    near = (store, c["neighbor_window"]) if c["neighbor_expansion"] else ()
+    return ctx.build(hits, c["max_tokens"], c["max_chunks_per_document"], *near)
+
+
+def respond(questions: DataFrame, retriever: Retriever, chunks: DataFrame, settings: dict[str, Any], reranker: Callable[[DataFrame, DataFrame, int], DataFrame] = fusion.overlap_rerank, generate: Callable | None = None, model: Callable | None = None, name: str = "extractive", patterns: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(responses, traces) of questions(query_id, text[, filter]): the whole record of each.
+
+    responses: what answer() gives, rewritten, sources (chunk, document, title, authority, section, pages and label of each valid
+    citation), retrieved (chunk and score of each hit), prompt_tokens, completion_tokens, cost.  traces: rows of
+    streaming.traces.TRACE.  Prices of a million tokens stand under pricing.<name>.input and output.
+    """
+    from ..streaming import traces
+
+    search = Search(questions, retriever, chunks, settings, model, patterns=patterns)
+    hits = written(search.hits(reranker=reranker), "hits")
+    built = written(contexts(hits, chunks, settings), "contexts")
+    answers = written(answer(hits, search.queries, chunks, settings, generate, built), "answers")
+    price = settings["pricing"].get(name, {})
+    price = (float(price.get("input", 0.0)), float(price.get("output", 0.0)))
+    rows = traces.records(search.queries, hits, built, answers, settings["retrieval"]["type"], name, price=price)
+    place = F.struct("id", "document_id", "title", "authority", "section", "page_start", "page_end", grounding.label().alias("label"))
+    cited = answers.select("query_id", F.posexplode("citations").alias("at", "id")).join(hits, ["query_id", "id"])
+    sources = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", place.alias("s")))).alias("s")).select("query_id", F.transform("s", lambda x: x["s"]).alias("sources"))
+    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))), lambda h: F.struct(h["id"].alias("id"), h["score"].alias("score"))).alias("retrieved"))
+    usage = rows.select(F.col("request_id").alias("_key"), "prompt_tokens", "completion_tokens", F.col("estimated_cost").alias("cost"))
+    out = search.queries.select("query_id", F.col("text").alias("query"), "rewritten", F.col("query_id").cast("string").alias("_key"))
+    out = out.join(answers, "query_id").join(sources, "query_id", "left").join(found, "query_id", "left").join(usage, "_key").drop("_key")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
+    return out.select(*[none(c, kinds[c]) if c in ("sources", "retrieved") else F.col(c) for c in out.columns]), rows
+
+
+def answer(hits: DataFrame, questions: DataFrame, store: DataFrame, settings: dict[str, Any], generate: Callable[[DataFrame, DataFrame], DataFrame] | None = None, built: DataFrame | None = None) -> DataFrame:
     """(query_id, answer, insufficient, citations, invalid, context_tokens) from ranked hits with their chunk columns.
 
-    store: the chunks; with neighbour expansion their texts and places are read, else their ids alone.
+    store: the chunks; with neighbour expansion their texts and places are read, else their ids alone.  built: contexts(), if there already.
 
     generate: (shown hits, questions) -> (query_id, answer, cited, insufficient); the extractive model where
     none is given.  Without any context the model isn't asked.
     """
-    c = settings["context"]
-    near = (store, c["neighbor_window"]) if c["neighbor_expansion"] else ()
-    built = ctx.build(hits, c["max_tokens"], c["max_chunks_per_document"], *near).select("query_id", "ids", "token_count")
+    built = contexts(hits, store, settings) if built is None else built
     shown = hits.join(built.select("query_id", F.explode("ids").alias("id")), ["query_id", "id"], "left_semi")
     asked = questions.join(shown.select("query_id").distinct(), "query_id", "left_semi")
     bare = questions.join(shown.select("query_id").distinct(), "query_id", "left_anti")

@@ -160,5 +160,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert {r.query_id: r.hit_1 for r in spark.read.parquet(str(tmp_path / "eval")).collect()} == {7: 1.0, 8: None}
     main(["ablation", *both, str(tmp_path / "ablation"), "--steps", "03_bm25_only"])
     assert spark.read.parquet(str(tmp_path / "ablation")).where("question_type IS NULL AND reference IS NULL").first().recall_1 == 1.0
+    store = str(tmp_path / "collection")
+    main(["ingest", "--documents", str(tmp_path / "docs"), "--collection", store])
+    assert spark.read.json(f"{store}/reports").first().chunks_generated == 4
+    for args in ([], ["--authority", "nobody"]):
+        main(["ask", "--collection", store, "--queries", str(tmp_path / "items"), "--traces", str(tmp_path / "traces"), "--out", str(tmp_path / "again"), *args])
+        found = {r.query_id: r for r in spark.read.parquet(str(tmp_path / "again")).collect()}
+        assert found[7].insufficient == bool(args) and (args or (found[7].citations == ["0:section:00000"] and found[7].sources[0].label.endswith("p.1]") and found[7].retrieved[0].id == "0:section:00000"))
+    assert spark.read.json(str(tmp_path / "traces")).count() == 4
     with pytest.raises(SystemExit):
         main(["ask", "--documents", str(tmp_path / "docs")])
