@@ -4,7 +4,8 @@ Every run has a Lyndon root that is the longest Lyndon word at its start, in the
 longest Lyndon word at a position ends before the next position of which the suffix is smaller: the next smaller value of the
 inverse suffix array.  Each root is extended to both sides by longest common prefixes, of suffixes to the right and of
 suffixes of the reversed text to the left, which are minima of the LCP array over a range: a sparse table gives them.
-Roots that extend to two periods and the least length are runs; equal ones are one run.
+Roots that extend to two periods and the least length are runs; equal ones are one run.  Where all roots of a text end within the
+least length on both sides, they are compared word by word and no such arrays are made for it.
 
 Suffix arrays come from prefix doubling, in which only suffixes that still tie are sorted again.  A word is a symbol of its own in
 each text, so no suffix reaches over the end of its text.  LCP values are worked out where they don't follow from their left
@@ -38,7 +39,7 @@ DIRECT = 64  # symbols that are compared for all pairs at once; the few longer m
 def suffix_ranks(symbols: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, its inverse) of symbols in ranges that end at end[i]; a suffix ends with its range, and an end is smaller than all."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols)
     rank = np.empty(n, np.int64)
 
     def number(slots: np.ndarray, positions: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ def suffix_ranks(symbols: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.n
         after = at + k
         behind = np.where(after < end[at], rank[np.minimum(after, n - 1)] + 1, 0)
         keys = rank[at] * (n + 1) + behind
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         order[open_] = at[by]
         open_ = number(open_, at[by], keys[by])
         k *= 2
@@ -120,24 +121,42 @@ def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
 
 def next_smaller(values: np.ndarray) -> np.ndarray:
     """The next position with a smaller value, or the length.  What stands between a position and its pointer is larger, so a pointer
-    moves on to the pointer of what it names, final or not; the few that need many moves are finished from the right."""
+    moves on to the pointer of what it names, final or not; those that need many moves are looked up in a tree of minima."""
     n = len(values)
     wide = np.append(values, -1)
     out = np.arange(1, n + 1)
     open_ = np.flatnonzero(wide[out] > values)
-    for _ in range(24):
+    for _ in range(6):
         if not len(open_):
             return out
         out[open_] = out[out[open_]]
         open_ = open_[wide[out[open_]] > values[open_]]
-    for i in open_[::-1].tolist():
-        j = int(out[i])
-        while wide[j] > values[i]:
-            j = int(out[j])
-        out[i] = j
+    out[open_] = _first_below(wide, out[open_], values[open_])
     return out
 
 
+def _first_below(values: np.ndarray, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The first position from each at on with a value below bound; there is one, since the last value is below all."""
+    tree = [values]
+    while len(tree[-1]) > 1:
+        low = tree[-1] if len(tree[-1]) % 2 == 0 else np.append(tree[-1], np.iinfo(values.dtype).max)
+        tree.append(np.minimum(low[::2], low[1::2]))
+    node, level = at.copy(), np.full(len(at), -1)
+    for k, low in enumerate(tree):  # up, until a node to the right holds a smaller value
+        seek = np.flatnonzero(level < 0)
+        here = node[seek]
+        edge = here % 2 == 1 if k + 1 < len(tree) else np.ones(len(here), bool)
+        caught = edge & (low[np.minimum(here, len(low) - 1)] < bound[seek])
+        level[seek[caught]] = k
+        missed = seek[~caught]
+        node[missed] = (node[missed] + 1) >> 1
+    for k in range(len(tree) - 1, 0, -1):  # down, to the first of it
+        seek = np.flatnonzero(level >= k)
+        left = node[seek] * 2
+        node[seek] = np.where(tree[k - 1][left] < bound[seek], left, left + 1)
+    return node
+
+
 def runs(words: np.ndarray, first: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, length, period) of all runs of at least least words and two periods, by text, start and period.
 
@@ -165,16 +184,29 @@ def runs(words: np.ndarray, first: np.ndarray, least: int = LEAST) -> tuple[np.n
         at = np.flatnonzero(more | before)
         roots.append(np.stack([at, j[at]]))
     i, j = np.unique(np.concatenate(roots, axis=1), axis=1)
-    if not len(i):
-        return none, none, none, none
-    right = np.zeros(len(i), np.int64)
-    ok = j < end[i]
-    right[ok] = _reach(order, rank, common_prefixes(symbols, order), i[ok], j[ok])
-    left = np.zeros(len(i), np.int64)
-    ok = i > begin[i]
-    back = symbols[::-1].copy()
-    order, rank = suffix_ranks(back, n - begin[::-1])
-    left[ok] = _reach(order, rank, common_prefixes(back, order), n - i[ok], n - j[ok])
+    right, r_end = _near(symbols, i, j, 1, end[i] - j, least)
+    left, l_end = _near(symbols, i - 1, j - 1, -1, i - begin[i], least)
+    # roots that end soon on both sides are decided; for texts that have others, arrays of common prefixes say how far they reach
+    far = np.isin(text[i], np.unique(text[i[~(r_end & l_end)]]))
+    if far.any():
+        own = np.zeros(texts, bool)
+        own[text[i[far]]] = True
+        kept = np.flatnonzero(own[text])
+        new = np.cumsum(own[text]) - 1
+        back = symbols[kept][::-1].copy()
+        a, b, m = new[i[far]], new[j[far] - 1] + 1, len(kept)
+        ok = j[far] < end[i[far]]
+        order = new[order[own[text[order]]]]
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        reach = np.zeros(len(a), np.int64)
+        reach[ok] = _reach(order, rank, common_prefixes(symbols[kept], order), a[ok], b[ok])
+        right[far] = reach
+        ok = i[far] > begin[i[far]]
+        order, rank = suffix_ranks(back, m - new[begin[kept]][::-1])
+        reach = np.zeros(len(a), np.int64)
+        reach[ok] = _reach(order, rank, common_prefixes(back, order), m - a[ok], m - b[ok])
+        left[far] = reach
     period = j - i
     start, length = i - left, right + left + period
     held = np.flatnonzero(length >= np.maximum(least, 2 * period))
@@ -182,6 +214,20 @@ def runs(words: np.ndarray, first: np.ndarray, least: int = LEAST) -> tuple[np.n
     return found[0], found[1], found[3], found[2]
 
 
+def _near(symbols: np.ndarray, i: np.ndarray, j: np.ndarray, step: int, room: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many symbols from i and j on are equal in that direction, most at most; and whether they end there."""
+    n = len(symbols)
+    length, ended = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+    open_ = np.arange(len(i))
+    for t in range(most):
+        a, b = i[open_] + step * t, j[open_] + step * t
+        same = (t < room[open_]) & (symbols[np.clip(a, 0, n - 1)] == symbols[np.clip(b, 0, n - 1)])
+        ended[open_[~same]] = True
+        open_ = open_[same]
+        length[open_] = t + 1
+    return length, ended
+
+
 def _reach(order: np.ndarray, rank: np.ndarray, common: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length of the longest common prefix of suffixes i and j."""
     a, b = rank[i], rank[j]
