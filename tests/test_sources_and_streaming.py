@@ -6,12 +6,13 @@ import sys
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import postings, sparse
+from lodestone.operators import metrics, postings, sparse
 from lodestone.sources import stores
 from lodestone.sources.snapshots import Changed
-from lodestone.streaming import traces
+from lodestone.streaming import latency, traces
 
 
 def test_vector_table(spark, tmp_path):
@@ -129,3 +130,22 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
             os.symlink(f"{root}/lodestone/{name}", tmp_path / "lodestone" / name)
     code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); import importlib.util as u; s = u.spec_from_file_location('e', {str(tmp_path / '__spark_entry__.py')!r}); m = u.module_from_spec(s); sys.path[:] = [p for p in sys.path if p not in ('', {root!r})]; s.loader.exec_module(m); q = m.queries(); assert 'bm25_topk' in q and not any(n.startswith('op') for n in q), list(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_latest_latencies_as_a_stream(spark, tmp_path):
+    """Batches with late rows and a restart in between: as over the whole table."""
+    rnd = random.Random(5)
+    moments = rnd.sample(range(100_000), 900)
+    rows = [(f"2024-01-01T00:0{m // 60_000}:{m // 1000 % 60:02d}.{m % 1000:03d}", rnd.choice(["ask", "search", "rare"] if i % 90 == 0 else ["ask", "search"]), rnd.random() * 9) for i, m in enumerate(moments)]
+    kind = "ts timestamp, event_type string, value double"
+    stream = lambda: latency.latest_latencies(traces.read_traces(spark, str(tmp_path / "in"), kind), "ts", "event_type", "value", 100)
+    for at in range(0, 900, 300):
+        part = spark.createDataFrame(rows[at : at + 300] + [(None, "ask", 5.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+        stores.write_jsonl(part, str(tmp_path / "in"), append=True)
+        latency.run_to_latest(stream(), "event_type", str(tmp_path / "out"), str(tmp_path / "state"))
+        got = {r.event_type: (r.requests, r.p50, r.p95) for r in latency.latest_of(spark.read.parquet(str(tmp_path / "out")), "event_type").collect()}
+        whole = spark.createDataFrame(rows[: at + 300], "ts string, event_type string, value double")
+        window = Window.partitionBy("event_type").orderBy(F.desc("ts"))
+        last = whole.withColumn("n", F.row_number().over(window)).where("n <= 100").groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), F.collect_list("value").alias("v"))
+        want = {r.event_type: (r.requests, r.p50, r.p95) for r in last.select("event_type", "requests", metrics.service_percentile(F.col("v"), 0.5).alias("p50"), metrics.service_percentile(F.col("v"), 0.95).alias("p95")).collect()}
+        assert got == want and got["ask"][0] == min(100, got["ask"][0])
