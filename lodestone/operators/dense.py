@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.sized import in_blocks
+from ..functions.sized import in_blocks, spread
 from ..functions.text import words
 from .ranking import DIGITS, META, Best, Filters, hit_schema, top_k
 
@@ -82,39 +82,40 @@ def _scorer(shared, k: int, null_dates: bool):
     return run
 
 
-KNOWN = 1 << 18  # grams whose hashes a task keeps
+ROWS = 512  # texts that are hashed at once
 
 
 def _hashed(df: DataFrame, id_: str, text: Column, dim: int) -> DataFrame:
-    """(id, idx, value), a row for each row: the entries of the hashing embedding, by index.  One pass, nothing is shuffled."""
+    """(id, idx, value), a row for each row: the entries of the hashing embedding, by index.  One pass, nothing is shuffled but a table
+    of fewer splits than cores."""
 
-    def place(gram: str) -> tuple[int, int]:
-        h = int.from_bytes(hashlib.md5(gram.encode()).digest(), "big")
-        return h % dim, 1 if h >> 64 & 1 else -1
+    def place(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [int.from_bytes(hashlib.md5(g.encode()).digest(), "big") for g in grams]
+        return np.array([h % dim for h in found], np.int64), np.array([1 if h >> 64 & 1 else -1 for h in found], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
-        for batch in batches:
-            sizes, idx, value = [], [], []
-            for words_ in batch.column("w"):
-                own = words_.as_py() or []
-                sums = np.zeros(dim)
-                for gram in own + [f"{a}_{b}" for a, b in zip(own, own[1:])]:
-                    if gram not in known:
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        known[gram] = place(gram)
-                    at, sign = known[gram]
-                    sums[at] += sign
-                has = np.flatnonzero(sums)
-                sizes.append(len(has))
-                idx.append(has.astype(np.int32))
-                value.append(sums[has] / np.sqrt((sums**2).sum()) if len(has) else sums[has])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            flat = [pa.array(np.concatenate(x)) if x else pa.array([], kind) for x, kind in ((idx, pa.int32()), (value, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(offsets, x) for x in flat]], names=["id", "idx", "value"])
-
-    rows = df.select(F.col(id_).alias("id"), words(text).alias("w"))
+        for whole in batches:
+            for i in range(0, len(whole), ROWS):
+                batch = whole.slice(i, ROWS)
+                n = len(batch)
+                row = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(batch.column("w")).fill_null(0)))
+                coded = batch.column("w").flatten().dictionary_encode()
+                names, code = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
+                # each different word and pair of neighbours of these texts is hashed once
+                side = np.flatnonzero(row[1:] == row[:-1])
+                pairs, pair = np.unique(code[side] * len(names) + code[side + 1], return_inverse=True)
+                sums = np.zeros(n * dim, np.int64)
+                for grams, rows, gram in ((names, row, code), ([f"{names[p // len(names)]}_{names[p % len(names)]}" for p in pairs.tolist()], row[side], pair)):
+                    at, sign = place(grams)
+                    if len(gram):
+                        sums += np.bincount(rows * dim + at[gram], weights=sign[gram], minlength=n * dim).astype(np.int64)
+                sums = sums.reshape(n, dim)
+                rows, idx = np.nonzero(sums)
+                value = sums[rows, idx] / np.sqrt((sums**2).sum(axis=1))[rows]
+                offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (idx.astype(np.int32), value)]], names=["id", "idx", "value"])
+
+    rows = spread(df.select(F.col(id_).alias("id"), text.alias("text"))).select("id", words(F.col("text")).alias("w"))
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]))
 
 

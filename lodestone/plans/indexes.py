@@ -44,14 +44,16 @@ def incremental_index(spark, sf_dir) -> DataFrame:
     return index.search(cat._bench(spark, sf_dir), 10)
 
 
-@register(f"WITH {cat._DENSE} SELECT * FROM {cat._top(10, where='true')}")
-def dense_cells(spark, sf_dir) -> DataFrame:
-    """The hits of dense_topk from the cells that bounds don't exclude."""
-
+def _cells(spark, sf_dir: str) -> CellIndex:
     def make() -> CellIndex:
         index = CellIndex(spark, f"{folder(spark)}/cells/{uuid.uuid4().hex}")
         index.build(cat._vectors(spark, sf_dir)[0], cells=16)
         return index
 
-    index = cat.once(spark, sf_dir, "cells", make)
-    return index.search(cat._vectors(spark, sf_dir)[1].select("query_id", "vector"), 10, probe=4)
+    return cat.once(spark, sf_dir, "cells", make)
+
+
+@register(f"WITH {cat._DENSE} SELECT * FROM {cat._top(10, where='true')}")
+def dense_cells(spark, sf_dir) -> DataFrame:
+    """The hits of dense_topk from the cells that bounds don't exclude."""
+    return _cells(spark, sf_dir).search(cat._vectors(spark, sf_dir)[1].select("query_id", "vector"), 10, probe=4)
