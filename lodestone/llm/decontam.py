@@ -16,7 +16,7 @@ benchmark or the corpus in one place, and results are the same.
 Defined results.  Null and empty texts have no words, no hits and are clean.  Very long texts are handled
 whole.  An item without words is never found.  Rows that repeat are judged alike; items that repeat an id count
 once.  Items of null id mark words but have no id to list.  An empty table gives an empty table, an empty
-benchmark no hits.  Ids may be of any type: they are listed as strings.  Extra columns of any name pass through;
+benchmark no hits.  Ties: a text of which the hit words are exactly a twentieth is contaminated.  Ids may be of any type: they are listed as strings.  Extra columns of any name pass through;
 results replace columns of their names.
 """
 

@@ -17,8 +17,8 @@ and the vocabulary size are sums over the key ranges.
 Defined results.  Null text and text without words: no words, score null.  Very long texts are handled
 whole, by one task.  The first word of a text has no context and is scored by its unigram.  Rows that repeat
 count each time, and equal texts of one side get equal scores.  A null id is never target.  Without target texts (or
-without others, or where only the text itself is left out) the empty side is uniform over the vocabulary.  Ids may
-be of any type that can be ordered.  Only the id and the text are read, whatever other columns there are.
+without others, or where only the text itself is left out) the empty side is uniform over the vocabulary.  An empty
+table gives an empty table; ties don't occur, as nothing is ranked.  Ids may be of any type that can be ordered.  Only the id and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -23,8 +23,9 @@ the size of a component, the rows are not.
 Defined results.  Texts without words (null, empty, blank) have an empty set, link with nothing and are
 components of their own with 0 links.  Very long texts are handled whole, by one task.  Rows that repeat are one
 node; a null key is in a component but never names one, and a component of null keys alone has a null id.  Ids
-may be of any type that can be ordered.  An empty table gives an empty table.  Only the id and the text are
-read, whatever other columns there are.
+may be of any type that can be ordered.  An empty table gives an empty table.  Ties: a pair that is exactly
+at the threshold links, and shingles of equal frequency are ordered by their hash, so that every text orders them alike.  Only the id
+and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
