@@ -469,15 +469,12 @@ def document_embedding(spark, sf_dir):
 
 # ---- query processing
 
+#: What benchmark items are asked with, so that they name acronyms, documents and authorities.
 LITERAL_QUERIES = (
     "What does the EBA say about CDD?", "AMLD4 duties", "Directive (EU) 2015/849 Article 13(1)", "FATF Recommendation 10 on peps", "the european banking authority and the ECB",
     "remote  customer onboarding guidelines", "EDD and UBO for ML/TF", "recdd is no acronym", "ECBA is no authority", "AMLR", "nothing here", "kyc; KYC",
 )
-_LITERAL = "VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(LITERAL_QUERIES))
-
-
-def _literal(spark):
-    return spark.createDataFrame(list(enumerate(LITERAL_QUERIES)), "query_id int, text string")
+_LITERAL = "[" + ", ".join(f"'{q}'" for q in LITERAL_QUERIES) + "]"
 
 
 def _named_sql(patterns: dict[str, str], t: str) -> str:
@@ -488,15 +485,15 @@ _ACR = {v: r"(^|[^\w])" + k + r"($|[^\w])" for k, v in query.ACRONYMS.items()}
 
 
 @register(
-    rf"""WITH l(query_id, raw) AS ({_LITERAL}), q AS (SELECT query_id, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS t FROM l UNION ALL SELECT CAST(1000 + item_id AS INT), trim(regexp_replace(text, '\s+', ' ', 'g')) FROM benchmark),
+    rf"""WITH q AS (SELECT item_id AS query_id, trim(regexp_replace(text || ' ' || {_LITERAL}[item_id % {len(LITERAL_QUERIES)} + 1], '\s+', ' ', 'g')) AS t FROM benchmark),
   p AS (SELECT *, {_named_sql(_ACR, 't')} AS e, {_named_sql(query.DOCUMENTS, 't')} AS d, {_named_sql(query.AUTHORITIES, 't')} AS a FROM q)
   SELECT query_id, CASE WHEN len(e) = 0 THEN t ELSE t || ' (' || array_to_string(e, '; ') || ')' END AS normalised, array_to_string(d, ',') AS document_ids, CASE WHEN len(d) > 0 THEN '' ELSE array_to_string(a, ',') END AS authorities FROM p"""
 )
 def processed_queries(spark, sf_dir):
     from .config import load
 
-    every = _literal(spark).union(_bench(spark, sf_dir).select((F.col("query_id") + 1000).cast("int"), "text"))
-    out = retrieval.process(every, load(env={}))
+    more = F.element_at(F.array(*map(F.lit, LITERAL_QUERIES)), (F.col("query_id") % len(LITERAL_QUERIES)).cast("int") + 1)
+    out = retrieval.process(_bench(spark, sf_dir).select("query_id", F.concat_ws(" ", "text", more).alias("text")), load(env={}))
     joined = lambda c: F.coalesce(F.array_join(F.col("inferred")[c], ","), F.lit(""))
     return out.select("query_id", "normalised", joined("document_id").alias("document_ids"), joined("authority").alias("authorities"))
 
