@@ -3,7 +3,8 @@
 A vector is kept with the norms of its segments beside it.  By Cauchy and Schwarz the product of two vectors is at most the
 product of their segments' norms, so sum((|x_s| - |c_s|)^2) over the segments s bounds the squared distance from below.  A task
 works these bounds out for a batch and all centroids as one small matrix product, then takes the centroids of each
-vector in the order of their bounds and gives exact integer distances only until a bound exceeds the best distance so far.
+vector in the order of their bounds and gives exact integer distances only until a bound exceeds the best distance so far.  That saves much
+where vectors lie in groups and nothing where they are spread evenly over a sphere; results are the same.
 
 The integer vectors and their norms are written once; a round is one scan of that table, which sends at most one row of sums a centroid
 and task.  The driver holds centroids and their sums: centroids x components numbers, whatever the number of vectors.

@@ -9,7 +9,7 @@ least length on both sides, they are compared word by word and no such arrays ar
 
 Suffix arrays come from prefix doubling, in which only suffixes that still tie are sorted again.  A word is a symbol of its own in
 each text, so no suffix reaches over the end of its text.  LCP values are worked out where they don't follow from their left
-neighbour, the sum of which is O(n log n); a level of the sparse table is held at a time.  Memory is about 150 bytes a word
+neighbour, the sum of which is O(n log n); a level of the sparse table is held at a time.  Memory is 160 to 200 bytes a word
 of the longest text or, for shorter texts, of 1 MB of them.
 
 Words are compared by 64-bit hashes.  Texts are whole, one narrow pass, nothing is shuffled.
