@@ -186,8 +186,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = len(terms.dictionary)
         doc = np.repeat(np.arange(len(batch)), sizes)
         runs = batch.column("run").dictionary_encode()
-        run_of = np.asarray(runs.indices)
-        cell, tf = np.unique((run_of[doc] * many + np.asarray(terms.indices)) * len(batch) + doc, return_counts=True)
+        # indices are of 32 bits, and terms times rows of one batch don't fit these
+        run_of, term_of = np.asarray(runs.indices, np.int64), np.asarray(terms.indices, np.int64)
+        cell, tf = np.unique((run_of[doc] * many + term_of) * len(batch) + doc, return_counts=True)
         group, doc = cell // len(batch), cell % len(batch)
         first = np.flatnonzero(np.diff(group, prepend=-1))
         place, dl = np.asarray(batch.column("place"))[doc], np.asarray(batch.column("dl"))[doc]
