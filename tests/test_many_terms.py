@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lodestone.operators.postings import _blocks
+from lodestone.operators.postings import Postings, _blocks
 
 
 def test_blocks_of_a_batch_of_many_rows_and_terms():
@@ -12,3 +13,14 @@ def test_blocks_of_a_batch_of_many_rows_and_terms():
     out = pa.Table.from_batches(_blocks(iter([batch]))).to_pydict()
     got = {t: (r, p) for t, r, p in zip(out["term"], out["run"], out["places"])}
     assert len(out["term"]) == n * each and got == {f"w{i}": ("a" if i < n * each // 2 else "b", [i // each]) for i in range(n * each)}
+
+
+def test_batches_of_many_terms_are_added_and_removed(spark, tmp_path):
+    index = Postings(spark, str(tmp_path / "postings"))
+    n, each = 10_000, 30
+    docs = spark.range(0, 2 * n, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.concat(F.lit("w"), F.translate((F.col("id") * each + i).cast("string"), "0123456789", "abcdefghij"))), " ").alias("text"))
+    index.add(docs.where("id % 2 = 0"), "id", F.col("text"))
+    index.add(docs.where("id % 2 = 1"), "id", F.col("text"))
+    index.remove(docs.where("id = 7").select("id"))
+    asked = docs.where("id IN (6, 7, 19999)").select((F.col("id") + 100).alias("query_id"), "text")
+    assert {(r.query_id, r.id) for r in index.search(asked, 3).collect()} == {(106, 6), (20099, 19999)}
