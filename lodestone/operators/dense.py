@@ -22,7 +22,13 @@ CELLS = 1 << 22  # scores that are worked out at once
 DIM = 384
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array, wide: int = 0) -> np.ndarray:
+    """Rows of numbers; of packed vectors, structs of idx and value, as many numbers as wide says."""
+    if pa.types.is_struct(column.type):
+        idx, value = (x for x in column.flatten())
+        out = np.zeros((len(column), wide))
+        out[np.repeat(np.arange(len(column)), np.asarray(pa.compute.list_value_length(idx).fill_null(0))), np.asarray(idx.flatten())] = np.asarray(value.flatten())
+        return out
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
@@ -70,7 +76,7 @@ def _scorer(shared, k: int, null_dates: bool):
             rows = max(1, CELLS // max(1, len(names)))
             for i in range(0, len(whole), rows):
                 batch = whole.slice(i, rows)
-                score = np.round(normalised(matrix(batch.column("vector"))) @ q.T, DIGITS)
+                score = np.round(normalised(matrix(batch.column("vector"), q.shape[1])) @ q.T, DIGITS)
                 if groups is not None:
                     own = np.array(batch.column("g").to_pylist(), object)
                     score = np.where(own[:, None] == np.array(groups, object)[None, :], score, -np.inf)
@@ -85,18 +91,18 @@ def _scorer(shared, k: int, null_dates: bool):
 ROWS = 512  # texts that are hashed at once
 
 
-def _hashed(df: DataFrame, id_: str, text: Column, dim: int) -> DataFrame:
-    """(id, idx, value), a row for each row: the entries of the hashing embedding, by index.  One pass, nothing is shuffled but a table
-    of fewer splits than cores."""
+def _hashed(df: DataFrame, id_: str, text: Column, dim: int, keep: list[str] = [], whole: bool = False) -> DataFrame:  # noqa: B006
+    """(id, idx, value, the columns keep), a row for each row: the entries of the hashing embedding, by index; whole: before they are divided
+    by their length.  One pass, nothing is shuffled but a table of fewer splits than cores."""
 
     def place(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [int.from_bytes(hashlib.md5(g.encode()).digest(), "big") for g in grams]
         return np.array([h % dim for h in found], np.int64), np.array([1 if h >> 64 & 1 else -1 for h in found], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), ROWS):
-                batch = whole.slice(i, ROWS)
+        for every in batches:
+            for i in range(0, len(every), ROWS):
+                batch = every.slice(i, ROWS)
                 n = len(batch)
                 row = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(batch.column("w")).fill_null(0)))
                 coded = batch.column("w").flatten().dictionary_encode()
@@ -111,12 +117,12 @@ def _hashed(df: DataFrame, id_: str, text: Column, dim: int) -> DataFrame:
                         sums += np.bincount(rows * dim + at[gram], weights=sign[gram], minlength=n * dim).astype(np.int64)
                 sums = sums.reshape(n, dim)
                 rows, idx = np.nonzero(sums)
-                value = sums[rows, idx] / np.sqrt((sums**2).sum(axis=1))[rows]
+                value = sums[rows, idx].astype(np.int32) if whole else sums[rows, idx] / np.sqrt((sums**2).sum(axis=1))[rows]
                 offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (idx.astype(np.int32), value)]], names=["id", "idx", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (idx.astype(np.int32), value)], *[batch.column(c) for c in keep]], names=["id", "idx", "value", *keep])
 
-    rows = spread(df.select(F.col(id_).alias("id"), text.alias("text"))).select("id", words(F.col("text")).alias("w"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]))
+    rows = spread(df.select(F.col(id_).alias("id"), text.alias("text"), *keep)).select("id", words(F.col("text")).alias("w"), *keep)
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.IntegerType() if whole else T.DoubleType())), *[rows.schema[c] for c in keep]]))
 
 
 def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
@@ -137,6 +143,16 @@ def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> Dat
 
 def hashed_features(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
     """(id, idx, value): sparse hashing embedding of words and neighbour pairs, of length one.
+def packed_vectors(df: DataFrame, id_: str, text: Column, keep: list[str] | None = None, dim: int = DIM) -> DataFrame:
+    """(id, vector, the columns keep): the entries of the hashing embedding that aren't zero, as search() takes them too.  A text of 64 words
+    has some 110 of 384.  They are the whole numbers before the vector gets length one, which a search gives it."""
+    if dim > 1 << 15:
+        raise ValueError(f"{dim} components: packed vectors number them in 16 bits")
+    kind = T.StructType([T.StructField("idx", T.ArrayType(T.ShortType())), T.StructField("value", T.ArrayType(T.IntegerType()))])
+    entries = _hashed(df, id_, text, dim, keep or [], whole=True)
+    return entries.select("id", F.struct("idx", "value").cast(kind).alias("vector"), *(keep or []))
+
+
 
     The index is the 128-bit MD5 modulo dim, the sign is bit 64.
     """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.sized import broadcast_if_small
+from ..functions.sized import broadcast_if_small, spread
 from ..operators import chunking, cleaning, dense, fusion, grounding, metrics, query, sparse, validation
 from ..operators import context as ctx
 from ..operators.ranking import top_k
@@ -37,8 +37,8 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the tables' stand-ins: a document's pages are groups of lines, every other page begins with a heading
 
 
-def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document_id, pages): documents as the chunkers take them."""
+def paged(spark: SparkSession, sf_dir: str, *own: Column) -> DataFrame:
+    """(document_id, pages, the columns own): documents as the chunkers take them."""
 
     def pages(lines):
         def page(i):
@@ -50,7 +50,7 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / PAGE_LINES).cast("int")), page)
 
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    return chunking.carry_sections(table(spark, sf_dir, "documents").select(name.alias("document_id"), tx.let(F.split("text", "\n"), pages).alias("pages")))
+    return chunking.carry_sections(spread(table(spark, sf_dir, "documents")).select(name.alias("document_id"), tx.let(F.split("text", "\n"), pages).alias("pages"), *own))
 
 
 def flat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

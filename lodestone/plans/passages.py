@@ -28,8 +28,7 @@ def passages(spark, sf_dir: str) -> DataFrame:
     """Fixed windows of all documents, as rows of a chunk store; written once a session."""
 
     def make():
-        origin = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("lang").alias("title"), F.col("source").alias("authority"))
-        made = chunking.chunk(cat.paged(spark, sf_dir), "fixed", WINDOWS).join(origin, "document_id")
+        made = chunking.chunk(cat.paged(spark, sf_dir, F.col("lang").alias("title"), F.col("source").alias("authority")), "fixed", WINDOWS)
         return written(made.withColumn("id", F.col("chunk_id")).withColumns({"publication_date": F.lit(None).cast("date"), "document_type": F.lit(None).cast("string")}), "passages")
 
     return cat.once(spark, sf_dir, "passages", make)
@@ -39,7 +38,7 @@ def hybrid_retriever(spark, sf_dir: str, settings: dict) -> retrieval.Retriever:
     """BM25 over index texts and hashing vectors of the chunks, fused."""
     p = passages(spark, sf_dir)
     index = cat.once(spark, sf_dir, "passage index", lambda: sparse.build(p, "id", tx.index_text(F.col("text"), F.col("section")), meta=True))
-    vectors = cat.once(spark, sf_dir, "passage vectors", lambda: written(dense.hashed_vectors(p, "id", F.col("text")).join(p.select("id", *META), "id"), "vectors"))
+    vectors = cat.once(spark, sf_dir, "passage vectors", lambda: written(dense.packed_vectors(p, "id", F.col("text"), META), "vectors"))
 
     def by_vector(queries: DataFrame, k: int) -> DataFrame:
         asked = dense.hashed_vectors(queries, "query_id", F.col("text")).withColumnRenamed("id", "query_id")
