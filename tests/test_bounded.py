@@ -27,3 +27,11 @@ def test_fixed_windows_need_no_exchange(spark):
     docs = docs.coalesce(1)
     made = chunking.chunk(docs, "fixed", passages.WINDOWS)
     assert plan(made).count("Exchange") <= plan(docs).count("Exchange") and "title" in made.columns
+
+
+def test_filtered_hits_are_not_joined(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all pairs of queries and documents")
+
+    monkeypatch.setattr(sparse, "scores", refused)
+    assert queries.QUERIES["bm25_filtered"][0](spark, DATA).count()
