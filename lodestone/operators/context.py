@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sized import broadcast_if_small
 from ..functions.text import strip, token_count
+from ..sources.tables import written
 from .fusion import deduplicate
 
 SIMILARITY = 0.9  # of the deduplication that every context gets
@@ -34,9 +36,9 @@ def expand(hits: DataFrame, chunks: DataFrame | None = None, window: int = 1) ->
         return out
     from .chunking import neighbours
 
-    near = neighbours(chunks, hits.where("coalesce(parent_text, '') = ''").select(F.col("id").alias("chunk_id")), window)
+    near = written(neighbours(chunks, hits.where("coalesce(parent_text, '') = ''").select(F.col("id").alias("chunk_id")), window), "neighbours")
     own = chunks.select(F.col("chunk_id").alias("neighbour_id"), F.col("text").alias("t"), F.col("page_start").alias("s"), F.col("page_end").alias("e"))
-    wide = near.join(own, "neighbour_id").groupBy(F.col("chunk_id").alias("id")).agg(
+    wide = broadcast_if_small(near).join(own, "neighbour_id").groupBy(F.col("chunk_id").alias("id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "t"))), lambda x: x["t"]), "\n").alias("_t"), F.min("s").alias("_s"), F.max("e").alias("_e")
     )
     replaced = {c: F.coalesce(n, c) for c, n in (("text", "_t"), ("page_start", "_s"), ("page_end", "_e"))}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.sized import broadcast_if_small
 from ..operators import chunking, dense, fusion, grounding, query, sparse
 from ..operators import context as ctx
 from ..operators.ranking import META
@@ -182,7 +183,8 @@ def expanded_contexts(spark, sf_dir):
     child = F.col("position") % 3 == 0
     parents = {"parent_id": F.when(child, F.concat("document_id", F.lit(":parent"))), "parent_text": F.when(child, F.concat(F.lit("The whole of "), "document_id"))}
     index = cat.once(spark, sf_dir, "passage index", lambda: sparse.build(p, "id", tx.index_text(F.col("text"), F.col("section")), meta=True))
-    hits = sparse.search(index, cat._bench(spark, sf_dir), 8).drop("score").join(p.drop("parent_id", "parent_text").withColumns(parents), "id")
+    found = written(sparse.search(index, cat._bench(spark, sf_dir), 8).drop("score"), "lists")
+    hits = written(broadcast_if_small(found).join(p.drop("parent_id", "parent_text").withColumns(parents), "id"), "hits")
     out = ctx.build(hits, 500, 2, p, 1)
     return out.select("query_id", F.array_join("ids", ",").alias("ids"), F.md5(F.col("context").cast("binary")).alias("digest"), "token_count", "dropped")
 

@@ -35,3 +35,13 @@ def test_filtered_hits_are_not_joined(spark, monkeypatch):
 
     monkeypatch.setattr(sparse, "scores", refused)
     assert queries.QUERIES["bm25_filtered"][0](spark, DATA).count()
+
+
+def test_neighbours_of_few_hits_shuffle_no_chunks(spark):
+    chunks = spark.range(5000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.floor(F.col("id") / 10).alias("document_id"), (F.col("id") % 10).cast("int").alias("position"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = chunking.neighbours(chunks, chunks.where("chunk_id IN ('c0', 'c15')").select("chunk_id"))
+        assert "SortMergeJoin" not in plan(found) and found.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
