@@ -40,10 +40,13 @@ def needs_model(settings: dict[str, Any]) -> bool:
 class Corpus:
     """Chunks, index and vectors of one chunking, made when they are first asked for."""
 
-    def __init__(self, documents: DataFrame, origin: DataFrame, embed: Callable | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None):
-        """documents: document_id, pages; origin: document_id, title, authority, publication_date[, document_type].  keep writes a table and reads it again."""
+    def __init__(self, documents: DataFrame, origin: DataFrame | None = None, embed: Callable | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None):
+        """documents: document_id, pages; origin: document_id, title, authority, publication_date[, document_type], which may stand in documents
+        instead: fixed windows then need no join.  keep writes a table and reads it again."""
         self.documents = documents
+        origin = documents.drop("pages") if origin is None else origin
         self.origin = origin if "document_type" in origin.columns else origin.withColumn("document_type", F.lit(None).cast("string"))
+        self.packed = embed is None
         self.embed = embed or providers.embedder("hashing")
         self.keep = keep or written
         self._made: dict[tuple, Any] = {}
@@ -55,7 +58,13 @@ class Corpus:
 
     def chunks(self, c: dict[str, Any]) -> DataFrame:
         sizes = chunking.Sizes(c["max_tokens"], c["overlap"], c["child_tokens"])
-        return self._once(("chunks", c["strategy"], sizes), lambda: self.keep(chunking.chunk(self.documents, c["strategy"], sizes).join(self.origin, "document_id").withColumn("id", F.col("chunk_id")), "chunks"))
+
+        def make() -> DataFrame:
+            made = chunking.chunk(self.documents, c["strategy"], sizes)
+            given = made if set(self.origin.columns) <= set(made.columns) else made.join(self.origin, "document_id")
+            return self.keep(given.withColumn("id", F.col("chunk_id")), "chunks")
+
+        return self._once(("chunks", c["strategy"], sizes), make)
 
     def retriever(self, settings: dict[str, Any]) -> retrieval.Retriever:
         """dense, bm25 or hybrid search over the chunks of these settings."""
@@ -69,6 +78,8 @@ class Corpus:
             return sparse.search(self._once(("index", *key), lambda: sparse.build(p, "id", text, meta=True)), queries, k)
 
         def made() -> DataFrame:
+            if self.packed:
+                return self.keep(dense.packed_vectors(p, "id", embedded, META), "vectors")
             vectors = self.embed(p, "id", embedded, False)
             return self.keep(vectors.join(p.select("id", *META), "id"), "vectors")
 

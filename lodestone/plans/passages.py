@@ -284,8 +284,8 @@ _SUMS = ["prompt_tokens", "completion_tokens"]
 def ablation_steps(spark, sf_dir):
     """Three steps over the same chunks, from the search to the means by type and reference; the best documents of a search over whole documents
     are the truth of most items."""
-    origin = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("lang").alias("title"), F.col("source").alias("authority"), F.lit(None).cast("date").alias("publication_date"))
-    corpus = cat.once(spark, sf_dir, "ablation", lambda: evaluation.Corpus(cat.paged(spark, sf_dir), origin))
+    origin = F.col("lang").alias("title"), F.col("source").alias("authority"), F.lit(None).cast("date").alias("publication_date"), F.lit(None).cast("string").alias("document_type")
+    corpus = cat.once(spark, sf_dir, "ablation", lambda: evaluation.Corpus(cat.paged(spark, sf_dir, *origin)))
     i, none = F.col("query_id"), F.array().cast("array<string>")
     best = sparse.search(cat._index(spark, sf_dir), cat._bench(spark, sf_dir), 2).select("query_id", "rank", F.concat(F.lit("d"), F.col("id").cast("string")).alias("d"))
     first = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("one"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("two"))

@@ -37,6 +37,14 @@ def test_filtered_hits_are_not_joined(spark, monkeypatch):
     assert queries.QUERIES["bm25_filtered"][0](spark, DATA).count()
 
 
+def test_chunks_that_carry_their_origin_are_not_joined(spark):
+    own = F.col("lang").alias("title"), F.col("source").alias("authority"), F.lit(None).cast("date").alias("publication_date"), F.lit(None).cast("string").alias("document_type")
+    kept = []
+    corpus = evaluation.Corpus(catalog.paged(spark, DATA, *own), keep=lambda df, _: kept.append(df) or df)
+    corpus.chunks({"strategy": "fixed", "max_tokens": 64, "overlap": 8, "child_tokens": 32})
+    assert "Join" not in plan(kept[0]) and {"title", "authority", "document_type"} <= set(kept[0].columns)
+
+
 def test_neighbours_of_few_hits_shuffle_no_chunks(spark):
     chunks = spark.range(5000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.floor(F.col("id") / 10).alias("document_id"), (F.col("id") % 10).cast("int").alias("position"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
