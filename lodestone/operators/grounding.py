@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sized import broadcast_if_small
 from ..functions.text import strip
 from .context import pages_label
 
@@ -74,7 +75,7 @@ def check_citations(answers: DataFrame, context: DataFrame, store: DataFrame | N
     out = cited.join(shown, ["query_id", "id"], "left")
     ok = F.col("_in").isNotNull()
     if store is not None:
-        there = store.select("id").join(cited.select("id").distinct(), "id", "left_semi").distinct()
+        there = store.select("id").join(broadcast_if_small(cited.select("id").distinct()), "id", "left_semi").distinct()
         out = out.join(there.withColumn("_there", F.lit(True)), "id", "left")
         ok &= F.col("_there").isNotNull()
     return out.select("query_id", "ord", "id", ok.alias("valid"))

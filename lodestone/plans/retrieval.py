@@ -141,7 +141,8 @@ class Search:
         lists = self.lists.where(F.col("rank") <= self.candidates(final)).select(one, "list_no", "rank", "id", "score")
         if self.worded:
             lists = fusion.rrf(lists.withColumn("retriever", F.lit("")), ALL, r["rrf_k"])
-        found = broadcast_if_small(lists.select("query_id", "rank", "id", "score")).join(self.chunks, "id")
+        # chunks are read once, for what was found alone
+        found = written(broadcast_if_small(lists.select("query_id", "rank", "id", "score")).join(self.chunks, "id"), "found")
         hits = fusion.deduplicate(found, r["dedup_text_similarity"])
         if re["enabled"]:
             passes = F.explode(F.array(F.lit(MAIN), F.lit(RESTRICTED))).alias("pass")
