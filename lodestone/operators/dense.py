@@ -18,7 +18,8 @@ from ..functions.text import words
 from .ranking import DIGITS, META, Best, Filters, hit_schema, top_k
 
 NUMBERS = 1 << 24  # of query vectors that are broadcast at once: 128 MB
-CELLS = 1 << 22  # scores that are worked out at once
+HELD = 1 << 20  # best rows that a task keeps at most, in twice as many
+CELLS = 1 << 21  # scores that are worked out at once
 DIM = 384
 
 
@@ -45,8 +46,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vect
     rows whose authority, document_type, document_id and publication_date pass it: rows are judged before they
     are ranked.  null_dates says whether a row without a date passes a range of dates.
 
-    A task sends its own k best of each query only.  Queries of up to NUMBERS numbers take one scan of the vectors, more take
-    one scan for each block of so many.  All vectors have one length; rows without a vector are no candidates.
+    A task sends its own k best of each query only.  Queries of up to NUMBERS numbers, with HELD best rows, take one scan of the
+    vectors, more take one scan for each block of so many.  All vectors have one length; rows without a vector are no candidates.  The rows may be packed,
+    as packed_vectors() makes them; the queries' vectors aren't.
     """
     own = [group] if group else []
     filtered = "filter" in queries.columns
@@ -56,7 +58,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vect
     wide = queries.select(F.max(F.size("vector"))).first()[0] or 1
     found = None
     wanted = queries.select("query_id", "vector", *own, *(["filter"] if filtered else [])).where("vector IS NOT NULL")
-    for block in in_blocks(wanted, max(1, NUMBERS // wide)):
+    for block in in_blocks(wanted, max(1, min(NUMBERS // wide, HELD // max(1, k)))):
         q = normalised(np.array([r["vector"] for r in block], np.float64))
         names = pa.array([r["query_id"] for r in block], to_arrow_type(schema["query_id"].dataType))
         shared = vectors.sparkSession.sparkContext.broadcast((q, names, [r[group] for r in block] if group else None, [r["filter"] for r in block] if filtered else None))
@@ -141,8 +143,6 @@ def hashed_vectors(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> Dat
     return entries.mapInArrow(run, T.StructType([entries.schema["id"], T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
-def hashed_features(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
-    """(id, idx, value): sparse hashing embedding of words and neighbour pairs, of length one.
 def packed_vectors(df: DataFrame, id_: str, text: Column, keep: list[str] | None = None, dim: int = DIM) -> DataFrame:
     """(id, vector, the columns keep): the entries of the hashing embedding that aren't zero, as search() takes them too.  A text of 64 words
     has some 110 of 384.  They are the whole numbers before the vector gets length one, which a search gives it."""
@@ -153,6 +153,8 @@ def packed_vectors(df: DataFrame, id_: str, text: Column, keep: list[str] | None
     return entries.select("id", F.struct("idx", "value").cast(kind).alias("vector"), *(keep or []))
 
 
+def hashed_features(df: DataFrame, id_: str, text: Column, dim: int = DIM) -> DataFrame:
+    """(id, idx, value): sparse hashing embedding of words and neighbour pairs, of length one.
 
     The index is the 128-bit MD5 modulo dim, the sign is bit 64.
     """

@@ -44,7 +44,7 @@ class Best:
         row, query = np.nonzero((score >= np.maximum(cut, self.least)) & (score > -np.inf))
         self.held.append(pa.table({"query": query, "score": score[row, query], "id": ids.take(pa.array(row))}))
         self.rows += len(row)
-        if self.rows > 8 * self.k * len(self.names) + 65536:
+        if self.rows > 2 * self.k * len(self.names) + 65536:
             self._prune()
 
     def _prune(self) -> pa.Table:

@@ -53,3 +53,12 @@ def test_neighbours_of_few_hits_shuffle_no_chunks(spark):
         assert "SortMergeJoin" not in plan(found) and found.count() == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_task_holds_few_rows_of_many_queries():
+    k, names = 20, pa.array(range(20_000))
+    best, rng, most = Best(names, k), np.random.default_rng(1), 0
+    for i in range(12):
+        best.add(rng.random((50, len(names))), pa.array(range(i * 50, i * 50 + 50)))
+        most = max(most, best.rows)
+    assert most <= 2 * k * len(names) + 65536
