@@ -19,7 +19,8 @@ from .ranking import DIGITS, META, Best, Filters, hit_schema, top_k
 EPSILON = 0.25  # of the mean idf, in place of a negative one
 MOST_WEIGHTS = 1_000_000  # (query, term) pairs that are broadcast: 24 MB and the terms; more queries go by joins
 BATCH = 2048  # documents that are scored at once
-CELLS = 1 << 22  # numbers of a step: scores of a batch, or products that are added up
+CELLS = 1 << 22  # scores of a batch
+PRODUCTS = 1 << 19  # that are added up at once: some 30 MB of arrays
 
 
 @dataclass
@@ -137,7 +138,7 @@ class _Weights:
         past = np.cumsum(size)
         i = 0
         while i < len(doc):
-            j = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + CELLS)))
+            j = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + PRODUCTS)))
             s = size[i:j]
             at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(self.first[term[i:j]], s)
             out += np.bincount(np.repeat(doc[i:j] * width, s) + self.query[at], weights=np.repeat(value[i:j], s) * self.weight[at], minlength=len(out))

@@ -62,3 +62,11 @@ def test_a_task_holds_few_rows_of_many_queries():
         best.add(rng.random((50, len(names))), pa.array(range(i * 50, i * 50 + 50)))
         most = max(most, best.rows)
     assert most <= 2 * k * len(names) + 65536
+
+
+def test_products_are_added_up_in_small_steps(monkeypatch):
+    known = sparse._Weights(pa.table({"term": ["a", "b"] * 100, "query_id": [i // 2 for i in range(200)], "w": np.arange(200.0)}))
+    doc, term, value = np.repeat(np.arange(300), 2), np.tile([0, 1], 300), np.ones(600)
+    whole = known.times(doc, term, value, 300)
+    monkeypatch.setattr(sparse, "PRODUCTS", 64)
+    assert np.array_equal(whole, known.times(doc, term, value, 300))
