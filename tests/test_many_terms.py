@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestone.operators import postings
 from lodestone.operators.postings import Postings, _blocks
 
 
@@ -24,3 +25,21 @@ def test_batches_of_many_terms_are_added_and_removed(spark, tmp_path):
     index.remove(docs.where("id = 7").select("id"))
     asked = docs.where("id IN (6, 7, 19999)").select((F.col("id") + 100).alias("query_id"), "text")
     assert {(r.query_id, r.id) for r in index.search(asked, 3).collect()} == {(106, 6), (20099, 19999)}
+
+
+def test_batches_too_large_to_be_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(postings, "RUN_TOKENS", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        index = Postings(spark, str(tmp_path / "postings"))
+        docs = spark.range(0, 60, 1, 3).select("id", F.concat(F.lit("same w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+        index.add(docs.where("id % 2 = 0 OR id % 4 = 1"), "id", F.col("text"))
+        index.add(docs.where("id % 2 = 1").withColumn("text", F.concat("text", F.lit(" new"))), "id", F.col("text"))
+        index.remove(docs.where("id % 7 = 3").select("id"))
+        asked = docs.where("id IN (2, 3, 5)").select((F.col("id") + 100).alias("query_id"), F.split("text", " ")[1].alias("text"))
+        assert {(r.query_id, r.id) for r in index.search(asked, 50).collect()} == {(102, 2), (105, 5)}
+        new = spark.createDataFrame([(1, "new")], "query_id long, text string")
+        assert {r.id for r in index.search(new, 50).collect()} == {i for i in range(1, 60, 2) if i % 7 != 3}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
