@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunking, dense, sparse
 from lodestone.operators.ranking import Best
 from lodestone.plans import catalog, evaluation, passages, queries
+from lodestone.plans.config import load
+from lodestone.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,6 +31,21 @@ def test_fixed_windows_need_no_exchange(spark):
     assert plan(made).count("Exchange") <= plan(docs).count("Exchange") and "title" in made.columns
 
 
+def test_chunks_and_vectors_of_hybrid_search_need_no_exchange(spark, monkeypatch):
+    shuffled = {}
+
+    def kept(df, label):
+        shuffled[label] = "Exchange" in plan(df)
+        return tables.written(df, label)
+
+    monkeypatch.setattr(catalog, "_made", {})
+    monkeypatch.setattr(passages, "written", kept)
+    for module in (catalog, dense):  # which deals small tables over the cores
+        monkeypatch.setattr(module, "spread", lambda df: df)
+    passages.hybrid_retriever(spark, DATA, load(env={}))
+    assert shuffled == {"passages": False, "vectors": False}
+
+
 def test_filtered_hits_are_not_joined(spark, monkeypatch):
     def refused(*_):
         raise AssertionError("all pairs of queries and documents")
