@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The token pattern and the stop words of the sparse index.
+# The token pattern, the words of embeddings and shingles, and the stop words of the sparse index.
 TOKEN = r"(?i)\d+(?:[./]\d+)*(?:\(\d+\))*[a-z]?|[a-z]+(?:[-'][a-z]+)*"
+WORD = r"(?U)\w+"
 STOPWORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this",
     "to", "was", "were", "which", "with", "what", "does", "do", "should", "shall", "may", "can", "how", "when", "where", "who", "whom", "whose", "why",
@@ -41,7 +42,7 @@ def sparse_tokens(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

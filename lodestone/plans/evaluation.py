@@ -79,7 +79,13 @@ class Corpus:
 
         def made() -> DataFrame:
             if self.packed:
-                return self.keep(dense.packed_vectors(p, "id", embedded, META), "vectors")
+                plain = self._made.get(("vectors", *key[:-1], False))
+                if plain is not None:  # then only the headers' words are hashed
+                    return self.keep(dense.headed_vectors(plain, F.col("head"), F.col("lead"), META), "vectors")
+                if c["contextual_header"]:
+                    return self.keep(dense.packed_vectors(p, "id", embedded, META), "vectors")
+                head = index_text(F.when(F.col("text").isNotNull(), ""), F.col("section"), F.col("title"), F.col("authority"))
+                return self.keep(dense.packed_vectors(p.withColumns({"head": head, "lead": dense.first_word(F.col("text"))}), "id", embedded, [*META, "head", "lead"]), "vectors")
             vectors = self.embed(p, "id", embedded, False)
             return self.keep(vectors.join(p.select("id", *META), "id"), "vectors")
 
@@ -166,6 +172,7 @@ def ablation(items: DataFrame, corpus: Corpus, base: dict[str, Any], model: Call
     Every step is one evaluation, whose rows are written; steps that reword questions need a model.
     """
     steps = STEPS if steps is None else steps
+    items = written(items, "items")  # every step reads them several times
     if model is None and any(needs_model(merge(base, change)) for change in steps.values()):
         raise ValueError("steps that reword questions need a model: " + ", ".join(n for n, change in steps.items() if needs_model(merge(base, change))))
 

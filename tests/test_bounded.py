@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunking, dense, sparse
 from lodestone.operators.ranking import Best
 from lodestone.plans import catalog, evaluation, passages, queries
-from lodestone.plans.config import load
+from lodestone.plans.config import load, merge
 from lodestone.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -87,3 +89,50 @@ def test_products_are_added_up_in_small_steps(monkeypatch):
     whole = known.times(doc, term, value, 300)
     monkeypatch.setattr(sparse, "PRODUCTS", 64)
     assert np.array_equal(whole, known.times(doc, term, value, 300))
+
+
+def test_digests_of_words_and_pairs_are_those_of_the_library():
+    words = ["", "a", "wörd", "漢字", *("x" * n for n in range(20, 70))]
+    column = pa.array(["before", *words]).slice(1)
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    wanted = lambda s: np.frombuffer(hashlib.md5(s.encode()).digest(), ">u4")
+    assert all((got == wanted(w)).all() for got, w in zip(dense.digests([(column, np.arange(len(words)))]).T, words))
+    assert all((got == wanted(f"{words[a]}_{words[b]}")).all() for got, a, b in zip(dense.digests([(column, left), (column, right)]).T, left, right))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(-most, most + 1, (40, 13)) * (rng.random((40, 13)) < 0.4) for most in (1, 127, 32767, 1 << 30)]
+    column = pa.concat_arrays([dense.packed(x) for x in [*parts, np.zeros((2, 13), np.int64)]])
+    assert np.array_equal(dense.unpacked(column.slice(5), 13), np.concatenate([*parts, np.zeros((2, 13))])[5:])
+    assert dense.packed(parts[0]).nbytes < 13 * 40
+
+
+def test_a_header_is_added_to_packed_vectors(spark):
+    rows = [(0, "The Act says so", "EU — Law — Part 1\n"), (1, "Σίγμας ΤΕΛΟΣ word", "ΟΔΟΣ — x\n"), (2, "", "a — b\n"), (3, "one", " — \n"), (4, " ... ", "a — a\n"), (5, "two words", None), (6, None, None), (7, "b b b", "a b — b\n")]
+    texts = spark.createDataFrame(rows, "id long, text string, head string")
+    plain = dense.packed_vectors(texts.withColumn("lead", dense.first_word(F.col("text"))), "id", F.col("text"), ["head", "lead"], 32)
+    numbers = lambda df: [dense.unpacked(pa.array([r["vector"]]), 32).tolist() for r in df.orderBy("id").collect()]
+    got = numbers(dense.headed_vectors(plain, F.col("head"), F.col("lead"), ["lead"], 32))
+    assert got == numbers(dense.packed_vectors(texts, "id", F.concat("head", "text"), dim=32)) and np.any(got[0]) and not np.any(got[5])
+
+
+def test_texts_are_searched_and_hashed_once_for_all_steps(spark, monkeypatch):
+    """The items' plan, which may hold a search, runs once; vectors under a header come from those without one."""
+    hashed, runs = [], spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(dense, "packed_vectors", lambda *a, f=dense.packed_vectors: hashed.append(a) or f(*a))
+    own = F.col("lang").alias("title"), F.col("source").alias("authority"), F.lit(None).cast("date").alias("publication_date"), F.lit(None).cast("string").alias("document_type")
+    corpus = evaluation.Corpus(catalog.paged(spark, DATA, *own))
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    none = F.array().cast("array<string>")
+    bench = catalog._bench(spark, DATA).limit(3)
+    n = bench.count()
+    items = bench.mapInArrow(counted, bench.schema).select("query_id", "text", F.lit(True).alias("answerable"), F.array().cast("array<struct<document_id: string, pages: array<int>>>").alias("evidence"), F.array(F.concat(F.lit("d"), F.col("query_id").cast("string"))).alias("documents"), none.alias("ids"))
+    base = merge(load(env={}), {"chunking": {"strategy": "fixed", "max_tokens": 64, "overlap": 8, "child_tokens": 32}, "retrieval": {"infer_filters": False, "type": "dense"}})
+    out = evaluation.ablation(items, corpus, base, steps={"plain": {}, "headed": {"chunking": {"contextual_header": True}}}, generation=False)
+    assert out.where("n = 3").count() >= 2 and runs.value == n and len(hashed) == 1
